@@ -25,7 +25,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import id_and_text
+from tidemark.llm.common import WHITE_SPACE, id_and_text
 
 #: Words whose ids a worker remembers; beyond it the memory is emptied. It changes speed, never results.
 CACHED_WORDS = 250_000
@@ -34,9 +34,6 @@ FEED_CHARS = 1 << 20
 #: Characters of a pre-token from which it is encoded through the sliding window.
 LONG_PRETOKEN = 2048
 
-#: The code points with the property White_Space.
-WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-
 
 def byte_alphabet() -> dict[str, int]:
     """The printable character that stands for each byte in byte-level vocabularies: bytes that print stand for

@@ -24,8 +24,20 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.media import media_report
+
+    return media_report(spark, _read(spark, sf_dir, "documents"))
+
+
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.token_store import token_store_report
+
+    return token_store_report(spark, _read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe}
+    return {"op1_bpe": op1_bpe, "op3_media": op3_media, "op6_token_store": op6_token_store}
 
 
 def oracle_sql() -> dict[str, str]:
