@@ -30,6 +30,12 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_report(spark, _read(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.warc import derivative_report
+
+    return derivative_report(spark, _read(spark, sf_dir, "pages"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.token_store import token_store_report
 
@@ -37,7 +43,7 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_media": op3_media, "op6_token_store": op6_token_store}
+    return {"op1_bpe": op1_bpe, "op3_media": op3_media, "op4_warc": op4_warc, "op6_token_store": op6_token_store}
 
 
 def oracle_sql() -> dict[str, str]:
