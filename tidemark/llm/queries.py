@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,8 +43,15 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store_report(spark, _read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.substrings import dedup_substrings
+
+    cut = dedup_substrings(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_media": op3_media, "op4_warc": op4_warc, "op6_token_store": op6_token_store}
+    return {"op1_bpe": op1_bpe, "op3_media": op3_media, "op4_warc": op4_warc, "op6_token_store": op6_token_store, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
