@@ -113,15 +113,45 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+#: Bytes, or words, that are hashed together: temporaries stay within a processor's cache.
+_BLOCK = 1 << 18
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word, from one running polynomial sum over all bytes."""
-    up, down = powers(len(data) + 1, which)
+    """A 64-bit hash of each word, from a running polynomial sum over the bytes; words in order, block by block."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    with np.errstate(over="ignore"):
+        while i < len(starts):
+            low = int(starts[i])
+            j = max(i + 1, int(np.searchsorted(ends, low + _BLOCK, "right")))
+            part = data[low : int(ends[j - 1])]
+            up, down = powers(len(part) + 1, which)
+            total = np.empty(len(part) + 1, np.uint64)
+            total[0] = 0
+            np.cumsum(_BYTE_VALUE[part] * up[: len(part)], out=total[1:])
+            a, b = starts[i:j] - low, ends[i:j] - low
+            out[i:j] = mix64(((total[b] - total[a]) * down[a]) ^ ((b - a).astype(np.uint64) * np.uint64(_P1)))
+            i = j
+    return out
+
+
+def run_hashes(words: np.ndarray, k: int, which: int = 0) -> np.ndarray:
+    """Hash of each run of k consecutive word hashes; the last k-1 places have none."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.empty(n, np.uint64)
     with np.errstate(over="ignore"):
-        total = np.empty(len(data) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(_BYTE_VALUE[data] * up[: len(data)], out=total[1:])
-        raw = (total[ends] - total[starts]) * down[starts]
-        return mix64(raw ^ ((ends - starts).astype(np.uint64) * np.uint64(_P1)))
+        for i in range(0, n, _BLOCK):
+            part = words[i : i + _BLOCK + k - 1]
+            up, down = powers(len(part) + 1, which)
+            total = np.empty(len(part) + 1, np.uint64)
+            total[0] = 0
+            np.cumsum(part * up[: len(part)], out=total[1:])
+            m = len(part) - k + 1
+            out[i : i + m] = mix64((total[k:] - total[:-k]) * down[:m])
+    return out
 
 
 class Texts:

@@ -36,9 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Texts, lower_ascii, mix64, word_hashes, word_spans, written
+from tidemark.llm.common import Texts, lower_ascii, mix64, run_hashes, word_hashes, word_spans, written
 from tidemark.llm.components import components
-from tidemark.llm.substrings import run_hashes
 
 #: Words of a shingle, and the similarity as a fraction.
 SHINGLE, SIMILAR = 5, (4, 5)
@@ -446,7 +445,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.coalesce(own.cast("long"), F.lit(0)).alias("doc"), own.isNull().cast("long").alias("null"), F.xxhash64(text).alias("key"), text.alias("text"))
     bands = chosen_bands(rows, similar, shingle)
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = max(LEAST_BUCKETS, min(1 << 20, 2 * size // BUCKET_BYTES))
+    buckets = max(LEAST_BUCKETS, min(1 << 24, 2 * size // BUCKET_BYTES))
 
     def identify(batches):
         for b in batches:

@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Texts, mix64, powers, word_hashes, word_spans
+from tidemark.llm.common import Texts, mix64, run_hashes, word_hashes, word_spans
 
 #: Words of a window and of the runs that are its minimisers.
 WINDOW, MINIMISER = 20, 3
 #: Bytes of text that a map task looks at together, and packed bytes it holds back before it sends them on.
-PIECE_BYTES, HELD_BYTES = 4 << 20, 32 << 20
+PIECE_BYTES, HELD_BYTES = 3 << 20, 24 << 20
 #: Packed bytes that a bucket is meant to hold.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 6 << 20
 #: Documents, about, in the sample for frequent runs, and the share of sampled windows that makes a run frequent.
 SAMPLE_DOCS, FREQUENT_SHARE = 4000, 1 / 2000
 
@@ -60,18 +60,6 @@ def normal(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return out, start, stop - 1, begin
 
 
-def run_hashes(words: np.ndarray, k: int, which: int = 0) -> np.ndarray:
-    """Hash of each run of k consecutive word hashes; the last k-1 places have none."""
-    if len(words) < k:
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(words) + 1, which)
-    with np.errstate(over="ignore"):
-        total = np.empty(len(words) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(words * up[: len(words)], out=total[1:])
-        return mix64((total[k:] - total[:-k]) * down[: len(words) - k + 1])
-
-
 def sliding_min_place(values: np.ndarray, width: int) -> np.ndarray:
     """Place of the least value of each `width` consecutive ones, the leftmost of equals; by doubling."""
     n = len(values) - width + 1
@@ -222,7 +210,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     """Spans of words (doc, null, key, since, until) that windows with an earlier copy cover; rows: doc, null, key, text."""
     frequent = frequent_runs(rows)
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = max(16, min(1 << 20, 6 * size // BUCKET_BYTES))
+    buckets = max(16, min(1 << 24, 6 * size // BUCKET_BYTES))
 
     def pack(batches):
         held: dict[int, list] = {}
