@@ -43,6 +43,12 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store_report(spark, _read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.decontaminate import contaminated
+
+    return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.jaccard import near_duplicates
 
@@ -57,7 +63,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_media": op3_media, "op4_warc": op4_warc, "op6_token_store": op6_token_store, "op8_ngram_jaccard": op8_ngram_jaccard, "op10_substring_dedup": op10_substring_dedup}
+    return {"op1_bpe": op1_bpe, "op3_media": op3_media, "op4_warc": op4_warc, "op6_token_store": op6_token_store, "op7_decontamination": op7_decontamination, "op8_ngram_jaccard": op8_ngram_jaccard, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
