@@ -25,6 +25,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.language import documents_identified
+
+    return documents_identified(_read(spark, sf_dir, "documents"))
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.language import pages_identified
+
+    return pages_identified(_read(spark, sf_dir, "pages"))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.media import media_report
 
@@ -37,6 +49,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derivative_report(spark, _read(spark, sf_dir, "pages"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality import quality_report
+
+    return quality_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.token_store import token_store_report
 
@@ -55,6 +73,12 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.lm import lm_report
+
+    return lm_report(_read(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.substrings import dedup_substrings
 
@@ -63,7 +87,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_media": op3_media, "op4_warc": op4_warc, "op6_token_store": op6_token_store, "op7_decontamination": op7_decontamination, "op8_ngram_jaccard": op8_ngram_jaccard, "op10_substring_dedup": op10_substring_dedup}
+    return {"op1_bpe": op1_bpe, "op2_language_id": op2_language_id, "language_id_pages": language_id_pages, "op3_media": op3_media, "op4_warc": op4_warc, "op5_quality": op5_quality, "op6_token_store": op6_token_store, "op7_decontamination": op7_decontamination, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_lm_scoring": op9_lm_scoring, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
