@@ -2,12 +2,48 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "exact_dedup_first"
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def queries() -> dict:
-    return {}
+FLAGSHIP = "leak_contains"
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+class Tables:
+    """The tables of a folder, read when they are named."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self._spark, self._folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Register a function of Tables under its own name, with SQL for the same rows where SQL can express them."""
+
+    def add(f):
+        _QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from tidemark.plans import aggregate_queries, join_queries, near_queries, order_queries, text_queries  # noqa: F401
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)
