@@ -11,12 +11,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Items of all six kinds in one row; answers are kept as text and typed by `typed_answers`.
-ITEM = T.StructType.fromDDL(
-    "id string, subject string, type string, question string, context string, options map<string,string>, statements array<string>, left array<string>, right map<string,string>, "
-    "answer string, tolerance double, unit string, points int, partial_credit array<array<int>>, rationale string, source string, difficulty string"
-)
-SOLVER = T.StructType.fromDDL("id string, payload string, confidence string, concern string")
+_TEXT, _TEXTS, _NAMED = T.StringType(), T.ArrayType(T.StringType()), T.MapType(T.StringType(), T.StringType())
+
+
+def fields(**kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, t) for k, t in kinds.items()])
+
+
+#: Items of all six kinds in one row; answers are kept as text.
+ITEM = fields(
+    id=_TEXT, subject=_TEXT, type=_TEXT, question=_TEXT, context=_TEXT, options=_NAMED, statements=_TEXTS, left=_TEXTS, right=_NAMED, answer=_TEXT, tolerance=T.DoubleType(), unit=_TEXT,
+    points=T.IntegerType(), partial_credit=T.ArrayType(T.ArrayType(T.IntegerType())), rationale=_TEXT, source=_TEXT, difficulty=_TEXT,
+)
+SOLVER = fields(id=_TEXT, payload=_TEXT, confidence=_TEXT, concern=_TEXT)
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -99,7 +106,7 @@ def load_filled(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     lines: file, line, value with {"key": ..., "answer": ...}.
     """
-    rows = tagged_jsonl(lines, T.StructType.fromDDL("key string, answer string"))
+    rows = tagged_jsonl(lines, fields(key=_TEXT, answer=_TEXT))
     empty = F.coalesce(F.trim("answer"), F.lit("")).isin("", "SKIP")
     good = rows.where(~F.col("bad") & F.col("key").isNotNull() & ~empty)
     w = Window.partitionBy("key").orderBy("file", "line")
