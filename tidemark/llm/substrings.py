@@ -40,6 +40,8 @@ BUCKET_BYTES = 6 << 20
 SAMPLE_DOCS, FREQUENT_SHARE = 4000, 1 / 2000
 
 _HEAD = np.dtype([("doc", "<i8"), ("null", "<i8"), ("key", "<i8"), ("start", "<i8"), ("words", "<i4"), ("bytes", "<i4")])
+#: How the heads of super-k-mers travel: field after field, documents as differences; `bytes` follows from the words.
+_TRAVEL = {"doc": "<i8", "null": "<i1", "key": "<i4", "start": "<i4", "words": "<u2"}
 
 
 def normal(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -149,7 +151,8 @@ _DDL = "bucket long, pack binary, doc long, null long, key long, since long, unt
 def _rows(doc, null, key, since, until) -> pa.RecordBatch:
     """Spans as rows of the map stage: dealt by the document, with no pack."""
     n = len(doc)
-    bucket = pa.array((mix64(key.astype(np.uint64)) >> np.uint64(1)).astype(np.int64) * -1 - 1)
+    with np.errstate(over="ignore"):
+        bucket = pa.array(-1 - (mix64(key.astype(np.uint64) + mix64(doc.astype(np.uint64))) >> np.uint64(1)).astype(np.int64))
     cols = [bucket, pa.nulls(n, pa.binary()), *(pa.array(np.ascontiguousarray(x), pa.int64()) for x in (doc, null, key, since, until))]
     return pa.RecordBatch.from_arrays(cols, schema=_SCHEMA)
 
@@ -182,7 +185,23 @@ def _minimisers(w: Windows, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _packed(heads: np.ndarray, words: bytes) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<q", len(heads)) + heads.tobytes() + words)
+    fields = [np.diff(heads[k], prepend=0) if k == "doc" else heads[k] for k in _TRAVEL]
+    parts = [x.astype(t).tobytes() for x, t in zip(fields, _TRAVEL.values(), strict=True)]
+    return zstandard.ZstdCompressor(level=4).compress(b"".join([struct.pack("<q", len(heads)), *parts, words]))
+
+
+def _unpacked(pack: bytes) -> tuple[np.ndarray, bytes]:
+    (n,) = struct.unpack_from("<q", pack)
+    heads, at = np.zeros(n, _HEAD), 8
+    for k, t in _TRAVEL.items():
+        x = np.frombuffer(pack, t, n, at)
+        heads[k] = np.cumsum(x) if k == "doc" else x
+        at += x.nbytes
+    words = pack[at:]
+    stop = np.flatnonzero(np.frombuffer(words, np.uint8) == 0x20) + 1
+    ends = stop[np.cumsum(heads["words"], dtype=np.int64) - 1]
+    heads["bytes"] = np.diff(ends, prepend=0)
+    return heads, words
 
 
 def frequent_runs(rows: DataFrame) -> np.ndarray:
@@ -263,10 +282,9 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
         def counted(packs):
             heads, words = [], []
             for x in packs:
-                x = z.decompress(x)
-                (n,) = struct.unpack_from("<q", x)
-                heads.append(np.frombuffer(x, _HEAD, n, 8))
-                words.append(x[8 + n * _HEAD.itemsize :])
+                head, text = _unpacked(z.decompress(x))
+                heads.append(head)
+                words.append(text)
             heads, text = np.concatenate(heads), b"".join(words)
             from_ = np.cumsum(heads["bytes"], dtype=np.int64) - heads["bytes"]
             order = np.lexsort((heads["start"], heads["key"], heads["doc"], heads["null"]))
@@ -309,7 +327,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = docs.toDF(*inner)
     text, own = (F.col(inner[docs.columns.index(c)]) for c in (text_col, id_col))
     text = F.coalesce(text.cast("string"), F.lit(""))
-    keyed = [F.coalesce(own.cast("long"), F.lit(0)).alias("doc"), own.isNull().cast("long").alias("null"), F.xxhash64(text).alias("key")]
+    keyed = [F.coalesce(own.cast("long"), F.lit(0)).alias("doc"), own.isNull().cast("long").alias("null"), F.shiftright(F.xxhash64(text), 32).alias("key")]
     spans = repeated_spans(named.select(*keyed, text.alias("text")))
     by_doc = spans.groupBy("doc", "null", "key").agg(F.collect_list(F.struct("since", "until")).alias("spans"))
     joined = named.select(*inner, *keyed).join(by_doc, ["doc", "null", "key"], "left").select(*inner, "spans")
