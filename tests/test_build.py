@@ -60,3 +60,18 @@ def test_closed(spark):
     df = spark.createDataFrame([("a)", 2, ["1"])], "t string, n int, r array<string>")
     got = df.select(closed.extract_choice("t", F.lit("ABCD")).alias("c"), closed.extract_verdicts("t", "n").alias("v"), closed.extract_pairs("t", "r", F.lit("AB")).alias("p")).first()
     assert (got.c, got.v, got.p) == ("A", None, None)
+
+
+def test_history_dataset(spark):
+    w = lambda k: " ".join(f"słowo{k}x{i}" for i in range(12))
+    rows = [
+        (1, "MHIP-R0_1P-100-2305.pdf", "2023", 1, w(1), "Źródło 1. tekst", "k"), (2, "MHIP-R0_1P-100-2305.pdf", "2023", 2, "Na podstawie źródła 1 " + w(2), "", "k"), (3, "MHIP-R0_1P-100-2305.pdf", "2023", 3, " ", "", "k"),
+        (4, "MHIP-R0_1P-100-2305.pdf", "2023", 4, w(4), "", ""), (5, "copy.pdf", "2023", 1, w(1), "Źródło 1. tekst", "k"), (6, "copy.pdf", "2023", 2, "Na podstawie źródła 1 " + w(2), "", "k"), (7, "copy.pdf", "2023", 3, w(4), "", "k"),
+        (8, "later.pdf", "2025", 1, w(9), "", "k"), (9, "other.pdf", "2020", 1, w(9), "", "k"), (10, "other.pdf", "2020", 2, "Na podstawie źródła 3 " + w(5), "", "k"), (11, "broken.pdf", "2019", 1, "ascii only " * 200, "", "k"),
+    ]
+    df = spark.createDataFrame(rows, "id int, paper string, year string, pos int, question string, source string, answer_key string")
+    got = {r.id: (r.split, r.reason) for r in build.history_dataset(df).collect()}
+    assert got == {
+        1: ("train", "keep"), 2: ("train", "keep"), 3: ("train", "empty_question"), 4: ("train", "no_key"), 5: ("train", "copied_paper"), 6: ("train", "copied_paper"), 7: ("train", "copied_paper"),
+        8: ("dev", "keep"), 9: ("train", "duplicate_of_dev"), 10: ("train", "missing_source"), 11: ("train", "broken_encoding"),
+    }

@@ -108,3 +108,42 @@ def step_means(log: DataFrame) -> DataFrame:
 def predicted_letters(scores: DataFrame) -> DataFrame:
     """id, letter: the most probable letter, the first on ties; scores: id, letter, logprob."""
     return joins.first_per(scores, ["id"], [F.desc("logprob"), "letter"]).select("id", "letter")
+
+
+#: Fixed values of the history builder: letters and share below which a paper's encoding is broken, overlap of copied papers, last training year, fingerprint lengths.
+LEAST_LETTERS, LEAST_MARKED, COPIED, LAST_TRAIN_YEAR, PRINT_QUESTION, PRINT_SOURCE = 1500, 0.035, 0.95, 2024, 400, 600
+
+
+def history_dataset(rows: DataFrame, marked_class: str = "[ąćęłńóśźżĄĆĘŁŃÓŚŹŻ]") -> DataFrame:
+    """Task rows (id, paper, year, pos, question, source, answer_key) labelled with split and reason; no row is left out.
+
+    In order, the first that holds: broken_encoding (of the paper), copied_paper (another paper of the year holds nearly all its tasks and is the
+    better copy), empty_question, a repeat of an earlier task (duplicate_of_ the split of the first), no_key, missing_source. A task without a
+    source that cites one takes the last source before it in its paper.
+    """
+    from tidemark.functions.text import ascii_key, count_class, fingerprint
+    from tidemark.operators.exam import missing_source, paper_id
+
+    text = F.concat_ws(" ", "question", "source")
+    base = rows.withColumns({"paper": paper_id(F.col("paper")), "year": F.col("year").try_cast("int")})
+    prints = F.concat(F.substring(ascii_key(F.coalesce("question", F.lit(""))), 1, PRINT_QUESTION), F.lit("|"), F.substring(ascii_key(F.coalesce("source", F.lit(""))), 1, PRINT_SOURCE))
+    base = written(base.withColumn("print", fingerprint(prints, PRINT_QUESTION + PRINT_SOURCE + 1)), "tasks")
+
+    papers = base.groupBy("paper").agg(F.min("year").alias("year"), F.sum(count_class(text, r"\p{L}")).alias("letters"), F.sum(count_class(text, marked_class)).alias("marked"), F.count_if(F.coalesce(F.trim("answer_key"), F.lit("")) != "").alias("keyed"))
+    broken = papers.where((F.col("letters") >= LEAST_LETTERS) & (F.col("marked") / F.col("letters") < LEAST_MARKED)).select("paper", F.lit(True).alias("_broken"))
+    tasks = base.where(F.coalesce(F.trim("question"), F.lit("")) != "").select(F.col("paper").alias("grp"), "year", "print").distinct()
+    clusters = near.components(near.overlap_pairs(tasks, COPIED).select("a", "b")).withColumnsRenamed({"node": "paper", "root": "cluster"})
+    coded = F.col("paper").rlike(r"^[A-Z]{3,4}-R\d-\d{3}")
+    best = near.canonical_members(papers.join(clusters, "paper"), "cluster", [F.desc(coded), F.desc("keyed"), F.length("paper"), "paper"])
+    copies = clusters.join(best.select("paper"), "paper", "left_anti").select("paper", F.lit(True).alias("_copy"))
+
+    carried = windows.carry_forward(base.withColumn("_source", F.nullif(F.trim("source"), F.lit(""))), ["paper"], ["pos", "id"], "_source", "_before")
+    cites = F.coalesce(F.col("question").rlike(r"(?iu)źród[łl]"), F.lit(False))
+    full = carried.withColumn("source", F.coalesce("_source", F.when(cites, F.col("_before")), F.lit(""))).drop("_source", "_before")
+    split_ = F.when(F.col("year") > LAST_TRAIN_YEAR, "dev").otherwise("train")
+    marked = full.withColumn("split", split_).join(broken, "paper", "left").join(copies, "paper", "left")
+    early = F.when(F.col("_broken"), "broken_encoding").when(F.col("_copy"), "copied_paper").when(F.coalesce(F.trim("question"), F.lit("")) == "", "empty_question")
+    staged = marked.withColumn("reason", early).drop("_broken", "_copy")
+    seen = windows.first_seen(staged.where("reason is null"), "print", [F.when(F.col("split") == "dev", 0).otherwise(1), F.desc("year"), "id"], "split").select("id", "verdict")
+    late = F.when(F.col("verdict") != "keep", F.col("verdict")).when(F.coalesce(F.trim("answer_key"), F.lit("")) == "", "no_key").when(F.size(missing_source(F.col("question"), F.col("source"))) > 0, "missing_source").otherwise("keep")
+    return staged.join(seen, "id", "left").withColumn("reason", F.coalesce("reason", late)).drop("verdict", "print")
