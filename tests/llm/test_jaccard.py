@@ -71,6 +71,8 @@ def made(n, seed, sizes=(1, 250)):
 
 @pytest.mark.parametrize("seed,sizes,group,twos", [(1, (1, 250), 16, False), (2, (1, 30), 2, False), (3, (20, 90), 2, True), (4, (100, 400), 2, False)])
 def test_against_brute_force(docs_of, monkeypatch, seed, sizes, group, twos):
+    if seed == 2:
+        monkeypatch.setattr(jaccard, "SKETCH_BYTES", 1)  # sketches are joined, not broadcast
     monkeypatch.setattr(jaccard, "SMALL_GROUP", group)
     monkeypatch.setattr(jaccard, "PIECE_BYTES", 20_000)
     monkeypatch.setattr(jaccard, "LEAST_BUCKETS", 5)
@@ -121,6 +123,31 @@ def test_every_similar_pair_meets_in_one_round_or_the_other():
             assert met or (kind != "hard" and not served)
 
 
+def test_sketches_rule_out_no_similar_pair():
+    r = np.random.default_rng(5)
+    bands = jaccard.Bands()
+    sets, similar = [], []
+    for _ in range(300):
+        a = np.unique(r.integers(0, 1 << 63, int(r.integers(1, 400))).astype(np.uint64))
+        drop, more = (int(r.integers(0, 1 + len(a) // 3)) for _ in range(2))
+        b = np.unique(np.concatenate([a[drop:], r.integers(0, 1 << 63, more).astype(np.uint64)]))
+        if not len(b):
+            b = a
+        both = len(np.intersect1d(a, b))
+        sets += [a, b]
+        similar.append(5 * both >= 4 * (len(a) + len(b) - both))
+    sizes = np.array([len(x) for x in sets])
+    data = jaccard.sketches(bands, sizes, np.concatenate(sets))
+    table = jaccard.SketchTable(bands, [(10 * k, int(n), x) for k, (n, x) in enumerate(zip(sizes, data, strict=True))])
+    a, b = np.arange(0, len(sets), 2) * 10, np.arange(1, len(sets), 2) * 10
+    got, want = table.may_link(a, b), np.array(similar)
+    assert got[want].all() and got[~want].mean() < 0.5
+    assert not table.may_link(a[:-1], b[1:]).any() or table.may_link(a[:-1], b[1:]).mean() < 0.1
+    assert table.may_link(np.array([5]), np.array([10])).all()  # unknown sets aren't ruled out
+    twice = jaccard.SketchTable(bands, [(1, 5, data[0]), (1, 9, data[1]), (2, 400, data[2])])
+    assert twice.may_link(np.array([1]), np.array([2])).all()
+
+
 def test_set_ids_and_sets():
     got = list(jaccard.shingle_sets(pa.array(["a b c d e f", "A b C d e  f", "", "a b", "b a", None or "", "a"]), 1 << 20))
     (sizes, elements) = got[0]
@@ -129,7 +156,9 @@ def test_set_ids_and_sets():
     assert hi[0] == hi[1] and len(set(hi.tolist())) == 5
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr("tidemark.llm.components.ONE_TASK_LINKS", most)
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 60) if i % 20] + [(100, r.randrange(101, 160)) for _ in range(40)] + [(5, 5), (7, None)]
     got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}

@@ -11,12 +11,12 @@ difference of one is found too). A set is served when the counts of its segments
 any partner; empty segments are left out beforehand, for there are some to spare. A sample of sets shows for each
 band whether counts of 1 or 2 come cheaper.
 
-Exactness in spite of hot segments. Where at most SMALL_GROUP sets meet, all pairs are compared. Where more meet,
-each is compared with one of them only, and the segment counts 0 for all. A set that is then no longer served is
-*hard*: hard sets are indexed again, with counts of 2 and with empty segments, and there all pairs are compared
-that the links so far haven't joined. A link between two sets is found in the first round if either is served, else
-in the second. So a group of thousands of near copies costs about one comparison for each member, and no link
-between components is lost.
+Exactness in spite of hot segments. Where at most SMALL_GROUP sets meet, all pairs are candidates. Where more meet,
+each is paired with one of them only, and the segment counts 0 for all. A set that is then no longer served is
+*hard*: hard sets are indexed again, with their empty segments, and all pairs that meet there are candidates if the links
+so far haven't joined them. A link between two sets is found in the first round if either is served, else in the
+second. Of candidates, each set is first compared with one partner; then only pairs across components remain, and of
+these only pairs whose sketches (see `sketches`) don't rule them out. So a group of thousands of near copies costs a few comparisons for each member, and no link between components is lost.
 
 Sets that are equal are one class from the start (by a 128-bit hash of the sorted 64-bit hashes of shingles). Words are
 `[^\\x20\\x09-\\x0D]+` after A-Z are lower-cased; with fewer words than a shingle the whole sequence is one.
@@ -44,20 +44,24 @@ SHINGLE, SIMILAR = 5, (4, 5)
 #: Ratio of the sizes that bound a band.
 BAND_RATIO = 1.6
 #: Sets that meet at one hash, up to which all pairs are compared at once.
-SMALL_GROUP = 16
+SMALL_GROUP = 8
 #: Sets in the sample by which each band's allocation is chosen, and the cost of comparing a pair in index entries.
-SAMPLE_SETS, PAIR_COST = 1000, 40
+SAMPLE_SETS, PAIR_COST = 300, 40
 #: Bytes of text that a map task looks at together, and index bytes it holds back before it sends them on.
 PIECE_BYTES, HELD_BYTES = 2 << 20, 24 << 20
 #: Buckets of index hashes at least, and index bytes that a bucket is meant to hold.
 LEAST_BUCKETS, BUCKET_BYTES = 256, 8 << 20
+#: Bytes of an index hash beside its bucket, and of a set's code. What meets by chance is found out by the comparison, and sets
+#: that share a code are all compared, so shorter ones cost time and lose nothing.
+HASH_BYTES, CODE_BYTES = 5, 5
+#: Sets that are compared with one set in one task; more of them are dealt to several tasks.
+STAR_SETS = 1000
+#: Bytes of sketches that are broadcast; beyond, pairs are joined with their sketches.
+SKETCH_BYTES = 48 << 20
 #: Rows up to which the documents that are to be fetched are broadcast (24 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
-_MEMBER = np.dtype([("hi", "<u8"), ("lo", "<u8"), ("band", "<i4"), ("size", "<i4"), ("spare", "<i4"), ("joined_hi", "<u8"), ("joined_lo", "<u8")])
-
-
 class Bands:
     """Sizes dealt into bands, and for each band the number of units of its universe and how many are taken in twos."""
 
@@ -139,10 +143,10 @@ def set_ids(sizes: np.ndarray, elements: np.ndarray) -> tuple[np.ndarray, np.nda
 def signatures(bands: Bands, sizes: np.ndarray, elements: np.ndarray, rows: np.ndarray, band: np.ndarray, hard: bool):
     """Index entries of the sets `rows` in their `band`: hash, place in rows, what the segment counts, whether an element less.
 
-    Also what each set's segments count beyond its need. hard: all units in twos, and empty segments too.
+    Also what each set's segments count beyond its need. hard: empty segments are indexed too.
     """
     units, size = bands.units[band], sizes[rows]
-    twos = units // 2 if hard else bands.twos[band]
+    twos = bands.twos[band]
     begin = np.cumsum(sizes) - sizes
     element_of = np.repeat(begin[rows] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
     x = elements[element_of]
@@ -172,6 +176,108 @@ def signatures(bands: Bands, sizes: np.ndarray, elements: np.ndarray, rows: np.n
     return *(np.concatenate(c) for c in zip(*out, strict=True)), spare
 
 
+def sketches(bands: Bands, sizes: np.ndarray, elements: np.ndarray) -> list[bytes]:
+    """For each set a byte for each of 2^k units of the universe, at least twice as many as two similar sets of its band can differ in.
+
+    A unit's byte is a sum over the set's elements there. Units whose bytes differ hold an element that the sets don't share, so
+    their number can't exceed the differences: a bound that loses no similar pair.
+    """
+    size = np.maximum(sizes, 1)
+    units = (1 << np.ceil(np.log2(2 * bands.units[np.searchsorted(bands.low, size, "right") - 1])).astype(np.int64)) * (sizes > 0)
+    base = np.cumsum(units) - units
+    total = np.zeros(int(units.sum()), np.uint64)
+    with np.errstate(over="ignore"):
+        unit = (mix64(elements ^ _K[3]) & np.repeat(np.maximum(units, 1) - 1, sizes).astype(np.uint64)).astype(np.int64)
+        np.add.at(total, np.repeat(base, sizes) + unit, mix64(elements + _K[0]))
+    low = total.astype(np.uint8)
+    return [low[b : b + u].tobytes() for b, u in zip(base.tolist(), units.tolist(), strict=True)]
+
+
+class SketchTable:
+    """Sizes and sketches of sets by code, to tell pairs that can't be similar."""
+
+    def __init__(self, bands: Bands, rows: list[tuple[int, int, bytes]]) -> None:
+        rows = sorted(rows)
+        codes, first, count = np.unique(np.array([r[0] for r in rows], np.int64), return_index=True, return_counts=True)
+        self.bands, self.codes, self.single = bands, codes, count == 1
+        self.size = np.array([rows[k][1] for k in first.tolist()], np.int64)
+        self.units = np.array([len(rows[k][2]) for k in first.tolist()], np.int64)
+        self.tables: dict[int, np.ndarray] = {}
+        self.place = np.zeros(len(codes), np.int64)
+        for u in np.unique(self.units).tolist():
+            own = np.flatnonzero(self.units == u)
+            self.place[own] = np.arange(len(own))
+            self.tables[u] = np.frombuffer(b"".join(rows[k][2] for k in first[own].tolist()), np.uint8).reshape(len(own), u)
+
+    def may_link(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """False only for pairs of codes whose sets differ in more than similar sets of their sizes can."""
+        out = np.ones(len(a), bool)
+        if not len(self.codes) or not len(a):
+            return out
+        i, j = (np.minimum(np.searchsorted(self.codes, x), len(self.codes) - 1) for x in (a, b))
+        known = (self.codes[i] == a) & (self.codes[j] == b) & self.single[i] & self.single[j]
+        small, large = np.minimum(self.size[i], self.size[j]), np.maximum(self.size[i], self.size[j])
+        out[known & (small * self.bands.den < large * self.bands.num)] = False
+        most = self.bands.differences(self.size[i], self.size[j])
+        u, v = self.units[i], self.units[j]
+        swap = u > v
+        i, j, u, v = np.where(swap, j, i), np.where(swap, i, j), np.minimum(u, v), np.maximum(u, v)
+        for x, y in {*zip(u[known].tolist(), v[known].tolist(), strict=True)}:
+            rows = np.flatnonzero(known & out & (u == x) & (v == y))
+            step = max(1, (1 << 22) // y)
+            for at in range(0, len(rows), step):
+                k = rows[at : at + step]
+                left, right = self.tables[x][self.place[i[k]]], self.tables[y][self.place[j[k]]]
+                if y > x:  # the finer sketch's units add up to the coarser one's
+                    right = right.reshape(len(k), y // x, x).sum(axis=1, dtype=np.uint8)
+                out[k] = (left != right).sum(axis=1) <= most[k]
+        return out
+
+
+def sketch_table(some: DataFrame, wanted: DataFrame, bands: Bands):
+    """The sketches of the wanted sets (code), broadcast; None if they are too many for that."""
+    codes = written(wanted.select("code").distinct(), "codes")
+    if codes.count() > BROADCAST_ROWS:
+        return None
+    known = some.join(F.broadcast(codes), "code", "left_semi")  # the sketches themselves aren't shuffled
+    if (known.agg(F.sum(F.octet_length("sketch") + 64)).first()[0] or 0) > SKETCH_BYTES:
+        return None
+    rows = {bytes(r["set_id"]): (r["code"], r["n_shingles"], bytes(r["sketch"])) for r in known.select("set_id", "code", "n_shingles", "sketch").coalesce(4).toLocalIterator()}
+    return some.sparkSession.sparkContext.broadcast(SketchTable(bands, list(rows.values())))
+
+
+def sifted(pairs: DataFrame, some: DataFrame, bands: Bands) -> DataFrame:
+    """Pairs (a, b) of set ids that sketches don't rule out, where these are too many to be broadcast."""
+    wanted = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+    known = some.select("set_id", "n_shingles", "sketch").join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"])
+    left, right = (known.select(F.col("set_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}")) for k in "ab")
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for x, y, m, n in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+                keep.append(bool(SketchTable(bands, [(0, m, x), (1, n, y)]).may_link(np.array([0]), np.array([1]))[0]))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "s_a", "s_b", "n_a", "n_b").mapInArrow(run, "a binary, b binary")
+
+
+def unrelated(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Sets of a sample without those that share a fifth with an earlier one: what meets among the rest meets by chance."""
+    owner: dict[int, list[int]] = {}
+    kept: list[np.ndarray] = []
+    for s in sets:
+        shared: dict[int, int] = {}
+        for x in s.tolist():
+            for k in owner.get(x, ()):
+                shared[k] = shared.get(k, 0) + 1
+        if all(5 * n < len(s) and 5 * n < len(kept[k]) for k, n in shared.items()):
+            for x in s.tolist():
+                owner.setdefault(x, []).append(len(kept))
+            kept.append(s)
+    return kept
+
+
 def chosen_bands(docs: DataFrame, similar: tuple[int, int], shingle: int) -> Bands:
     """Bands whose allocation costs least by a sample: entries to be indexed, and pairs to be compared that meet by chance."""
     bands = Bands(similar)
@@ -188,7 +294,7 @@ def chosen_bands(docs: DataFrame, similar: tuple[int, int], shingle: int) -> Ban
                     at += s
 
     picked = docs.where(F.pmod("key", F.lit(step)) == 0).select("text").mapInArrow(run, "x binary").distinct().limit(2 * SAMPLE_SETS).collect()
-    sets = [np.frombuffer(r.x, "<u8") for r in picked]
+    sets = unrelated(sorted((np.frombuffer(r.x, "<u8") for r in picked), key=lambda x: (len(x), x[0])))
     if len(sets) < 50:
         return bands
     sizes, elements = np.array([len(s) for s in sets]), np.concatenate(sets)
@@ -210,17 +316,28 @@ def _ids(hi: np.ndarray, lo: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(16), len(hi), [None, pa.py_buffer(raw)]).cast(pa.binary())
 
 
-def _halves(column) -> tuple[np.ndarray, np.ndarray]:
-    raw = b"".join(x if x is not None else bytes(16) for x in column.to_pylist())
-    both = np.frombuffer(raw, "<u8").reshape(-1, 2)
-    return both[:, 0], both[:, 1]
+def _codes(hi: np.ndarray) -> np.ndarray:
+    """The codes of sets, from the first halves of their ids."""
+    return (hi.astype("<u8").byteswap() >> np.uint64(64 - 8 * CODE_BYTES)).astype(np.int64)
 
 
-_ENTRY_DDL = "bucket long, pack binary"
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of each value, all first bytes first."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _from_planes(data: bytes, at: int, n: int, width: int) -> np.ndarray:
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(data, np.uint8, width * n, at).reshape(width, n).T
+    return wide.view("<u8")[:, 0]
 
 
 def indexed(rows: DataFrame, bands: Bands, buckets: int, hard: bool, shingle: int) -> DataFrame:
-    """(bucket, pack): index entries of every set; rows: text, and for hard sets `joined`, the component so far."""
+    """(bucket, pack): index entries of every set; rows: text, and for hard sets `joined`, a hash of the component so far.
+
+    An entry is the hash, the set's code, what its segments count beyond the need, and a mark: what this segment counts, whether
+    an element is left out, and which of the set's bands it is.
+    """
 
     def run(batches):
         import zstandard
@@ -234,29 +351,28 @@ def indexed(rows: DataFrame, bands: Bands, buckets: int, hard: bool, shingle: in
             return pa.record_batch({"bucket": pa.array(names, pa.int64()), "pack": pa.array(packs, pa.binary())})
 
         for b in batches:
-            joined = _halves(b.column(1)) if hard else None
+            joined = np.asarray(b.column(1)).astype(np.uint64) if hard else None
             r0 = 0
             for sizes, elements in shingle_sets(b.column(0), PIECE_BYTES, shingle):
                 hi, lo = set_ids(sizes, elements)
                 once = np.zeros(len(sizes), bool)
-                once[np.unique(np.stack([hi, lo], 1), axis=0, return_index=True)[1]] = True
+                once[np.unique(hi, return_index=True)[1]] = True  # equal sets of a piece count once
+                once |= ~np.isin(lo, lo[once])
                 some = np.flatnonzero((sizes > 0) & once)
                 mine, band = bands.of(sizes[some])
                 mine = some[mine]
+                which = band - (np.searchsorted(bands.low, sizes[mine], "right") - 1)
                 sig, owner, count, less, spare = signatures(bands, sizes, elements, mine, band, hard)
-                members = np.zeros(len(mine), _MEMBER)
-                members["hi"], members["lo"], members["band"], members["size"], members["spare"] = hi[mine], lo[mine], band, sizes[mine], spare
-                if hard:
-                    members["joined_hi"], members["joined_lo"] = joined[0][r0 + mine], joined[1][r0 + mine]
-                r0 += len(sizes)
                 bucket = (sig % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                sig, owner, mark, bucket = (sig // np.uint64(buckets))[order], owner[order], (count | less.astype(np.int64) << 2)[order].astype(np.uint8), bucket[order]
+                sig, owner, bucket = sig[order] // np.uint64(buckets), owner[order], bucket[order]
+                mark = (count[order] | less[order].astype(np.int64) << 2 | which[owner] << 3).astype(np.uint8)
+                over, code = np.clip(spare + 1, 0, 255).astype(np.uint8)[owner], _codes(hi)[mine][owner].astype(np.uint64)
+                root = joined[r0 + mine][owner] if hard else None
+                r0 += len(sizes)
                 edge = np.flatnonzero(np.concatenate([[True], np.diff(bucket) != 0])).tolist() if len(bucket) else []
-                short = sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]  # 48 bits beside the bucket: what meets by chance is found out by the comparison
                 for i, j in zip(edge, [*edge[1:], len(bucket)], strict=False):
-                    used, place = np.unique(owner[i:j], return_inverse=True)
-                    part = struct.pack("<qq", len(used), j - i) + members[used].tobytes() + np.ascontiguousarray(short[i:j].T).tobytes() + place.astype("<u4").tobytes() + mark[i:j].tobytes()
+                    part = struct.pack("<q", j - i) + _planes(sig[i:j], HASH_BYTES) + _planes(code[i:j], CODE_BYTES) + over[i:j].tobytes() + mark[i:j].tobytes() + (_planes(root[i:j], 8) if hard else b"")
                     held.setdefault(int(bucket[i]), []).append(part)
                     weight += len(part)
                 if weight >= HELD_BYTES:
@@ -265,131 +381,154 @@ def indexed(rows: DataFrame, bands: Bands, buckets: int, hard: bool, shingle: in
         if held:
             yield sent()
 
-    return rows.select("text", *(["joined"] if hard else [])).mapInArrow(run, _ENTRY_DDL)
+    return rows.select("text", *(["joined"] if hard else [])).mapInArrow(run, "bucket long, pack binary")
 
 
-def _unpacked(packs):
+def _unpacked(packs, hard: bool):
     import zstandard
 
     z = zstandard.ZstdDecompressor()
-    members, sigs, owners, marks, base = [], [], [], [], 0
+    cols = [[], [], [], [], []]
     for x in packs:
         data, at = z.decompress(x), 0
         while at < len(data):
-            m, n = struct.unpack_from("<qq", data, at)
-            at += 16
-            members.append(np.frombuffer(data, _MEMBER, m, at))
-            at += m * _MEMBER.itemsize
-            wide = np.zeros((n, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(data, np.uint8, 6 * n, at).reshape(6, n).T
-            sigs.append(wide.view("<u8")[:, 0])
-            at += 6 * n
-            owners.append(np.frombuffer(data, "<u4", n, at).astype(np.int64) + base)
-            at += 4 * n
-            marks.append(np.frombuffer(data, np.uint8, n, at))
-            at += n
-            base += m
-    return np.concatenate(members), np.concatenate(sigs), np.concatenate(owners), np.concatenate(marks)
-
-
-def _met(packs, bands: Bands, hard: bool):
-    """Pairs of members to be compared; members that have crowded segments (with what these count) or too few of any kind."""
-    members, sig, owner, mark = _unpacked(packs)
+            (n,) = struct.unpack_from("<q", data, at)
+            at += 8
+            for col, width in zip(cols, (HASH_BYTES, CODE_BYTES, 1, 1, 8 if hard else 0), strict=True):
+                if width:
+                    col.append(np.frombuffer(data, np.uint8, n, at) if width == 1 else _from_planes(data, at, n, width))
+                at += width * n
+    return [np.concatenate(c) if c else None for c in cols]
+
+
+def _met(packs, hard: bool):
+    """Pairs (lower code, higher code) to be compared, and (code, band, spare, hot) of sets with crowded or too few segments."""
+    sig, code, over, mark, root = _unpacked(packs, hard)
+    short = np.flatnonzero(over == 0)  # sets whose segments count too little by themselves
+    lacking = np.unique(np.stack([code[short].astype(np.int64), (mark[short] >> 3).astype(np.int64)], 1), axis=0)
     order = np.argsort(sig, kind="stable")
     s = sig[order]
     again = np.zeros(len(s), bool)
     again[1:] = s[1:] == s[:-1]
-    again[:-1] |= s[1:] == s[:-1]
+    again[:-1] |= again[1:]
     order = order[again]
-    sig, owner, mark = sig[order], owner[order], mark[order]
-    # equal sets from several tasks are one member
-    with np.errstate(over="ignore"):
-        code = mix64(members["hi"] ^ mix64(members["lo"] + members["band"].astype(np.uint64) * _K[0]))
-    _, head, name = np.unique(code, return_index=True, return_inverse=True)
-    members, owner = members[head], name[owner]
-    order = np.lexsort((owner, mark >> 2, sig))
-    sig, owner, mark = sig[order], owner[order], mark[order]
-    keep = np.ones(len(sig), bool)
-    keep[1:] = (sig[1:] != sig[:-1]) | (owner[1:] != owner[:-1])
-    sig, owner, mark = sig[keep], owner[keep], mark[keep]
-    edge = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
-    length = np.diff(np.concatenate([edge, [len(sig)]]))
-    whole = mark >> 2 == 0  # entries with an element less come after these in a group
-    n_whole = np.add.reduceat(whole.astype(np.int64), edge) if len(edge) else length
-    use = (length > 1) & (n_whole > 0)
-    edge, length, n_whole = edge[use], length[use], n_whole[use]
-    pairs, hot = [], []
-
-    def add(a, b):
-        p, q = owner[a], owner[b]
-        size_p, size_q = members["size"][p].astype(np.int64), members["size"][q].astype(np.int64)
-        fit = (p != q) & (members["band"][p] == members["band"][q]) & (np.minimum(size_p, size_q) * bands.den >= np.maximum(size_p, size_q) * bands.num)
+    less = mark >> 2 & 1
+    order = order[np.lexsort((code[order], less[order], sig[order]))]  # in a group the whole subsets come first
+    sig, code, over, mark, less = sig[order], code[order], over[order], mark[order], less[order]
+    keep = np.ones(len(sig), bool)  # equal sets from several tasks are one
+    keep[1:] = (sig[1:] != sig[:-1]) | (code[1:] != code[:-1]) | (less[1:] != less[:-1])
+    if hard:
+        root = root[order]
+        keep[1:] |= root[1:] != root[:-1]
+        root = root[keep]
+    sig, code, over, mark, less = sig[keep], code[keep].astype(np.int64), over[keep], mark[keep], less[keep]
+    first, second, hot = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 4), np.int64)]
+    if len(sig):
+        edge = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        length = np.diff(np.append(edge, len(sig)))
+        n_whole = np.add.reduceat(1 - less.astype(np.int64), edge)
+        use = (length > 1) & (n_whole > 0)
         if hard:
-            fit &= (members["joined_hi"][p] != members["joined_hi"][q]) | (members["joined_lo"][p] != members["joined_lo"][q])
-        p, q = p[fit], q[fit]
-        pairs.append(np.minimum(p, q).astype(np.int64) << 32 | np.maximum(p, q))
-
-    for n in np.unique(length).tolist():
-        group = length == n
-        e, w = edge[group], n_whole[group]
-        if n <= SMALL_GROUP or hard:
-            for block in range(0, len(e), max(1, (1 << 21) // (n * n))):
-                eb, wb = e[block : block + max(1, (1 << 21) // (n * n))], w[block : block + max(1, (1 << 21) // (n * n))]
-                if n <= 2048:
-                    i, j = np.triu_indices(n, 1)
-                    fit = i[None, :] < wb[:, None]  # one of the two must be whole; it comes first
-                    g, k = np.nonzero(fit)
-                    add(eb[g] + i[k], eb[g] + j[k])
-                else:
-                    for start, many in zip(eb.tolist(), wb.tolist(), strict=True):
-                        for i in range(many):
-                            add(np.full(n - i - 1, start + i), np.arange(start + i + 1, start + n))
-                        pairs[:] = [np.unique(np.concatenate(pairs))]
+            use &= np.maximum.reduceat(root, edge) != np.minimum.reduceat(root, edge)
+        edge, length, n_whole = edge[use], length[use], n_whole[use]
+
+        def add(a, b):
+            first.append(code[a])
+            second.append(code[b])
+
+        if hard:
+            for e, n, w in zip(edge.tolist(), length.tolist(), n_whole.tolist(), strict=True):
+                _, name, many = np.unique(root[e : e + n], return_inverse=True, return_counts=True)
+                at, inner = np.arange(n), np.flatnonzero(name != np.argmax(many))
+                for i in inner.tolist():  # every pair across components has an end outside the largest
+                    other = at[(name != name[i]) & ((at < w) | (i < w))]
+                    add(np.full(len(other), e + i), e + other)
+                if sum(map(len, first)) > 1 << 20:
+                    done = _distinct(first, second)
+                    first[:], second[:] = [done[0]], [done[1]]
         else:
-            inner = np.arange(1, n)
-            add(np.repeat(e, n - 1), (e[:, None] + inner[None, :]).ravel())
-            member = (e[:, None] + np.arange(n)[None, :]).ravel()
-            hot.append((owner[member], mark[member] & 3))
-    found = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-    a, b = members[found >> 32], members[found & 0xFFFFFFFF]
-    total = np.zeros(len(members), np.int64)
-    for o, c in hot:
-        total += np.bincount(o, c, len(members)).astype(np.int64)
-    busy = np.flatnonzero((total > 0) | (members["spare"] < 0))
-    return a, b, members[busy], total[busy]
+            for n in range(2, SMALL_GROUP + 1):
+                e, w = edge[length == n], n_whole[length == n]
+                for i in range(n):
+                    for j in range(i + 1, n):
+                        ok = e[w > i]  # one of the two must be whole; it comes first
+                        add(ok + i, ok + j)
+            big = length > SMALL_GROUP
+            e, n = edge[big], length[big]
+            inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            member = np.repeat(e, n) + inner
+            add(np.repeat(e, n)[inner > 0], member[inner > 0])
+            hot.append(np.stack([code[member], (mark[member] >> 3).astype(np.int64), over[member].astype(np.int64) - 1, (mark[member] & 3).astype(np.int64)], 1))
+    hot.append(np.column_stack([lacking, np.full(len(lacking), -1), np.zeros(len(lacking), np.int64)]))
+    busy = np.concatenate(hot)
+    if len(busy):
+        name, inverse = np.unique(busy[:, :2], axis=0, return_inverse=True)
+        spare = np.full(len(name), 255)
+        np.minimum.at(spare, inverse.ravel(), busy[:, 2])
+        busy = np.column_stack([name, spare, np.bincount(inverse.ravel(), busy[:, 3], len(name)).astype(np.int64)])
+    return *_distinct(first, second), busy
+
+
+def _distinct(first: list, second: list) -> tuple[np.ndarray, np.ndarray]:
+    a, b = np.concatenate(first), np.concatenate(second)
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    fit = a != b
+    both = np.unique(np.stack([a[fit], b[fit]], 1), axis=0)
+    return both[:, 0], both[:, 1]
+
 
+_MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("band", pa.int64()), ("spare", pa.int64()), ("hot", pa.int64())])
 
-_MET = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("band", pa.int32()), ("spare", pa.int64()), ("hot", pa.int64())])
-_MET_DDL = "a binary, b binary, band int, spare long, hot long"
 
+def meetings(index: DataFrame, hard: bool, sketched=None) -> DataFrame:
+    """Rows (a, b) of codes: pairs to be compared; rows with `hot`: what the crowded segments of the sets a count in a band.
 
-def meetings(index: DataFrame, bands: Bands, hard: bool) -> DataFrame:
-    """Rows (a, b): pairs to be compared; rows with `hot`: what the crowded segments of set a count in a band."""
+    sketched: a broadcast SketchTable; pairs that it rules out aren't sent on.
+    """
 
     def run(batches):
-        now, packs = None, []
+        now, packs, first, second = None, [], [], []
+
+        def pairs():
+            a, b = _distinct(first, second)
+            first.clear()
+            second.clear()
+            if sketched is not None:
+                fit = sketched.value.may_link(a, b)
+                a, b = a[fit], b[fit]
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(len(a), pa.int64()) for _ in range(3))], schema=_MET)
 
         def found():
-            a, b, busy, hot = _met(packs, bands, hard)
-            n, m = len(a), len(busy)
-            ids = lambda x: _ids(x["hi"], x["lo"])
-            swap = (a["hi"] > b["hi"]) | (a["hi"] == b["hi"]) & (a["lo"] > b["lo"])
-            first, second = np.where(swap, b, a), np.where(swap, a, b)
-            yield pa.RecordBatch.from_arrays([ids(first), ids(second), *(pa.nulls(n, t) for t in (pa.int32(), pa.int64(), pa.int64()))], schema=_MET)
-            if m:
-                yield pa.RecordBatch.from_arrays([ids(busy), pa.nulls(m, pa.binary()), pa.array(busy["band"]), pa.array(busy["spare"].astype(np.int64)), pa.array(hot)], schema=_MET)
+            a, b, busy = _met(packs, hard)
+            packs.clear()
+            first.append(a)
+            second.append(b)
+            if sum(map(len, first)) > 1 << 20:
+                yield pairs()
+            if len(busy):
+                yield pa.RecordBatch.from_arrays([pa.array(busy[:, 0]), pa.nulls(len(busy), pa.int64()), *(pa.array(np.ascontiguousarray(busy[:, k])) for k in (1, 2, 3))], schema=_MET)
 
         for batch in batches:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if k != now and packs:
                     yield from found()
-                    packs = []
                 now = k
                 packs.append(x.as_buffer())
         if packs:
             yield from found()
+        if first:
+            yield pairs()
+
+    return index.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, band long, spare long, hot long")
 
-    return index.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _MET_DDL)
+
+def _of_codes(pairs: DataFrame, some: DataFrame, bands: Bands) -> DataFrame:
+    """Pairs of codes as pairs of set ids (a < b) whose sizes are close enough."""
+    known = some.select("set_id", "code", "n_shingles").distinct()
+    left, right = (known.select(F.col("set_id").alias(k), F.col("code").alias(f"code_{k}"), F.col("n_shingles").alias(f"n_{k}")) for k in "ab")
+    both = pairs.select(F.col("a").alias("code_a"), F.col("b").alias("code_b")).join(left, "code_a").join(right, "code_b")
+    fit = (F.least("n_a", "n_b") * bands.den >= F.greatest("n_a", "n_b") * bands.num) & (F.col("a") != F.col("b"))
+    return both.where(fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _semi(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -399,48 +538,91 @@ def _semi(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(wanted, ["doc", "null", "key"])
 
 
-def _compared(docs: DataFrame, sets: DataFrame, pairs: DataFrame, bands: Bands, shingle: int) -> DataFrame:
-    """Those of the pairs (a, b) that are similar, by their whole sets."""
-    ends = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    wanted = written(ends.join(sets, "set_id").groupBy("set_id").agg(F.min(F.struct("doc", "null", "key")).alias("at")).select("set_id", "at.*"), "wanted")
+def _compared(docs: DataFrame, some: DataFrame, pairs: DataFrame, bands: Bands, shingle: int) -> DataFrame:
+    """Those of the pairs (a, b) of set ids that are similar, by their whole sets.
 
-    def run(batches):
+    Each pair's sets meet at a's place: b's set travels there once for each pair, a's once; a place with very many pairs is
+    dealt to several tasks, and a task holds one set at a time.
+    """
+    places = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / STAR_SETS).cast("int"))
+    to = pairs.join(places, "a").select("a", F.col("b").alias("set_id"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("turn"))
+    own = places.select("a", F.col("a").alias("set_id"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("turn"))
+    at = some.groupBy("set_id").agg(F.min(F.struct("doc", "null", "key")).alias("at"))
+    trips = to.unionByName(own).groupBy("set_id").agg(F.collect_list(F.struct("a", "salt", "turn")).alias("to"))
+    wanted = written(trips.join(at, "set_id").select("set_id", "at.*", "to"), "wanted")
+
+    def sets(batches):
         for b in batches:
             r0 = 0
             for sizes, elements in shingle_sets(b.column(1), PIECE_BYTES, shingle):
-                # 48 bits of each hash tell the elements of two sets apart
-                short = elements >> np.uint64(16)
-                ends = np.cumsum(sizes)
-                data = [short[e - s : e].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
-                yield pa.record_batch({"set_id": b.column(0).slice(r0, len(sizes)), "elements": pa.array(data, pa.binary())})
+                # 40 bits of each hash tell the elements of two sets apart
+                ends, short = np.cumsum(sizes), elements >> np.uint64(24)
+                data = [_planes(short[e - s : e], 5) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+                to = b.column(2).slice(r0, len(sizes))
+                count = np.diff(np.asarray(to.offsets))
+                row = np.repeat(np.arange(len(sizes)), count)
+                flat = to.flatten()
+                yield pa.RecordBatch.from_arrays([flat.field(0), flat.field(1), flat.field(2), b.column(0).slice(r0, len(sizes)).take(pa.array(row)), pa.array([data[r] for r in row.tolist()], pa.binary())], names=["a", "salt", "turn", "b", "elements"])
                 r0 += len(sizes)
 
-    held = written(_semi(docs, wanted).select("set_id", "text").mapInArrow(run, "set_id binary, elements binary"), "sets")
-    both = pairs.join(held.select(F.col("set_id").alias("b"), F.col("elements").alias("of_b")), "b").join(held.select(F.col("set_id").alias("a"), F.col("elements").alias("of_a")), "a")
-
-    def elements_of(data: bytes) -> np.ndarray:
-        wide = np.zeros((len(data) // 6, 8), np.uint8)
-        wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-        return wide.view("<u8")[:, 0]
+    sent = _semi(docs, wanted).select("set_id", "text", "to").mapInArrow(sets, "a binary, salt int, turn int, b binary, elements binary")
 
     def compare(batches):
-        for b in batches:
-            similar, last, one = [], None, None
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if x is not last:
-                    last, one = x, elements_of(x)
-                two = elements_of(y)
-                all_ = np.concatenate([one, two])
+        center, one = None, None
+        for batch in batches:
+            a, b = [], []
+            for x, turn, y, data in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+                if turn == 0:
+                    center, one = x, _from_planes(data, 0, len(data) // 5, 5)
+                    continue
+                if center != x:
+                    raise ValueError("a set's place is missing")
+                all_ = np.concatenate([one, _from_planes(data, 0, len(data) // 5, 5)])
                 all_.sort(kind="stable")
                 shared = int((all_[1:] == all_[:-1]).sum())
-                similar.append(shared * bands.den >= (len(all_) - shared) * bands.num)
-            yield b.select(["a", "b"]).filter(pa.array(similar, pa.bool_()))
+                if shared * bands.den >= (len(all_) - shared) * bands.num:
+                    a.append(x)
+                    b.append(y)
+            yield pa.record_batch({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return both.select("a", "b", "of_a", "of_b").mapInArrow(compare, "a binary, b binary")
+    return sent.repartition("a", "salt").sortWithinPartitions("a", "salt", "turn").mapInArrow(compare, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: tuple[int, int] = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id, set_id for every row; rows of one set_id have equal sets."""
+def _linked(docs: DataFrame, some: DataFrame, pairs: DataFrame, links: DataFrame | None, bands: Bands, shingle: int) -> DataFrame:
+    """The links so far and those among the pairs, but for pairs that links join already.
+
+    First each set is compared with its least partner only; most groups are then joined, and of the other pairs only those across
+    components remain.
+    """
+    pairs = written(pairs, "pairs")
+    star = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star")
+    new = written(_compared(docs, some, star, bands, shingle), "links")
+    links = new if links is None else links.unionByName(new)
+    roots = components(links, "a", "b")
+    rest = pairs.join(star, ["a", "b"], "left_anti")
+    rest = rest.join(roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b", "left")
+    rest = written(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", F.conv(F.hex(F.substring("a", 1, CODE_BYTES)), 16, 10).cast("long").alias("code_a"), F.conv(F.hex(F.substring("b", 1, CODE_BYTES)), 16, 10).cast("long").alias("code_b")), "rest")
+    if rest.limit(1).count():
+        table = sketch_table(some, rest.select(F.col("code_a").alias("code")).unionByName(rest.select(F.col("code_b").alias("code"))), bands)
+        if table is not None:
+
+            def sift(batches):
+                for b in batches:
+                    yield b.select(["a", "b"]).filter(pa.array(table.value.may_link(np.asarray(b.column(2)), np.asarray(b.column(3)))))
+
+            rest = rest.mapInArrow(sift, "a binary, b binary")
+        else:
+            rest = sifted(rest.select("a", "b"), some, bands)
+        rest = written(rest, "rest")
+        links = links.unionByName(written(_compared(docs, some, rest, bands, shingle), "links"))
+    return links
+
+
+def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: tuple[int, int] = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
+    """doc, null, key, n_shingles, set_id, root, component_id for every row.
+
+    doc, null and key are the id (0 for null), whether it is null, and a hash of the text; root names the component (null for empty sets).
+    """
     text, own = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col)
     rows = docs.select(F.coalesce(own.cast("long"), F.lit(0)).alias("doc"), own.isNull().cast("long").alias("null"), F.xxhash64(text).alias("key"), text.alias("text"))
     bands = chosen_bands(rows, similar, shingle)
@@ -453,32 +635,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for sizes, elements in shingle_sets(b.column(3), PIECE_BYTES, shingle):
                 hi, lo = set_ids(sizes, elements)
                 n = len(sizes)
-                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(r0, n) for i in range(3)), pa.array(sizes, pa.int64()), _ids(hi, lo)], names=["doc", "null", "key", "n_shingles", "set_id"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(r0, n) for i in range(3)), pa.array(sizes, pa.int64()), _ids(hi, lo), pa.array(_codes(hi)), pa.array(sketches(bands, sizes, elements), pa.binary())], names=["doc", "null", "key", "n_shingles", "set_id", "code", "sketch"])
                 r0 += n
 
-    sets = written(rows.mapInArrow(identify, "doc long, null long, key long, n_shingles long, set_id binary"), "set-ids")
+    sets = written(rows.mapInArrow(identify, "doc long, null long, key long, n_shingles long, set_id binary, code long, sketch binary"), "set-ids")
     some = sets.where("n_shingles > 0")
 
-    met = written(meetings(indexed(rows, bands, buckets, False, shingle), bands, False), "meetings")
-    pairs = written(met.where("hot is null").select("a", "b").distinct(), "pairs")
-    links = written(_compared(rows, some, pairs, bands, shingle), "links")
-
-    # sets that the first round doesn't serve: too many of their segments are crowded, or too many are empty
-    crowded = met.where("hot is not null").groupBy("a", "band").agg(F.sum("hot").alias("hot"), F.min("spare").alias("spare")).where("hot > spare").select(F.col("a").alias("set_id"))
-    hard = written(crowded.distinct(), "hard")
-    if hard.limit(1).count():
-        joined = components(links, "a", "b").withColumnsRenamed({"node": "set_id", "root": "joined"})
-        wanted = hard.join(some.groupBy("set_id").agg(F.min(F.struct("doc", "null", "key")).alias("at")), "set_id").join(joined, "set_id", "left")
-        wanted = written(wanted.select("at.*", F.coalesce("joined", "set_id").alias("joined")), "wanted")
-        again = meetings(indexed(_semi(rows, wanted), bands, buckets, True, shingle), bands, True)
-        more = written(again.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if more.limit(1).count():
-            links = links.unionByName(written(_compared(rows, some, more, bands, shingle), "links"))
-
+    met = written(meetings(indexed(rows, bands, buckets, False, shingle), False), "meetings")
+    shared = some.groupBy("code").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select(F.col("code").alias("a"), F.col("code").alias("b"))
+    pairs = _of_codes(met.where("hot is null").select("a", "b").distinct().unionByName(shared), some, bands)
+    links = _linked(rows, some, pairs, None, bands, shingle)
     roots = components(links, "a", "b")
+
+    # sets that the first round doesn't serve: too many of their segments are crowded, or too few hold anything
+    hard = met.where("hot is not null").groupBy("a", "band").agg(F.sum("hot").alias("hot"), F.min("spare").alias("spare")).where("hot > spare").select(F.col("a").alias("code")).distinct()
+    joined = some.join(hard, "code").groupBy("set_id").agg(F.min(F.struct("doc", "null", "key")).alias("at")).join(roots, F.col("set_id") == F.col("node"), "left")
+    wanted = written(joined.select("at.*", F.xxhash64(F.coalesce("root", "set_id")).alias("joined")), "wanted")
+    if wanted.limit(1).count():
+        table = sketch_table(some, hard, bands)
+        again = written(meetings(indexed(_semi(rows, wanted), bands, buckets, True, shingle), True, table), "meetings")
+        more = _of_codes(again.where("hot is null").select("a", "b").distinct(), some, bands)
+        links = _linked(rows, some, more, links, bands, shingle)
+        roots = components(links, "a", "b")
+
     least = some.groupBy("set_id").agg(F.min(F.when(F.col("null") == 0, F.col("doc"))).alias("least"))
-    named = least.join(roots, least["set_id"] == roots["node"], "left").select("set_id", "least", F.coalesce("root", "set_id").alias("root"))
+    named = least.join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "least", F.coalesce("root", "set_id").alias("root"))
     by_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(by_root, "root").select("set_id", "component_id")
+    classes = named.join(by_root, "root").select("set_id", "root", "component_id")
     own_id = F.when(F.col("null") == 0, F.col("doc"))
-    return sets.join(classes, "set_id", "left").select(own_id.alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(own_id).alias("component_id"), "set_id")
+    least = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(own_id)
+    return sets.join(classes, "set_id", "left").select("doc", "null", "key", "n_shingles", "set_id", "root", least.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, n_shingles, component_id, set_id for every row; rows of one set_id have equal sets."""
+    return labelled(docs, **how).select(F.when(F.col("null") == 0, F.col("doc")).alias("doc_id"), "n_shingles", "component_id", "set_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component with all its columns: the one of the least id (null last), and of these the least hash of the text.
+
+    Documents without words stay. Of rows that are equal in id and text one stays.
+    """
+    names = docs.columns
+    inner = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    own, text = F.col(f"_{names.index(id_col)}"), F.col(f"_{names.index(text_col)}")
+    keyed = inner.withColumns({"doc": F.coalesce(own.cast("long"), F.lit(0)), "null": own.isNull().cast("long"), "key": F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))})
+    labels = written(labelled(inner.select(own.alias("doc_id"), text.alias("text"))), "labelled")
+    some = labels.where("n_shingles > 0")
+    chosen = some.groupBy("root").agg(F.min(F.struct("null", "doc", "key")).alias("at")).select("at.*")
+    kept = keyed.join(chosen.unionByName(labels.where("n_shingles = 0").select("null", "doc", "key").distinct()), ["doc", "null", "key"], "left_semi")
+    if some.groupBy("doc", "null", "key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        wordless = ~text.rlike(r"[^\x20\x09-\x0D]") | text.isNull()
+        kept = kept.where(wordless).unionByName(kept.where(~wordless).dropDuplicates(["doc", "null", "key"]))
+    return kept.select(*inner.columns).toDF(*names)
