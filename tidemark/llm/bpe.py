@@ -18,14 +18,15 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import WHITE_SPACE, id_and_text
+from tidemark.llm.common import WHITE_SPACE, id_and_text, is_latin1
 
 #: Words whose ids a worker remembers; beyond it the memory is emptied. It changes speed, never results.
 CACHED_WORDS = 250_000
@@ -253,7 +254,7 @@ class StreamingEncoder:
         return [*self._plain(tail), *self._end()]
 
     def _pretokens(self, text: str) -> list[str]:
-        return pretoken_pattern(0xFFFF if text.isascii() or max(text) <= "\uffff" else 0x10FFFF).findall(text)
+        return pretoken_pattern(0xFFFF if is_latin1(text) or max(text) <= "\uffff" else 0x10FFFF).findall(text)
 
     def _ids(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.words.__getitem__, self._pretokens(text)))) if text else []
@@ -389,15 +390,16 @@ def bpe_decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def bpe_round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Encode and decode every whole text in one pass, feed by feed, keeping only counts and digests.
+def bpe_round_trip(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:
+    """Encode and decode every whole text in one pass, feed by feed, keeping only counts and digests, and on wish the ids.
 
-    Neither the ids nor the decoded text of a document are ever held whole.
+    Without the ids, neither these nor the decoded text of a document are ever held whole.
     """
 
-    def digests(merges: MergeList, words: _Words, text: str) -> tuple[int, str, str]:
+    def digests(merges: MergeList, words: _Words, text: str) -> tuple:
         encoder, decoder = StreamingEncoder(merges, words), StreamingDecoder(merges)
         ids_hash, text_hash, n = hashlib.sha256(), hashlib.sha256(), 0
+        kept = array("i")
         decimal = merges.decimal.__getitem__
 
         def take(ids: list[int]) -> None:
@@ -406,18 +408,24 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
                 ids_hash.update(("," * bool(n) + ",".join(map(decimal, ids))).encode())
                 text_hash.update(decoder.feed(ids).encode())
                 n += len(ids)
+                if with_ids:
+                    kept.extend(ids)
 
         for at in range(0, len(text), FEED_CHARS):
             take(encoder.feed(text[at : at + FEED_CHARS]))
         take(encoder.finish())
         text_hash.update(decoder.finish().encode())
-        return n, ids_hash.hexdigest(), text_hash.hexdigest()
+        return n, ids_hash.hexdigest(), text_hash.hexdigest(), kept
 
     def run(batches):
         merges, words = load_merges(tokenizer)
         for b in batches:
             rows = [digests(merges, words, t) for t in b.column(1).to_pylist()]
-            n, i, d = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.record_batch({"doc_id": b.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(i, pa.string()), "decoded_sha256": pa.array(d, pa.string())})
-
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            n, i, d, kept = zip(*rows, strict=True) if rows else ((), (), (), ())
+            made = {"doc_id": b.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(i, pa.string()), "decoded_sha256": pa.array(d, pa.string())}
+            if with_ids:
+                ends = pa.array([0, *accumulate(n)], pa.int32())
+                made["ids"] = pa.ListArray.from_arrays(ends, pa.concat_arrays([pa.Array.from_buffers(pa.int32(), len(k), [None, pa.py_buffer(k)]) for k in kept] or [pa.array([], pa.int32())]))
+            yield pa.record_batch(made)
+
+    return id_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
