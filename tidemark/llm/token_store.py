@@ -14,12 +14,16 @@ the end id alone. Empty tables give an empty store. Repeated rows are stored aga
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import struct
 import uuid
 import zlib
+from collections.abc import Iterable
 from functools import lru_cache
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WHITE_SPACE, filesystem, fresh_path, id_and_text, written
+from tidemark.llm.bpe import _classes
+from tidemark.llm.common import WHITE_SPACE, filesystem, fresh_path, id_and_text, is_latin1, written
 
 MAGIC = b"TMTOKS01"
 ENTRY = np.dtype([("doc_id", "<i8"), ("has_id", "<i8"), ("offset", "<u8"), ("length", "<u8"), ("n", "<u8")])
@@ -35,17 +40,22 @@ ENTRY = np.dtype([("doc_id", "<i8"), ("has_id", "<i8"), ("offset", "<u8"), ("len
 DICTIONARY_DOCS, DICTIONARY_BYTES = 2000, 64 << 10
 #: Ids of one document that train the dictionary at most; documents count whole in everything else.
 DICTIONARY_IDS = 16_384
-#: Words whose ids a worker remembers; beyond it the memory is emptied. It changes speed, never results.
-CACHED_WORDS = 250_000
+#: Words whose ids a worker remembers, in each of two generations. It changes speed, never results.
+CACHED_WORDS = 650_000
+
+#: Fixed value: the code point after the Latin blocks, all of whose letters NFC leaves alone.
+PLAIN_BEFORE = "\u0250"
 
 _WORD = re.compile(f"[^{WHITE_SPACE}]+")
 
 
 class WordIds:
-    """Ids of texts by the tokenizers library, which sees each distinct word once.
+    """Ids of texts by the tokenizers library, which sees each distinct piece of text once.
 
-    Only for tokenizers that drop white space and look at nothing beyond it, such as word_bpe_49k.json, whose
-    normalizer and pre-tokenizer work within a run of other characters.
+    Only for tokenizers that drop white space and whose normalizer and pre-tokenizer are those of word_bpe_49k.json: NFC,
+    lower case, then contractions, runs of letters, single numbers and runs of other signs. Texts in plain Latin
+    letters, which NFC leaves alone and where lower case is by the letter, are split into these pieces here; all
+    others into runs without white space, of which the library makes the pieces.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,17 +66,49 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        tokens, suffix = self.tokenizer.get_vocab(with_added_tokens=True), json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(1 + max(tokens.values()), bool)
+        self.ends[[i for t, i in tokens.items() if t.endswith(suffix)]] = True
+        letter, number = _classes(0xFFFF)
+        self.pieces = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{WHITE_SPACE}{letter}{number}]+")
+
+    def split(self, text: str) -> list[str]:
+        if text and "<|" not in text and (is_latin1(text) or max(text) < PLAIN_BEFORE):
+            return self.pieces.findall(text.lower())
+        return _WORD.findall(text)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [_WORD.findall(t) for t in texts]
         if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        new = list(set().union(*split).difference(self.known)) if split else []
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            self.known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+            self.known, self.older = {}, self.known
+        split = [self.split(t) for t in texts]
+        found = [list(map(self.known.get, words)) for words in split]
+        holes = [k for k, ids in enumerate(found) if None in ids]
+        new = set()
+        for k in holes:
+            new.update(compress(split[k], map(is_, found[k], repeat(None))))
+        again = new.intersection(self.older)
+        self.known.update((w, self.older[w]) for w in again)
+        new -= again
+        odd = [w for w in new if "<|" in w]
+        self.known.update((w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in odd)
+        new = list(new.difference(odd))
+        for at in range(0, len(new), 16_384):
+            self.known.update(self._encoded(new[at : at + 16_384]))
+        for k in holes:
+            found[k] = [self.known[w] if x is None else x for w, x in zip(split[k], found[k], strict=True)]
+        return list(map(b"".join, found))
+
+    def _encoded(self, words: list[str]):
+        """Each word's ids: all words as one text, cut where a token says that its piece ends there."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        edge = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
+        last = np.cumsum([0, *(len(self.pieces.findall(w.lower())) if max(w) < PLAIN_BEFORE else -1 for w in words)])
+        if last[-1] == len(edge) - 1 and edge[-1] == len(ids) and (np.diff(last) > 0).all():
+            data, cut = ids.tobytes(), (4 * edge[last]).tolist()
+            return zip(words, [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], strict=True)
+        return zip(words, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)), strict=True)
 
 
 @lru_cache(4)
@@ -74,7 +116,7 @@ def _word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def _ids(tokenizer: str, texts: list[str], end_id: int, most: int = 1 << 20):
+def _ids(tokenizer: str, texts: Iterable[str], end_id: int, most: int = 1 << 20):
     """Ids of the texts in order, each with the end id, about a million characters at a time."""
     end, part, size = struct.pack("<I", end_id), [], 0
     for t in texts:
@@ -132,8 +174,8 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> Data
         system, folder = filesystem(path)
         out, name, entries, n_tokens, at = None, f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}", [], 0, 40
         for b in batches:
-            ids = b.column(0).to_pylist()
-            for doc_id, x in zip(ids, _ids(tokenizer, b.column(1).to_pylist(), end_id), strict=True):
+            texts = (x.as_py() for x in b.column(1))
+            for doc_id, x in zip(b.column(0).to_pylist(), _ids(tokenizer, texts, end_id), strict=True):
                 if out is None:
                     system.create_dir(folder, recursive=True)
                     out = system.open_output_stream(f"{folder}/_{name}", buffer_size=1 << 20)
