@@ -460,13 +460,7 @@ def _met(packs, hard: bool):
             add(np.repeat(e, n)[inner > 0], member[inner > 0])
             hot.append(np.stack([code[member], (mark[member] >> 3).astype(np.int64), over[member].astype(np.int64) - 1, (mark[member] & 3).astype(np.int64)], 1))
     hot.append(np.column_stack([lacking, np.full(len(lacking), -1), np.zeros(len(lacking), np.int64)]))
-    busy = np.concatenate(hot)
-    if len(busy):
-        name, inverse = np.unique(busy[:, :2], axis=0, return_inverse=True)
-        spare = np.full(len(name), 255)
-        np.minimum.at(spare, inverse.ravel(), busy[:, 2])
-        busy = np.column_stack([name, spare, np.bincount(inverse.ravel(), busy[:, 3], len(name)).astype(np.int64)])
-    return *_distinct(first, second), busy
+    return *_distinct(first, second), _summed(np.concatenate(hot))
 
 
 def _distinct(first: list, second: list) -> tuple[np.ndarray, np.ndarray]:
@@ -477,36 +471,54 @@ def _distinct(first: list, second: list) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
-_MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("band", pa.int64()), ("spare", pa.int64()), ("hot", pa.int64())])
+def _summed(busy: np.ndarray) -> np.ndarray:
+    """(code, band, spare, hot) rows with the least spare and the sum of hot for each code and band."""
+    name, inverse = np.unique(busy[:, :2], axis=0, return_inverse=True)
+    spare = np.full(len(name), 255)
+    np.minimum.at(spare, inverse.ravel(), busy[:, 2])
+    return np.column_stack([name, spare, np.bincount(inverse.ravel(), busy[:, 3], len(name)).astype(np.int64)])
 
 
-def meetings(index: DataFrame, hard: bool, sketched=None) -> DataFrame:
-    """Rows (a, b) of codes: pairs to be compared; rows with `hot`: what the crowded segments of the sets a count in a band.
+def meetings(index: DataFrame, hard: bool, parts: int, sketched=None) -> DataFrame:
+    """Rows (a, b) of codes: pairs to be compared, each once; rows with `hot`: what the crowded segments of set a count in a band.
 
-    sketched: a broadcast SketchTable; pairs that it rules out aren't sent on.
+    A pair meets in many buckets. Tasks send what they found as packed arrays to `parts` places by code, where each pair is kept
+    once and counts are summed, so rows are as many as pairs. sketched: a broadcast SketchTable; pairs that it rules out aren't sent on.
     """
 
-    def run(batches):
-        now, packs, first, second = None, [], [], []
+    def find(batches):
+        import zstandard
 
-        def pairs():
-            a, b = _distinct(first, second)
-            first.clear()
-            second.clear()
+        z = zstandard.ZstdCompressor(level=1)
+        now, packs, first, second, busy = None, [], [], [], []
+
+        def sent():
+            a, b = _distinct(first or [np.zeros(0, np.int64)], second or [np.zeros(0, np.int64)])
             if sketched is not None:
                 fit = sketched.value.may_link(a, b)
                 a, b = a[fit], b[fit]
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(len(a), pa.int64()) for _ in range(3))], schema=_MET)
+            hot = _summed(np.concatenate([np.zeros((0, 4), np.int64), *busy]))
+            first.clear()
+            second.clear()
+            busy.clear()
+            of_pair, of_hot = (mix64(x.astype(np.uint64)) % np.uint64(parts) for x in (a, hot[:, 0]))
+            names = np.union1d(of_pair, of_hot).astype(np.int64).tolist()
+            order, order_hot = np.argsort(of_pair, kind="stable"), np.argsort(of_hot, kind="stable")
+            cut, cut_hot = (np.searchsorted(x[o], np.append(np.array(names, np.uint64), np.uint64(parts))) for x, o in ((of_pair, order), (of_hot, order_hot)))
+            out = []
+            for k in range(len(names)):
+                p, q = order[cut[k] : cut[k + 1]], order_hot[cut_hot[k] : cut_hot[k + 1]]
+                out.append(z.compress(struct.pack("<qq", len(p), len(q)) + np.concatenate([a[p], b[p], hot[q].T.ravel()]).astype("<i8").tobytes()))
+            return pa.record_batch({"part": pa.array(names, pa.int64()), "pack": pa.array(out, pa.binary())})
 
         def found():
-            a, b, busy = _met(packs, hard)
+            a, b, hot = _met(packs, hard)
             packs.clear()
             first.append(a)
             second.append(b)
+            busy.append(hot)
             if sum(map(len, first)) > 1 << 20:
-                yield pairs()
-            if len(busy):
-                yield pa.RecordBatch.from_arrays([pa.array(busy[:, 0]), pa.nulls(len(busy), pa.int64()), *(pa.array(np.ascontiguousarray(busy[:, k])) for k in (1, 2, 3))], schema=_MET)
+                yield sent()
 
         for batch in batches:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -517,9 +529,41 @@ def meetings(index: DataFrame, hard: bool, sketched=None) -> DataFrame:
         if packs:
             yield from found()
         if first:
-            yield pairs()
+            yield sent()
+
+    def merge(batches):
+        import zstandard
+
+        z, now, held = zstandard.ZstdDecompressor(), None, []
+
+        def merged():
+            a, b, hot = [], [], []
+            for x in held:
+                data = z.decompress(x)
+                n, m = struct.unpack_from("<qq", data)
+                values = np.frombuffer(data, "<i8", 2 * n + 4 * m, 16)
+                a.append(values[:n])
+                b.append(values[n : 2 * n])
+                hot.append(values[2 * n :].reshape(4, m).T)
+            held.clear()
+            both, hot = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0), _summed(np.concatenate(hot))
+            none = lambda n: pa.nulls(n, pa.int64())
+            names = ["a", "b", "band", "spare", "hot"]
+            n, m = len(both), len(hot)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), none(n), none(n), none(n)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(hot[:, 0])), none(m), *(pa.array(np.ascontiguousarray(hot[:, k])) for k in (1, 2, 3))], names=names)
+
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if k != now and held:
+                    yield from merged()
+                now = k
+                held.append(x.as_buffer())
+        if held:
+            yield from merged()
 
-    return index.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, band long, spare long, hot long")
+    packed = index.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(find, "part long, pack binary")
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "a long, b long, band long, spare long, hot long")
 
 
 def _of_codes(pairs: DataFrame, some: DataFrame, bands: Bands) -> DataFrame:
@@ -641,20 +685,21 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     sets = written(rows.mapInArrow(identify, "doc long, null long, key long, n_shingles long, set_id binary, code long, sketch binary"), "set-ids")
     some = sets.where("n_shingles > 0")
 
-    met = written(meetings(indexed(rows, bands, buckets, False, shingle), False), "meetings")
+    parts = buckets // 4
+    met = written(meetings(indexed(rows, bands, buckets, False, shingle), False, parts), "meetings")
     shared = some.groupBy("code").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select(F.col("code").alias("a"), F.col("code").alias("b"))
-    pairs = _of_codes(met.where("hot is null").select("a", "b").distinct().unionByName(shared), some, bands)
+    pairs = _of_codes(met.where("hot is null").select("a", "b").unionByName(shared), some, bands)
     links = _linked(rows, some, pairs, None, bands, shingle)
     roots = components(links, "a", "b")
 
     # sets that the first round doesn't serve: too many of their segments are crowded, or too few hold anything
-    hard = met.where("hot is not null").groupBy("a", "band").agg(F.sum("hot").alias("hot"), F.min("spare").alias("spare")).where("hot > spare").select(F.col("a").alias("code")).distinct()
+    hard = met.where("hot > spare").select(F.col("a").alias("code")).distinct()
     joined = some.join(hard, "code").groupBy("set_id").agg(F.min(F.struct("doc", "null", "key")).alias("at")).join(roots, F.col("set_id") == F.col("node"), "left")
     wanted = written(joined.select("at.*", F.xxhash64(F.coalesce("root", "set_id")).alias("joined")), "wanted")
     if wanted.limit(1).count():
         table = sketch_table(some, hard, bands)
-        again = written(meetings(indexed(_semi(rows, wanted), bands, buckets, True, shingle), True, table), "meetings")
-        more = _of_codes(again.where("hot is null").select("a", "b").distinct(), some, bands)
+        again = written(meetings(indexed(_semi(rows, wanted), bands, buckets, True, shingle), True, parts, table), "meetings")
+        more = _of_codes(again.where("hot is null").select("a", "b"), some, bands)
         links = _linked(rows, some, more, links, bands, shingle)
         roots = components(links, "a", "b")
 
