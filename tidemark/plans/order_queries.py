@@ -107,15 +107,14 @@ def option_rotation(t):
     return t.part.select("p_partkey", F.array_join(m.rotate(options, k), "|").alias("options"), m.letter(m.rotated_index(F.col("p_partkey") % 4, F.lit(4), k)).alias("answer"))
 
 
-@query("SELECT c_custkey, CAST(c_custkey % 100 || '.' || c_nationkey || '.x' AS VARCHAR) AS id, row_number() OVER (ORDER BY c_custkey % 100, c_nationkey, c_custkey) AS place FROM customer")
+@query("SELECT c_custkey, CAST(c_custkey % 100 || '.' || c_nationkey || '.x' AS VARCHAR) AS id, (c_custkey % 100) || ',' || c_nationkey || ',-1' AS place FROM customer")
 def natural_order(t):
-    """Dotted ids in natural order."""
-    from pyspark.sql import Window
-
+    """Dotted ids with the numbers that sort them in natural order, in that order."""
     from tidemark.functions.text import natural_key
 
     rows = t.customer.select("c_custkey", F.concat_ws(".", (F.col("c_custkey") % 100).cast("string"), F.col("c_nationkey").cast("string"), F.lit("x")).alias("id"))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(natural_key(F.col("id")), "c_custkey")))
+    key = natural_key(F.col("id"))
+    return rows.orderBy(key, "c_custkey").select("c_custkey", "id", F.array_join(key.cast("array<string>"), ",").alias("place"))
 
 
 @query("SELECT o_orderkey, 100 + CAST('0x' || substr(sha1(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 900 AS task FROM orders")
