@@ -90,6 +90,25 @@ def test_target_recall_needs_more_tables_for_more_edits():
     assert few == 1 < many
 
 
+@pytest.mark.parametrize("kind", ["middle", "block", "scattered"])
+def test_candidates_of_replaced_blocks(kind):
+    """Copies at the largest distance, their new words outside the benchmark, wherever these stand."""
+    r = np.random.default_rng(99)
+    items = [(i, r.integers(0, 1 << 62, int(r.integers(20, 60))).astype(np.uint64)) for i in range(120)]
+    by_size = {}
+    for _, w in items:
+        by_size.setdefault(d.window_size(len(w)), []).append(w)
+    index = d.Index(items, 0.2, {n: d.tables_for(m, n, 0.2, 0.95) for n, m in by_size.items()})
+    hit = 0
+    for k, (_, w) in enumerate(items):
+        n, copy = int(0.2 * len(w)), w.copy()
+        at = r.choice(len(w), n, replace=False) if kind == "scattered" else np.arange(n) + ((len(w) - n) // 2 if kind == "middle" else int(r.integers(0, len(w) - n + 1)))
+        copy[at] = r.integers(0, 1 << 62, n)
+        text = np.concatenate([r.integers(0, 1 << 62, 50).astype(np.uint64), copy, r.integers(0, 1 << 62, 50).astype(np.uint64)])
+        hit += k in index.candidates(text, np.zeros(len(text), np.int64))[:, 1]
+    assert hit >= 0.93 * len(items)  # 0.95 is sought; so many copies may miss it by chance
+
+
 def test_whole_table(spark, sf):
     """Every document that holds an item word for word, and no document whose best place is further off than allowed."""
     items = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}

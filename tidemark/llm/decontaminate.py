@@ -9,7 +9,9 @@ number of tables is raised until simulated edits at the distance sought are foun
 counts only if the exact edit distance (in words) between the whole item and its best place in the document is
 at most `max_edit` of the item's words.
 
-Windows that hold too few words of any item to be within that distance take no walks: a count, which loses nothing.
+Windows with more unknown words than the longest item of their size may have edits take no walks: a count, which loses
+nothing, as a stretch within that distance holds no more words that no item has. Copies are simulated with scattered edits
+and with one replaced block, and tables are added until each kind reaches the target recall.
 Items are taken in blocks of a bounded size, each broadcast for one pass over all documents, so any number of items works.
 
 Words are runs of letters, digits and other bytes beyond ASCII, after lower-casing; signs don't count. Nulls: a null
@@ -19,8 +21,6 @@ items give repeated results. Empty tables give empty results. Other columns are
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +30,7 @@ from tidemark.llm.common import Texts, id_and_text, mix64, word_hashes, written
 
 #: Words of an item that may differ, as a share; recall that simulated copies at this distance must reach.
 MAX_EDIT, TARGET_RECALL = 0.2, 0.95
-#: Places that a table samples, and most tables that are tried for the target.
+#: Places that a table samples, and tables that are tried for the target together.
 SAMPLED, MOST_TABLES = 5, 24
 #: Share of an item's words that its windows take, at most, and the sizes that windows may have.
 WINDOW_SHARE = 0.75
@@ -70,11 +70,11 @@ class Walks:
     """The random choices of one window size: steps, and for each table a multiplier for each step and the places it samples."""
 
     def __init__(self, size: int, tables: int, seed: int = 7) -> None:
-        r = np.random.default_rng([seed, size])
         self.size, self.tables, self.steps = size, tables, 2 * size
-        self.bits = r.integers(0, 1 << 62, (MOST_TABLES, self.steps)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        own = [np.random.default_rng([seed, size, t]) for t in range(tables)]  # a table is the same, however many there are
+        self.bits = np.array([r.integers(0, 1 << 62, self.steps) for r in own]).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         k = min(SAMPLED, size)
-        self.places = np.array([np.sort(r.choice(self.steps, k, replace=False)) for _ in range(MOST_TABLES)])
+        self.places = np.array([np.sort(r.choice(self.steps, k, replace=False)) for r in own])
 
     def hashes(self, words: np.ndarray, starts: np.ndarray, table: int) -> np.ndarray:
         """One table's hash of the window at each start; beyond its end a window shows blanks."""
@@ -114,26 +114,68 @@ def edit_places(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def known_words(items: list[np.ndarray]) -> np.ndarray:
+    """A bitmap of the items' words."""
+    known = np.zeros(_BITMAP, bool)
+    for w in items:
+        known[(w % np.uint64(_BITMAP)).astype(np.int64)] = True
+    return known
+
+
+def known_before(known: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """How many known words stand before each place, and in all."""
+    return np.concatenate([[0], np.cumsum(known[(words % np.uint64(_BITMAP)).astype(np.int64)])])
+
+
+def near_enough(before: np.ndarray, size: int, most: int) -> np.ndarray:
+    """Whether the window at each place has at most `most` unknown words, the edits that its longest item may have.
+
+    The bound is of the item, not of the window: all of an item's edits may stand in one window.
+    """
+    return before[size:] - before[:-size] >= size - most
+
+
+def simulated(item: np.ndarray, kind: str, edits: int, r: np.random.Generator) -> np.ndarray:
+    """The item with so many edits, scattered or as one block of other words, among other words."""
+    copy, new = item.tolist(), lambda n: r.integers(0, 1 << 62, n).tolist()
+    if kind == "scattered":
+        for _ in range(edits):
+            i, one = int(r.integers(0, len(copy))), int(r.integers(0, 3))
+            copy[i : i + 1] = [] if one == 0 and len(copy) > 1 else [*new(1), copy[i]] if one == 1 else new(1)
+    else:
+        i = (len(copy) - edits) // 2 if kind == "middle" else int(r.integers(0, len(copy) - edits + 1))
+        copy[i : i + edits] = new(edits)
+    return np.array([*new(len(item)), *copy, *new(len(item))], np.uint64)
+
+
 def tables_for(items: list[np.ndarray], size: int, max_edit: float, target: float) -> int:
-    """The number of tables with which simulated copies of the items at the distance sought reach the target recall."""
-    walks, r = Walks(size, MOST_TABLES), np.random.default_rng(11)
-    tried = [items[int(i)] for i in r.integers(0, len(items), 60)]
-    found = np.zeros((len(tried), MOST_TABLES), bool)
-    for t, item in enumerate(tried):
-        copy = item.tolist()
-        for _ in range(int(max_edit * len(item))):
-            i = int(r.integers(0, len(copy)))
-            kind = int(r.integers(0, 3))
-            copy[i : i + 1] = [] if kind == 0 and len(copy) > size else [int(r.integers(0, 1 << 62)), copy[i]] if kind == 1 else [int(r.integers(0, 1 << 62))]
-        copy = np.array(copy, np.uint64)
-        if len(copy) < size:
-            continue
-        a, b = np.arange(len(item) - size + 1), np.arange(len(copy) - size + 1)
-        for k in range(MOST_TABLES):
-            found[t, k] = np.isin(walks.hashes(copy, b, k), walks.hashes(item, a, k)).any()
-    recall = np.logical_or.accumulate(found, axis=1).mean(axis=0)
-    good = np.flatnonzero(recall >= target)
-    return int(good[0]) + 1 if len(good) else MOST_TABLES
+    """The number of tables with which simulated copies of the items at the distance sought reach the target recall, each kind by itself.
+
+    Copies take the whole way to a candidate: the count of known words, and the walks. An error if the target is out of reach.
+    """
+    r, known, most = np.random.default_rng(11), known_words(items), max(int(max_edit * len(w)) for w in items)
+    kinds, each = ("scattered", "block", "middle"), 60
+    tried = [items[int(i)] for i in r.integers(0, len(items), len(kinds) * each)]
+    copies = [simulated(item, kinds[t // each], int(max_edit * len(item)), r) for t, item in enumerate(tried)]
+    own = [np.arange(len(item) - size + 1) for item in tried]
+    seen = [np.flatnonzero(near_enough(known_before(known, c), size, most)) for c in copies]
+
+    def laid(texts, starts):  # one after another: words, starts of windows, and a salt for each text
+        begin = np.cumsum([0, *map(len, texts)])[:-1]
+        salt = mix64(np.repeat(np.arange(len(texts)), [len(x) for x in starts]).astype(np.uint64) + np.uint64(1))
+        return np.concatenate(texts), np.concatenate([b + x for b, x in zip(begin, starts, strict=True)]), salt
+
+    (a, at_a, salt_a), (b, at_b, salt_b) = laid(tried, own), laid(copies, seen)
+    trial = np.repeat(np.arange(len(copies)), [len(x) for x in seen])
+    found, recall, k = np.zeros(len(tried), bool), 0.0, 0
+    while k < 16 * MOST_TABLES:
+        if k % MOST_TABLES == 0:
+            walks = Walks(size, k + MOST_TABLES)
+        found[trial[np.isin(walks.hashes(b, at_b, k) ^ salt_b, walks.hashes(a, at_a, k) ^ salt_a)]] = True
+        recall, k = found.reshape(len(kinds), each).mean(axis=1).min(), k + 1
+        if recall >= target:
+            return k
+    raise ValueError(f"windows of {size} words reach a recall of {recall[-1]:.3f} with {len(recall)} tables, {target} is sought")
 
 
 class Index:
@@ -142,10 +184,9 @@ class Index:
     def __init__(self, items: list[tuple[int | None, np.ndarray]], max_edit: float, tables: dict[int, int]) -> None:
         self.ids, self.words, self.max_edit = [i for i, _ in items], [w for _, w in items], max_edit
         self.most = [int(max_edit * len(w)) for w in self.words]
-        self.known = np.zeros(_BITMAP, bool)
+        self.known = known_words(self.words)
         by_size: dict[int, list[int]] = {}
         for k, w in enumerate(self.words):
-            self.known[(w % np.uint64(_BITMAP)).astype(np.int64)] = True
             by_size.setdefault(window_size(len(w)), []).append(k)
         self.sizes = []
         for size, members in sorted(by_size.items()):
@@ -160,18 +201,17 @@ class Index:
                 h = walks.hashes(words, starts, t)
                 order = np.argsort(h, kind="stable")
                 entries.append((h[order], owner[order].astype(np.int32), offset[order].astype(np.int32)))
-            self.sizes.append((walks, entries))
+            self.sizes.append((walks, entries, max(self.most[k] for k in members)))
 
     def candidates(self, words: np.ndarray, row: np.ndarray) -> np.ndarray:
         """(window start, item, offset in the item) of all windows within rows that meet an item's window."""
         out = [np.zeros((0, 3), np.int64)]
-        known = np.concatenate([[0], np.cumsum(self.known[(words % np.uint64(_BITMAP)).astype(np.int64)])])
-        for walks, entries in self.sizes:
+        before = known_before(self.known, words)
+        for walks, entries, most in self.sizes:
             n = walks.size
             if len(words) < n:
                 continue
-            have = known[n:] - known[:-n]
-            starts = np.flatnonzero((have >= n - math.floor(self.max_edit * n)) & (row[n - 1 :] == row[: len(row) - n + 1]))
+            starts = np.flatnonzero(near_enough(before, n, most) & (row[n - 1 :] == row[: len(row) - n + 1]))
             if not len(starts):
                 continue
             for t, (hashes, owner, offset) in enumerate(entries):
@@ -202,7 +242,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, max_edit: float, targe
         w = words_of(r.t)
         if len(w):
             part.append((r.i, w))
-            weight += 16 * MOST_TABLES * len(w)
+            weight += 16 * max(MOST_TABLES, tables.get(window_size(len(w)), 0)) * len(w)
             if weight >= BLOCK_BYTES:
                 yield made()
                 part, weight = [], 0
