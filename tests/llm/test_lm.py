@@ -88,6 +88,20 @@ def test_training_helps_on_held_out_documents(spark, sf):
     assert trained > mean(mixed, weights)
 
 
+def test_every_place_is_learned_once(docs_of, monkeypatch):
+    seen, averaged = [], lm._averaged
+
+    def watched(parts, key):
+        if key == "part":
+            seen.append(sum(r.weight for r in parts.select("weight").collect()))
+        return averaged(parts, key)
+
+    monkeypatch.setattr(lm, "_averaged", watched)
+    rows = id_and_text(docs_of([(i, " ".join(f"w{i * k % 17}" for k in range(i))) for i in range(60)]))
+    lm.train(rows, lm.vocabulary(rows))
+    assert len(seen) == lm.ROUNDS and sum(seen) == sum(range(60))
+
+
 def test_averages(spark):
     w = {k: np.full(s, v, np.float32) for v in (1.0,) for k, s in lm.SHAPES.items()}
     parts = spark.createDataFrame([(0, 1.0, bytearray(lm.packed(w))), (1, 3.0, bytearray(lm.packed({k: v * 5 for k, v in w.items()})))], "part long, weight double, data binary")

@@ -7,8 +7,8 @@ steps, first its class of words, then the word within the class. A document's sc
 log-probability of the word that stands there.
 
 Training is in numpy, within the tasks that read the corpus: each takes its own share of places through stochastic
-gradient steps from common weights, and the weights are averaged, weighted by places (two rounds). Each round takes
-every TAKE-th place of every document, by a hash of the place and round. The averages are formed in two steps by key, so that
+gradient steps from common weights, and the weights are averaged, weighted by places (two rounds). A hash of the place
+says in which round it is learned, so that the rounds take every place of every document once. The averages are formed in two steps by key, so that
 the driver gets one set of weights, whatever the number of tasks; counts, too, are summed by key, and only the
 vocabulary reaches the driver.
 
@@ -30,7 +30,7 @@ from tidemark.llm.common import Texts, id_and_text, lower_ascii, mix64, word_has
 FREQUENT, RARE, CLASSES = 960, 64, 32
 WITHIN = (FREQUENT + RARE) // CLASSES
 SIDE, WIDTH, HIDDEN = 2, 8, 16
-ROUNDS, TAKE = 2, 8
+ROUNDS = 2
 BATCH, RATE = 512, 0.01
 PIECE_BYTES = 1 << 20
 #: Distinct words that a counting task holds before it sends its counts on, and buckets of words.
@@ -295,7 +295,7 @@ def train(rows: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
                     tokens = vocab(hashes)
                     place = np.arange(len(tokens), dtype=np.uint64)
                     with np.errstate(over="ignore"):
-                        mine = np.flatnonzero(mix64(hashes + place * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(TAKE) == turn)
+                        mine = np.flatnonzero(mix64(hashes + place * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(ROUNDS) == turn)
                     if len(mine):
                         mine = mine[np.argsort(mix64(mine.astype(np.uint64)))]  # neighbours don't follow each other
                         t.learn(contexts(tokens, first)[mine], tokens[mine])
