@@ -55,6 +55,12 @@ def gram_counts(t):
     return t.documents.where("n_chars < 2000").select("doc_id", "lang", F.size(x.char_grams(F.col("text"))).cast("long").alias("grams"))
 
 
+@query("SELECT doc_id, lang, CASE WHEN length(replace(text, ' ', '')) >= 4 THEN len(list_distinct(list_transform(range(1, length(replace(text, ' ', '')) - 2), lambda i: substr(replace(text, ' ', ''), i, 4)))) ELSE 0 END AS grams FROM documents")
+def gram_counts_all(t):
+    """Distinct character n-grams of every document."""
+    return t.documents.select("doc_id", "lang", F.size(x.char_grams(F.col("text"))).cast("long").alias("grams"))
+
+
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity % 2 = 0 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) ELSE replace(CAST(l_quantity + 0.5 AS VARCHAR), '.', ',') END AS shown, printf('%+.2f', l_tax - l_discount) AS signed, round(100.0 * l_discount / nullif(l_tax, 0), 2) AS pct, l_quantity + 0.25 AS parsed FROM lineitem WHERE l_tax > 0")
 def number_formats(t):
     """Numbers as text and back."""
