@@ -11,12 +11,20 @@ difference of one is found too). A set is served when the counts of its segments
 any partner; empty segments are left out beforehand, for there are some to spare. A sample of sets shows for each
 band whether counts of 1 or 2 come cheaper.
 
-Exactness in spite of hot segments. Where at most SMALL_GROUP sets meet, all pairs are candidates. Where more meet,
-each is paired with one of them only, and the segment counts 0 for all. A set that is then no longer served is
-*hard*: hard sets are indexed again, with their empty segments, and all pairs that meet there are candidates if the links
-so far haven't joined them. A link between two sets is found in the first round if either is served, else in the
-second. Of candidates, each set is first compared with one partner; then only pairs across components remain, and of
-these only pairs whose sketches (see `sketches`) don't rule them out. So a group of thousands of near copies costs a few comparisons for each member, and no link between components is lost.
+Exactness in spite of hot segments, in three rounds, each of which knows the components (by links) that the one before has found.
+
+1. In each group of sets that meet at a hash, each set is paired with the group's first one only. These stars join the members of
+   a group of near copies, however many they are, with rows as many as index entries. Groups of up to SMALL_GROUP sets are
+   kept as lists, each list once, and of these only pairs across components are compared. In larger groups the segment counts 0.
+2. A set whose other segments no longer exceed its differences is *hard*. Hard sets are indexed again in a finer universe,
+   about one element to a segment, so that what many sets share takes up few segments. A group within one component counts in
+   full, for its pairs are joined already; so does one of which at most SMALL_GROUP sets lie outside its largest component: all its pairs
+   across components are compared.
+3. Sets that are still hard, with nearly nothing of their own, are indexed with their empty segments, and all pairs across components that
+   meet and that sketches (see `sketches`) don't rule out are compared; a large group is split into blocks of rows for several tasks.
+
+A link between two sets is found in the round in which either is served, or in the last. Of candidates, each set is first compared with one
+partner; then only pairs across components remain, and of these only pairs whose sketches don't rule them out.
 
 Sets that are equal are one class from the start (by a 128-bit hash of the sorted 64-bit hashes of shingles). Words are
 `[^\\x20\\x09-\\x0D]+` after A-Z are lower-cased; with fewer words than a shingle the whole sequence is one.
@@ -43,8 +51,10 @@ from tidemark.llm.components import components
 SHINGLE, SIMILAR = 5, (4, 5)
 #: Ratio of the sizes that bound a band.
 BAND_RATIO = 1.6
-#: Sets that meet at one hash, up to which all pairs are compared at once.
+#: Sets that meet at one hash, up to which all pairs across components are compared.
 SMALL_GROUP = 8
+#: Packed index bytes of a bucket of the last round that one task compares with the whole bucket.
+BLOCK_BYTES = 1 << 18
 #: Sets in the sample by which each band's allocation is chosen, and the cost of comparing a pair in index entries.
 SAMPLE_SETS, PAIR_COST = 300, 40
 #: Bytes of text that a map task looks at together, and index bytes it holds back before it sends them on.
@@ -58,20 +68,21 @@ HASH_BYTES, CODE_BYTES = 5, 5
 STAR_SETS = 1000
 #: Bytes of sketches that are broadcast; beyond, pairs are joined with their sketches.
 SKETCH_BYTES = 48 << 20
-#: Rows up to which the documents that are to be fetched are broadcast (24 bytes each); beyond, they are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Sets whose sketches are looked up for a broadcast, and bytes up to which keys (60 bytes each, and 30 for each pair) are broadcast;
+#: beyond, a shuffle joins them.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 24 << 20
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 class Bands:
     """Sizes dealt into bands, and for each band the number of units of its universe and how many are taken in twos."""
 
-    def __init__(self, similar: tuple[int, int] = SIMILAR) -> None:
+    def __init__(self, similar: tuple[int, int] = SIMILAR, fine: bool = False) -> None:
         self.num, self.den = similar
         self.low = [1]
         while self.low[-1] < 1 << 31:
             self.low.append(max(self.low[-1] + 1, int(self.low[-1] * BAND_RATIO)))
         self.low = np.array(self.low, np.int64)
-        self.units = np.array([self._units(int(hi) - 1) for hi in self.low[1:]], np.int64)
+        self.units = np.array([int(hi) - 1 if fine else self._units(int(hi) - 1) for hi in self.low[1:]], np.int64)
         self.twos = np.zeros(len(self.units), np.int64)
 
     def differences(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -121,7 +132,8 @@ def shingle_sets(b: pa.Array, most: int, shingle: int = SHINGLE):
             if z - a >= shingle:
                 found = np.unique(runs[a : z - shingle + 1])
             elif z > a:
-                found = mix64(run_hashes(words[a:z], z - a) ^ (_K[z - a & 3] * np.uint64(z - a)))
+                with np.errstate(over="ignore"):
+                    found = mix64(run_hashes(words[a:z], z - a) ^ (_K[z - a & 3] * np.uint64(z - a)))
             else:
                 continue
             sizes[r] = len(found)
@@ -254,10 +266,10 @@ def sifted(pairs: DataFrame, some: DataFrame, bands: Bands) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            keep = []
-            for x, y, m, n in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
-                keep.append(bool(SketchTable(bands, [(0, m, x), (1, n, y)]).may_link(np.array([0]), np.array([1]))[0]))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            n = b.num_rows
+            sets = [*zip(b.column(4).to_pylist(), b.column(2).to_pylist(), strict=True), *zip(b.column(5).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            table = SketchTable(bands, [(k, size, sketch) for k, (size, sketch) in enumerate(sets)])
+            yield b.select(["a", "b"]).filter(pa.array(table.may_link(np.arange(n), np.arange(n, 2 * n)) if n else np.zeros(0, bool)))
 
     return pairs.join(right, "b").join(left, "a").select("a", "b", "s_a", "s_b", "n_a", "n_b").mapInArrow(run, "a binary, b binary")
 
@@ -332,8 +344,8 @@ def _from_planes(data: bytes, at: int, n: int, width: int) -> np.ndarray:
     return wide.view("<u8")[:, 0]
 
 
-def indexed(rows: DataFrame, bands: Bands, buckets: int, hard: bool, shingle: int) -> DataFrame:
-    """(bucket, pack): index entries of every set; rows: text, and for hard sets `joined`, a hash of the component so far.
+def indexed(rows: DataFrame, bands: Bands, buckets: int, turn: int, shingle: int) -> DataFrame:
+    """(bucket, pack): index entries of every set in round `turn`; rows: text, and from the second round `joined`, a hash of the component so far.
 
     An entry is the hash, the set's code, what its segments count beyond the need, and a mark: what this segment counts, whether
     an element is left out, and which of the set's bands it is.
@@ -351,7 +363,7 @@ def indexed(rows: DataFrame, bands: Bands, buckets: int, hard: bool, shingle: in
             return pa.record_batch({"bucket": pa.array(names, pa.int64()), "pack": pa.array(packs, pa.binary())})
 
         for b in batches:
-            joined = np.asarray(b.column(1)).astype(np.uint64) if hard else None
+            joined = np.asarray(b.column(1)).astype(np.uint64) if turn > 1 else None
             r0 = 0
             for sizes, elements in shingle_sets(b.column(0), PIECE_BYTES, shingle):
                 hi, lo = set_ids(sizes, elements)
@@ -362,17 +374,17 @@ def indexed(rows: DataFrame, bands: Bands, buckets: int, hard: bool, shingle: in
                 mine, band = bands.of(sizes[some])
                 mine = some[mine]
                 which = band - (np.searchsorted(bands.low, sizes[mine], "right") - 1)
-                sig, owner, count, less, spare = signatures(bands, sizes, elements, mine, band, hard)
+                sig, owner, count, less, spare = signatures(bands, sizes, elements, mine, band, turn == 3)
                 bucket = (sig % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 sig, owner, bucket = sig[order] // np.uint64(buckets), owner[order], bucket[order]
                 mark = (count[order] | less[order].astype(np.int64) << 2 | which[owner] << 3).astype(np.uint8)
-                over, code = np.clip(spare + 1, 0, 255).astype(np.uint8)[owner], _codes(hi)[mine][owner].astype(np.uint64)
-                root = joined[r0 + mine][owner] if hard else None
+                over, code = np.clip(spare + 1, 0, 65535)[owner].astype(np.uint64), _codes(hi)[mine][owner].astype(np.uint64)
+                root = joined[r0 + mine][owner] if turn > 1 else None
                 r0 += len(sizes)
                 edge = np.flatnonzero(np.concatenate([[True], np.diff(bucket) != 0])).tolist() if len(bucket) else []
                 for i, j in zip(edge, [*edge[1:], len(bucket)], strict=False):
-                    part = struct.pack("<q", j - i) + _planes(sig[i:j], HASH_BYTES) + _planes(code[i:j], CODE_BYTES) + over[i:j].tobytes() + mark[i:j].tobytes() + (_planes(root[i:j], 8) if hard else b"")
+                    part = struct.pack("<q", j - i) + _planes(sig[i:j], HASH_BYTES) + _planes(code[i:j], CODE_BYTES) + _planes(over[i:j], 2) + mark[i:j].tobytes() + (_planes(root[i:j], 8) if turn > 1 else b"")
                     held.setdefault(int(bucket[i]), []).append(part)
                     weight += len(part)
                 if weight >= HELD_BYTES:
@@ -381,10 +393,10 @@ def indexed(rows: DataFrame, bands: Bands, buckets: int, hard: bool, shingle: in
         if held:
             yield sent()
 
-    return rows.select("text", *(["joined"] if hard else [])).mapInArrow(run, "bucket long, pack binary")
+    return rows.select("text", *(["joined"] if turn > 1 else [])).mapInArrow(run, "bucket long, pack binary")
 
 
-def _unpacked(packs, hard: bool):
+def _unpacked(packs, rooted: bool):
     import zstandard
 
     z = zstandard.ZstdDecompressor()
@@ -394,18 +406,71 @@ def _unpacked(packs, hard: bool):
         while at < len(data):
             (n,) = struct.unpack_from("<q", data, at)
             at += 8
-            for col, width in zip(cols, (HASH_BYTES, CODE_BYTES, 1, 1, 8 if hard else 0), strict=True):
+            for col, width in zip(cols, (HASH_BYTES, CODE_BYTES, 2, 1, 8 if rooted else 0), strict=True):
                 if width:
                     col.append(np.frombuffer(data, np.uint8, n, at) if width == 1 else _from_planes(data, at, n, width))
                 at += width * n
     return [np.concatenate(c) if c else None for c in cols]
 
 
-def _met(packs, hard: bool):
-    """Pairs (lower code, higher code) to be compared, and (code, band, spare, hot) of sets with crowded or too few segments."""
-    sig, code, over, mark, root = _unpacked(packs, hard)
-    short = np.flatnonzero(over == 0)  # sets whose segments count too little by themselves
-    lacking = np.unique(np.stack([code[short].astype(np.int64), (mark[short] >> 3).astype(np.int64)], 1), axis=0)
+#: Pairs and the like that a task holds before it settles them and sends them on.
+MANY = 1 << 20
+
+
+class Met:
+    """What has met in some buckets: pairs of codes to be compared, lists of the members of small groups, and what crowded segments count.
+
+    A list holds the number of its whole subsets, which stand first, and the codes. hot: rows (code, band, spare, hot), see `_summed`.
+    """
+
+    def __init__(self, sketched=None) -> None:
+        self.sketched = sketched
+        self.pairs: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+        self.lists: dict[int, list[np.ndarray]] = {}
+        self.hot: list[np.ndarray] = [np.zeros((0, 4), np.int64)]
+
+    def add_pairs(self, a: np.ndarray, b: np.ndarray) -> None:
+        fit = a != b
+        self.pairs.append(np.stack([np.minimum(a, b)[fit], np.maximum(a, b)[fit]], 1))
+
+    def settle(self) -> None:
+        """Everything once, and of the pairs only those that sketches don't rule out."""
+        pairs = np.unique(np.concatenate(self.pairs), axis=0)
+        self.pairs = [pairs if self.sketched is None else pairs[self.sketched.value.may_link(pairs[:, 0], pairs[:, 1])]]
+        self.lists = {n: [np.unique(np.concatenate(x), axis=0)] for n, x in self.lists.items()}
+        self.hot = [_summed(np.concatenate(self.hot))]
+
+    def weight(self) -> int:
+        return sum(map(len, self.pairs)) + sum(n * len(x) for n, xs in self.lists.items() for x in xs) + sum(map(len, self.hot))
+
+    def tables(self) -> list[np.ndarray]:
+        self.settle()
+        return [*self.pairs, *self.hot, *(self.lists[n][0] for n in sorted(self.lists))]
+
+    @staticmethod
+    def dumped(tables: list[np.ndarray]) -> bytes:
+        heads = [struct.pack("<qq", *t.shape) for t in tables]
+        return struct.pack("<q", len(tables)) + b"".join(heads) + b"".join(np.ascontiguousarray(t.T).astype("<i8").tobytes() for t in tables)
+
+    def load(self, data: bytes) -> None:
+        (n,) = struct.unpack_from("<q", data)
+        at = 8 + 16 * n
+        for k in range(n):
+            rows, width = struct.unpack_from("<qq", data, 8 + 16 * k)
+            table = np.frombuffer(data, "<i8", rows * width, at).reshape(width, rows).T
+            at += 8 * rows * width
+            (self.pairs if k == 0 else self.hot if k == 1 else self.lists.setdefault(width, [])).append(table)
+
+
+def _met(packs, turn: int, small: int, out: Met, block: tuple[int, int] | None = None):
+    """Adds what meets in one bucket to `out`, and yields whenever that has become much; block (k, n): of the last round's pairs only those
+    whose one end is in the k-th of n blocks.
+    """
+    sig, code, over, mark, root = _unpacked(packs, turn > 1)
+    if block is None or block[0] == 0:
+        short = np.flatnonzero(over == 0)  # sets whose segments count too little by themselves
+        lacking = np.unique(np.stack([code[short].astype(np.int64), (mark[short] >> 3).astype(np.int64)], 1), axis=0)
+        out.hot.append(np.column_stack([lacking, np.full(len(lacking), -1), np.zeros(len(lacking), np.int64)]))
     order = np.argsort(sig, kind="stable")
     s = sig[order]
     again = np.zeros(len(s), bool)
@@ -417,153 +482,146 @@ def _met(packs, hard: bool):
     sig, code, over, mark, less = sig[order], code[order], over[order], mark[order], less[order]
     keep = np.ones(len(sig), bool)  # equal sets from several tasks are one
     keep[1:] = (sig[1:] != sig[:-1]) | (code[1:] != code[:-1]) | (less[1:] != less[:-1])
-    if hard:
+    if turn > 1:
         root = root[order]
         keep[1:] |= root[1:] != root[:-1]
         root = root[keep]
     sig, code, over, mark, less = sig[keep], code[keep].astype(np.int64), over[keep], mark[keep], less[keep]
-    first, second, hot = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 4), np.int64)]
-    if len(sig):
-        edge = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        length = np.diff(np.append(edge, len(sig)))
-        n_whole = np.add.reduceat(1 - less.astype(np.int64), edge)
-        use = (length > 1) & (n_whole > 0)
-        if hard:
-            use &= np.maximum.reduceat(root, edge) != np.minimum.reduceat(root, edge)
-        edge, length, n_whole = edge[use], length[use], n_whole[use]
-
-        def add(a, b):
-            first.append(code[a])
-            second.append(code[b])
-
-        if hard:
-            for e, n, w in zip(edge.tolist(), length.tolist(), n_whole.tolist(), strict=True):
-                _, name, many = np.unique(root[e : e + n], return_inverse=True, return_counts=True)
-                at, inner = np.arange(n), np.flatnonzero(name != np.argmax(many))
-                for i in inner.tolist():  # every pair across components has an end outside the largest
-                    other = at[(name != name[i]) & ((at < w) | (i < w))]
-                    add(np.full(len(other), e + i), e + other)
-                if sum(map(len, first)) > 1 << 20:
-                    done = _distinct(first, second)
-                    first[:], second[:] = [done[0]], [done[1]]
-        else:
-            for n in range(2, SMALL_GROUP + 1):
-                e, w = edge[length == n], n_whole[length == n]
-                for i in range(n):
-                    for j in range(i + 1, n):
-                        ok = e[w > i]  # one of the two must be whole; it comes first
-                        add(ok + i, ok + j)
-            big = length > SMALL_GROUP
-            e, n = edge[big], length[big]
-            inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            member = np.repeat(e, n) + inner
-            add(np.repeat(e, n)[inner > 0], member[inner > 0])
-            hot.append(np.stack([code[member], (mark[member] >> 3).astype(np.int64), over[member].astype(np.int64) - 1, (mark[member] & 3).astype(np.int64)], 1))
-    hot.append(np.column_stack([lacking, np.full(len(lacking), -1), np.zeros(len(lacking), np.int64)]))
-    return *_distinct(first, second), _summed(np.concatenate(hot))
-
-
-def _distinct(first: list, second: list) -> tuple[np.ndarray, np.ndarray]:
-    a, b = np.concatenate(first), np.concatenate(second)
-    a, b = np.minimum(a, b), np.maximum(a, b)
-    fit = a != b
-    both = np.unique(np.stack([a[fit], b[fit]], 1), axis=0)
-    return both[:, 0], both[:, 1]
+    if not len(sig):
+        yield
+        return
+    edge = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    length = np.diff(np.append(edge, len(sig)))
+    n_whole = np.add.reduceat(1 - less.astype(np.int64), edge)
+    use = (length > 1) & (n_whole > 0)
+    if turn > 1:  # what lies within one component is joined already
+        use &= np.maximum.reduceat(root, edge) != np.minimum.reduceat(root, edge)
+    edge, length, n_whole = edge[use], length[use], n_whole[use]
+
+    def crowded(member: np.ndarray) -> None:
+        out.hot.append(np.stack([code[member], (mark[member] >> 3).astype(np.int64), over[member].astype(np.int64) - 1, (mark[member] & 3).astype(np.int64)], 1))
+
+    if turn == 1:
+        inner = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+        member = np.repeat(edge, length) + inner
+        out.add_pairs(code[np.repeat(edge, length)[inner > 0]], code[member[inner > 0]])
+        for n in range(3, small + 1):
+            e, w = edge[length == n], n_whole[length == n]
+            if len(e):
+                out.lists.setdefault(n + 1, []).append(np.unique(np.column_stack([w, code[e[:, None] + np.arange(n)]]), axis=0))
+        big = np.repeat(length > small, length)
+        crowded(member[big])
+        yield
+        return
+    waiting = 0
+    for e, n, w in zip(edge.tolist(), length.tolist(), n_whole.tolist(), strict=True):
+        _, name, many = np.unique(root[e : e + n], return_inverse=True, return_counts=True)
+        largest = int(np.argmax(many))
+        at, outside = np.arange(n), np.flatnonzero(name != largest)  # every pair across components has an end outside the largest
+        if turn == 2 and len(outside) > small:
+            out.add_pairs(np.full(len(outside), code[e + int(np.argmax(name == largest))]), code[e + outside])
+            crowded(e + at)
+            continue
+        if block is not None:
+            outside = outside[(code[e + outside] // 7) % block[1] == block[0]]
+        for i in outside.tolist():
+            other = at[(name != name[i]) & ((at < w) | (i < w))]
+            out.add_pairs(np.full(len(other), code[e + i]), code[e + other])
+            waiting += len(other)
+            if waiting > MANY:
+                yield
+                waiting = 0
+    yield
 
 
 def _summed(busy: np.ndarray) -> np.ndarray:
     """(code, band, spare, hot) rows with the least spare and the sum of hot for each code and band."""
     name, inverse = np.unique(busy[:, :2], axis=0, return_inverse=True)
-    spare = np.full(len(name), 255)
+    spare = np.full(len(name), 65535)
     np.minimum.at(spare, inverse.ravel(), busy[:, 2])
     return np.column_stack([name, spare, np.bincount(inverse.ravel(), busy[:, 3], len(name)).astype(np.int64)])
 
 
-def meetings(index: DataFrame, hard: bool, parts: int, sketched=None) -> DataFrame:
-    """Rows (a, b) of codes: pairs to be compared, each once; rows with `hot`: what the crowded segments of set a count in a band.
+def meetings(index: DataFrame, turn: int, parts: int, sketched=None) -> DataFrame:
+    """What meets, each thing once: rows (a, b) of codes, pairs to be compared; rows with `members`, a small group's list; rows with `hot`, what
+    the crowded segments of set a count in a band.
 
     A pair meets in many buckets. Tasks send what they found as packed arrays to `parts` places by code, where each pair is kept
-    once and counts are summed, so rows are as many as pairs. sketched: a broadcast SketchTable; pairs that it rules out aren't sent on.
+    once and counts are summed. sketched: a broadcast SketchTable; pairs that it rules out aren't sent on.
     """
+    small = SMALL_GROUP
 
     def find(batches):
         import zstandard
 
         z = zstandard.ZstdCompressor(level=1)
-        now, packs, first, second, busy = None, [], [], [], []
+        now, packs, met = None, [], Met(sketched)
 
         def sent():
-            a, b = _distinct(first or [np.zeros(0, np.int64)], second or [np.zeros(0, np.int64)])
-            if sketched is not None:
-                fit = sketched.value.may_link(a, b)
-                a, b = a[fit], b[fit]
-            hot = _summed(np.concatenate([np.zeros((0, 4), np.int64), *busy]))
-            first.clear()
-            second.clear()
-            busy.clear()
-            of_pair, of_hot = (mix64(x.astype(np.uint64)) % np.uint64(parts) for x in (a, hot[:, 0]))
-            names = np.union1d(of_pair, of_hot).astype(np.int64).tolist()
-            order, order_hot = np.argsort(of_pair, kind="stable"), np.argsort(of_hot, kind="stable")
-            cut, cut_hot = (np.searchsorted(x[o], np.append(np.array(names, np.uint64), np.uint64(parts))) for x, o in ((of_pair, order), (of_hot, order_hot)))
-            out = []
-            for k in range(len(names)):
-                p, q = order[cut[k] : cut[k + 1]], order_hot[cut_hot[k] : cut_hot[k + 1]]
-                out.append(z.compress(struct.pack("<qq", len(p), len(q)) + np.concatenate([a[p], b[p], hot[q].T.ravel()]).astype("<i8").tobytes()))
-            return pa.record_batch({"part": pa.array(names, pa.int64()), "pack": pa.array(out, pa.binary())})
+            nonlocal met
+            pairs, hot, *lists = met.tables()
+            met = Met(sketched)
+            tables = [pairs, hot, *lists]
+            place = [mix64(t[:, 0 if k < 2 else 1].astype(np.uint64)) % np.uint64(parts) for k, t in enumerate(tables)]
+            names = np.unique(np.concatenate(place)).astype(np.int64).tolist()
+            order = [np.argsort(p, kind="stable") for p in place]
+            cut = [np.searchsorted(p[o], np.append(np.array(names, np.uint64), np.uint64(parts))) for p, o in zip(place, order, strict=True)]
+            packed = [z.compress(Met.dumped([t[o[c[k] : c[k + 1]]] for t, o, c in zip(tables, order, cut, strict=True)])) for k in range(len(names))]
+            return pa.record_batch({"part": pa.array(names, pa.int64()), "pack": pa.array(packed, pa.binary())})
 
         def found():
-            a, b, hot = _met(packs, hard)
+            for _ in _met(packs, turn, small, met, now[1:] if len(now) > 1 else None):
+                if met.weight() > MANY:
+                    met.settle()
+                    if met.weight() > MANY // 2:
+                        yield sent()
             packs.clear()
-            first.append(a)
-            second.append(b)
-            busy.append(hot)
-            if sum(map(len, first)) > 1 << 20:
-                yield sent()
 
         for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            keys = zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns - 1)), strict=True)
+            for k, x in zip(keys, batch.column(batch.num_columns - 1), strict=True):
                 if k != now and packs:
                     yield from found()
                 now = k
                 packs.append(x.as_buffer())
         if packs:
             yield from found()
-        if first:
+        if met.weight():
             yield sent()
 
     def merge(batches):
         import zstandard
 
-        z, now, held = zstandard.ZstdDecompressor(), None, []
+        z, now, met = zstandard.ZstdDecompressor(), None, None
+        names = ["a", "b", "band", "spare", "hot", "members"]
 
         def merged():
-            a, b, hot = [], [], []
-            for x in held:
-                data = z.decompress(x)
-                n, m = struct.unpack_from("<qq", data)
-                values = np.frombuffer(data, "<i8", 2 * n + 4 * m, 16)
-                a.append(values[:n])
-                b.append(values[n : 2 * n])
-                hot.append(values[2 * n :].reshape(4, m).T)
-            held.clear()
-            both, hot = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0), _summed(np.concatenate(hot))
-            none = lambda n: pa.nulls(n, pa.int64())
-            names = ["a", "b", "band", "spare", "hot"]
-            n, m = len(both), len(hot)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), none(n), none(n), none(n)], names=names)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(hot[:, 0])), none(m), *(pa.array(np.ascontiguousarray(hot[:, k])) for k in (1, 2, 3))], names=names)
+            pairs, hot, *lists = met.tables()
+            none = lambda n, kind=None: pa.nulls(n, kind or pa.int64())
+            of = lambda t, k: pa.array(np.ascontiguousarray(t[:, k]))
+            array = pa.list_(pa.int64())
+            n, m = len(pairs), len(hot)
+            yield pa.RecordBatch.from_arrays([of(pairs, 0), of(pairs, 1), none(n), none(n), none(n), none(n, array)], names=names)
+            yield pa.RecordBatch.from_arrays([of(hot, 0), none(m), *(of(hot, k) for k in (1, 2, 3)), none(m, array)], names=names)
+            for t in lists:
+                n, width = t.shape
+                members = pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width, dtype=np.int32)), pa.array(np.ascontiguousarray(t).ravel()))
+                yield pa.RecordBatch.from_arrays([*(none(n) for _ in range(5)), members], names=names)
 
         for batch in batches:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if k != now and held:
+                if k != now and met is not None:
                     yield from merged()
+                    met = None
+                met = Met() if met is None else met
                 now = k
-                held.append(x.as_buffer())
-        if held:
+                met.load(z.decompress(x.as_buffer()))
+        if met is not None:
             yield from merged()
 
-    packed = index.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(find, "part long, pack binary")
-    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "a long, b long, band long, spare long, hot long")
+    key = [c for c in index.columns if c != "pack"]
+    packed = index.repartition(*key).sortWithinPartitions(*key).mapInArrow(find, "part long, pack binary")
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "a long, b long, band long, spare long, hot long, members array<long>")
 
 
 def _of_codes(pairs: DataFrame, some: DataFrame, bands: Bands) -> DataFrame:
@@ -575,41 +633,51 @@ def _of_codes(pairs: DataFrame, some: DataFrame, bands: Bands) -> DataFrame:
     return both.where(fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _semi(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Documents whose (doc, null, key) are wanted; what is wanted is broadcast while it is small."""
-    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Documents whose (doc, null, key) are wanted, with the other columns of `wanted`; the latter is broadcast while its bytes are few."""
+    pairs = F.sum(F.size("to")) if "to" in wanted.columns else F.lit(0)
+    n, pairs = wanted.agg(F.count("*"), F.coalesce(pairs, F.lit(0))).first()
+    if 60 * n + 30 * pairs <= BROADCAST_BYTES:
         wanted = F.broadcast(wanted)
     return docs.join(wanted, ["doc", "null", "key"])
 
 
 def _compared(docs: DataFrame, some: DataFrame, pairs: DataFrame, bands: Bands, shingle: int) -> DataFrame:
-    """Those of the pairs (a, b) of set ids that are similar, by their whole sets.
+    """Those of the pairs (a, b) of set ids that are similar, by the 64-bit hashes of their whole sets.
 
     Each pair's sets meet at a's place: b's set travels there once for each pair, a's once; a place with very many pairs is
-    dealt to several tasks, and a task holds one set at a time.
+    dealt to several tasks, and so are the trips of a set that travels to very many places. A task holds one set at a time.
     """
     places = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / STAR_SETS).cast("int"))
     to = pairs.join(places, "a").select("a", F.col("b").alias("set_id"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("turn"))
     own = places.select("a", F.col("a").alias("set_id"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("turn"))
+    trips = written(to.unionByName(own), "trips")
+    loads = trips.groupBy("set_id").agg(F.count("*").alias("n")).select("set_id", F.ceil(F.col("n") / STAR_SETS).cast("int").alias("loads"))
+    trips = trips.join(loads, "set_id").withColumn("load", F.pmod(F.xxhash64("a", "salt"), F.col("loads")))
+    trips = trips.groupBy("set_id", "load").agg(F.collect_list(F.struct("a", "salt", "turn")).alias("to"))
     at = some.groupBy("set_id").agg(F.min(F.struct("doc", "null", "key")).alias("at"))
-    trips = to.unionByName(own).groupBy("set_id").agg(F.collect_list(F.struct("a", "salt", "turn")).alias("to"))
     wanted = written(trips.join(at, "set_id").select("set_id", "at.*", "to"), "wanted")
 
     def sets(batches):
         for b in batches:
             r0 = 0
             for sizes, elements in shingle_sets(b.column(1), PIECE_BYTES, shingle):
-                # 40 bits of each hash tell the elements of two sets apart
-                ends, short = np.cumsum(sizes), elements >> np.uint64(24)
-                data = [_planes(short[e - s : e], 5) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+                ends = np.cumsum(sizes)
+                data = [elements[e - s : e].astype("<u8").tobytes() for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
                 to = b.column(2).slice(r0, len(sizes))
                 count = np.diff(np.asarray(to.offsets))
                 row = np.repeat(np.arange(len(sizes)), count)
                 flat = to.flatten()
-                yield pa.RecordBatch.from_arrays([flat.field(0), flat.field(1), flat.field(2), b.column(0).slice(r0, len(sizes)).take(pa.array(row)), pa.array([data[r] for r in row.tolist()], pa.binary())], names=["a", "salt", "turn", "b", "elements"])
+                ids = b.column(0).slice(r0, len(sizes))
+                weight = np.cumsum(8 * sizes[row])
+                cuts = [0, *np.searchsorted(weight, np.arange(PIECE_BYTES, int(weight[-1]) if len(weight) else 0, PIECE_BYTES)).tolist(), len(row)]
+                for i, j in zip(cuts, cuts[1:], strict=False):  # few bytes at a time, however far a set travels
+                    if j > i:
+                        part = flat.slice(i, j - i)
+                        yield pa.RecordBatch.from_arrays([part.field(0), part.field(1), part.field(2), ids.take(pa.array(row[i:j])), pa.array([data[r] for r in row[i:j].tolist()], pa.binary())], names=["a", "salt", "turn", "b", "elements"])
                 r0 += len(sizes)
 
-    sent = _semi(docs, wanted).select("set_id", "text", "to").mapInArrow(sets, "a binary, salt int, turn int, b binary, elements binary")
+    sent = _fetched(docs, wanted).select("set_id", "text", "to").mapInArrow(sets, "a binary, salt int, turn int, b binary, elements binary")
 
     def compare(batches):
         center, one = None, None
@@ -617,11 +685,11 @@ def _compared(docs: DataFrame, some: DataFrame, pairs: DataFrame, bands: Bands,
             a, b = [], []
             for x, turn, y, data in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
                 if turn == 0:
-                    center, one = x, _from_planes(data, 0, len(data) // 5, 5)
+                    center, one = x, np.frombuffer(data, "<u8")
                     continue
                 if center != x:
                     raise ValueError("a set's place is missing")
-                all_ = np.concatenate([one, _from_planes(data, 0, len(data) // 5, 5)])
+                all_ = np.concatenate([one, np.frombuffer(data, "<u8")])
                 all_.sort(kind="stable")
                 shared = int((all_[1:] == all_[:-1]).sum())
                 if shared * bands.den >= (len(all_) - shared) * bands.num:
@@ -632,6 +700,28 @@ def _compared(docs: DataFrame, some: DataFrame, pairs: DataFrame, bands: Bands,
     return sent.repartition("a", "salt").sortWithinPartitions("a", "salt", "turn").mapInArrow(compare, "a binary, b binary")
 
 
+def _code(column: str):
+    return F.conv(F.hex(F.substring(column, 1, CODE_BYTES)), 16, 10).cast("long")
+
+
+def _sifted_compared(docs: DataFrame, some: DataFrame, rest: DataFrame, links: DataFrame, bands: Bands, shingle: int) -> DataFrame:
+    """The links and those among the pairs `rest`, which sketches sift first."""
+    if not rest.limit(1).count():
+        return links
+    table = sketch_table(some, rest.select(_code("a").alias("code")).unionByName(rest.select(_code("b").alias("code"))), bands)
+    if table is not None:
+
+        def sift(batches):
+            for b in batches:
+                yield b.select(["a", "b"]).filter(pa.array(table.value.may_link(np.asarray(b.column(2)), np.asarray(b.column(3)))))
+
+        rest = rest.select("a", "b", _code("a").alias("code_a"), _code("b").alias("code_b")).mapInArrow(sift, "a binary, b binary")
+    else:
+        rest = sifted(rest.select("a", "b"), some, bands)
+    rest = written(rest, "rest")
+    return links.unionByName(written(_compared(docs, some, rest, bands, shingle), "links")) if rest.limit(1).count() else links
+
+
 def _linked(docs: DataFrame, some: DataFrame, pairs: DataFrame, links: DataFrame | None, bands: Bands, shingle: int) -> DataFrame:
     """The links so far and those among the pairs, but for pairs that links join already.
 
@@ -645,21 +735,31 @@ def _linked(docs: DataFrame, some: DataFrame, pairs: DataFrame, links: DataFrame
     roots = components(links, "a", "b")
     rest = pairs.join(star, ["a", "b"], "left_anti")
     rest = rest.join(roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b", "left")
-    rest = written(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", F.conv(F.hex(F.substring("a", 1, CODE_BYTES)), 16, 10).cast("long").alias("code_a"), F.conv(F.hex(F.substring("b", 1, CODE_BYTES)), 16, 10).cast("long").alias("code_b")), "rest")
-    if rest.limit(1).count():
-        table = sketch_table(some, rest.select(F.col("code_a").alias("code")).unionByName(rest.select(F.col("code_b").alias("code"))), bands)
-        if table is not None:
+    rest = written(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "rest")
+    return _sifted_compared(docs, some, rest, links, bands, shingle)
+
 
-            def sift(batches):
-                for b in batches:
-                    yield b.select(["a", "b"]).filter(pa.array(table.value.may_link(np.asarray(b.column(2)), np.asarray(b.column(3)))))
+def _across(lists: DataFrame, some: DataFrame, roots: DataFrame, bands: Bands) -> DataFrame:
+    """Pairs (a, b) of set ids across components, of sets that stand in one list and are close enough in size."""
+    sets = some.select("set_id", "code", "n_shingles").distinct()
+    sets = sets.join(roots, F.col("set_id") == F.col("node"), "left").select("code", "set_id", F.col("n_shingles").alias("n"), F.coalesce("root", "set_id").alias("root"))
+    # the first entry of a list is the number of whole subsets in it, which stand first
+    places = lists.select(F.xxhash64("members").alias("list"), F.element_at("members", 1).alias("whole"), F.posexplode(F.slice("members", F.lit(2), F.size("members") - 1)).alias("pos", "code"))
+    met = places.join(sets, "code").groupBy("list", "whole").agg(F.collect_list(F.struct("pos", "set_id", "n", "root")).alias("m"), F.min("root").alias("low"), F.max("root").alias("high"))
 
-            rest = rest.mapInArrow(sift, "a binary, b binary")
-        else:
-            rest = sifted(rest.select("a", "b"), some, bands)
-        rest = written(rest, "rest")
-        links = links.unionByName(written(_compared(docs, some, rest, bands, shingle), "links"))
-    return links
+    def fit(x, y, whole):
+        close = F.least(x["n"], y["n"]) * bands.den >= F.greatest(x["n"], y["n"]) * bands.num
+        return (x["pos"] < y["pos"]) & (x["pos"] < whole) & (x["root"] != y["root"]) & close
+
+    both = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: fit(x, y, F.col("whole"))), lambda y: F.struct(F.least(x["set_id"], y["set_id"]).alias("a"), F.greatest(x["set_id"], y["set_id"]).alias("b")))))
+    return met.where("low <> high").select(F.explode(both).alias("p")).select("p.a", "p.b").distinct()
+
+
+def _hard(met: DataFrame, some: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc, null, key, joined, code): the place of each set that its round doesn't serve, and a hash of its component so far."""
+    hard = met.where("hot > spare").select(F.col("a").alias("code")).distinct()
+    joined = some.join(hard, "code").groupBy("set_id", "code").agg(F.min(F.struct("doc", "null", "key")).alias("at")).join(roots, F.col("set_id") == F.col("node"), "left")
+    return written(joined.select("at.*", F.xxhash64(F.coalesce("root", "set_id")).alias("joined"), "code"), "wanted")
 
 
 def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: tuple[int, int] = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
@@ -686,20 +786,31 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     some = sets.where("n_shingles > 0")
 
     parts = buckets // 4
-    met = written(meetings(indexed(rows, bands, buckets, False, shingle), False, parts), "meetings")
+    met = written(meetings(indexed(rows, bands, buckets, 1, shingle), 1, parts), "meetings")
     shared = some.groupBy("code").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select(F.col("code").alias("a"), F.col("code").alias("b"))
-    pairs = _of_codes(met.where("hot is null").select("a", "b").unionByName(shared), some, bands)
+    pairs = _of_codes(met.where("b is not null").select("a", "b").unionByName(shared), some, bands)
     links = _linked(rows, some, pairs, None, bands, shingle)
     roots = components(links, "a", "b")
+    across = written(_across(met.where("members is not null").select("members"), some, roots, bands), "across")
+    if across.limit(1).count():
+        links = _linked(rows, some, across, links, bands, shingle)
+        roots = components(links, "a", "b")
 
-    # sets that the first round doesn't serve: too many of their segments are crowded, or too few hold anything
-    hard = met.where("hot > spare").select(F.col("a").alias("code")).distinct()
-    joined = some.join(hard, "code").groupBy("set_id").agg(F.min(F.struct("doc", "null", "key")).alias("at")).join(roots, F.col("set_id") == F.col("node"), "left")
-    wanted = written(joined.select("at.*", F.xxhash64(F.coalesce("root", "set_id")).alias("joined")), "wanted")
-    if wanted.limit(1).count():
-        table = sketch_table(some, hard, bands)
-        again = written(meetings(indexed(_semi(rows, wanted), bands, buckets, True, shingle), True, parts, table), "meetings")
-        more = _of_codes(again.where("hot is null").select("a", "b"), some, bands)
+    # sets that a round doesn't serve: too many of their segments are crowded, or too few hold anything
+    fine = Bands(similar, fine=True)
+    for turn, own in ((2, fine), (3, bands)):
+        hard = _hard(met, some, roots)
+        if not hard.limit(1).count():
+            break
+        index = indexed(_fetched(rows, hard.drop("code")), own, buckets, turn, shingle)
+        table = None
+        if turn == 3:
+            table = sketch_table(some, hard, bands)
+            index = written(index, "index")
+            blocks = index.groupBy("bucket").agg(F.ceil(F.sum(F.octet_length("pack")) / BLOCK_BYTES).cast("long").alias("blocks"))
+            index = index.join(blocks, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks", "pack")
+        met = written(meetings(index, turn, parts, table), "meetings")
+        more = _of_codes(met.where("b is not null").select("a", "b"), some, bands)
         links = _linked(rows, some, more, links, bands, shingle)
         roots = components(links, "a", "b")
 
