@@ -8,9 +8,6 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where scratch tables go when the session names no shared folder (tests on one machine).
-LOCAL_SHARED_DIR = "/tmp/checkpoints"
-
 #: The code points with the property White_Space.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -19,24 +16,37 @@ _MASK = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from `spark.checkpoint.dir`; set only where unset."""
+    """The folder that driver and executors share, from `spark.checkpoint.dir`; set only where unset, and then only on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{LOCAL_SHARED_DIR}"
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def for_this_run(spark: SparkSession, path: str, make: bool = False) -> str:
+    """The path, of which whatever stands there goes when the application ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if make:
+        system.mkdirs(p)
+    system.deleteOnExit(p)
+    return path
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex[:12]}"
+    return for_this_run(spark, f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex[:12]}", make=True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet in the shared folder and read back: a cut in the lineage that survives lost executors."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    for_this_run(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
