@@ -71,12 +71,57 @@ def test_odd_rows(docs_of):
     assert run(docs_of([])) == []
 
 
+def test_hot_buckets_are_reduced_in_steps(docs_of, monkeypatch):
+    """Every run of words is taken for a crowded one, and a task reduces what it has gathered after a few hundred bytes."""
+    import numpy as np
+
+    rows = made(150, 7, 60)
+    runs = [w.words for _, x in rows for w in [_windows(x)] if w is not None]
+    crowded = np.unique(np.concatenate([substrings.run_hashes(x, substrings.MINIMISER, 1) for x in runs]))
+    monkeypatch.setattr(substrings, "frequent_runs", lambda _: (np.zeros(0, np.uint64), crowded))
+    monkeypatch.setattr(substrings, "GATHERED_BYTES", 300)
+    monkeypatch.setattr(substrings, "PIECE_BYTES", 2000)
+    assert run(docs_of(rows)) == sorted(brute(rows), key=str)
+
+
+def _windows(text):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([0])] * 4 + [pa.array([text])], names=["doc", "null", "hi", "lo", "text"])
+    return next(substrings._documents(batch, 1 << 20), None)
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_rows_of_one_id_are_documents_of_their_own(docs_of, monkeypatch, most):
+    """Texts of one id, or of none, are told apart, whether few ids or all rows carry digests; equal rows are one document."""
+    monkeypatch.setattr(substrings, "AMBIGUOUS_IDS", most)
+    passage = " ".join(f"p{i}" for i in range(25))
+    for ids in ((7, 7), (None, None), (7, 8), (8, None)):
+        got = run(docs_of([(ids[0], f"one {passage}"), (ids[1], f"two {passage}"), (3, "nothing")]))
+        assert sorted(n for _, _, n, _ in got) == [0, 0, 25]
+    same = run(docs_of([(7, f"one {passage}"), (7, f"one {passage}"), (7, f"two {passage}")]))
+    assert sorted(n for _, _, n, _ in same) in ([0, 0, 25], [0, 25, 25])
+
+
 def test_other_columns_stay(docs_of):
     got = substrings.dedup_substrings(docs_of([(1, "x", "en", "s")]))
     assert got.columns[-3:] == ["kept_text", "n_words", "n_removed"]
     assert got.first().kind == "clash" and got.first().lang == "en"
 
 
+def test_columns_named_like_what_is_added(spark):
+    """What is added comes last; the pipeline's stage cuts such documents too and keeps their columns."""
+    import corpus_pipeline
+
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text, 5, "a", 6), (2, text, 7, "b", 8)], "doc_id long, text string, n_words int, kept_text string, n_removed int")
+    got = substrings.dedup_substrings(docs)
+    assert got.columns == [*docs.columns, "kept_text", "n_words", "n_removed"]
+    assert sorted(tuple(r) for r in got.collect()) == [(1, text, 5, "a", 6, text, 30, 0), (2, text, 7, "b", 8, "", 30, 30)]
+    cut = corpus_pipeline.substring_dedup(spark, docs, "")
+    assert sorted(tuple(r) for r in cut.collect()) == [(1, text, 5, "a", 6), (2, "", 7, "b", 8)]
+
+
 def test_equal_hashes_are_told_apart(docs_of, monkeypatch):
     """With a hash of few values the words themselves decide."""
     import numpy as np
@@ -86,7 +131,7 @@ def test_equal_hashes_are_told_apart(docs_of, monkeypatch):
     assert b.num_rows == 3
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2]), pa.array([0, 0, 0]), pa.array([5, 6, 7]), pa.array([x for _, x in w])], names=["doc", "null", "key", "text"])
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2]), pa.array([0, 0, 0]), pa.array([5, 6, 7]), pa.array([0, 0, 0]), pa.array([x for _, x in w])], names=["doc", "null", "hi", "lo", "text"])
     (found,) = substrings._documents(batch, 1 << 20)
     want = found.later_copies()
     found.hash = np.zeros_like(found.hash)

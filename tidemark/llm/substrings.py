@@ -9,11 +9,15 @@ words, which are cut out of the whole texts.
 A map task first looks for copies within what it has at hand, and sends on only the first of them: of a passage that
 a third of all documents share, a bucket gets one copy for each piece of a map task, not one for each document.
 Runs of words that a sample shows to be very frequent come last in the order of minimisers, so that no bucket
-gathers all windows around them; the sample moves work between buckets and can't change a result.
-
-Order of documents: ascending doc_id, null last; rows that share a doc_id but not the text by a hash of the text.
-Rows that are equal in doc_id and text are one document and get equal results. A null or empty text has no words.
-Texts with fewer words than a window lose nothing. Empty tables give empty results. Other columns are kept as they are.
+gathers all windows around them. Where a passage consists of such runs only, its windows are dealt to several tasks first, which
+send on the first copies, so a passage that every map task meets isn't read by one task. A task that has gathered much of one bucket
+reduces it to first copies before it reads on. The sample moves work between tasks and can't change a result.
+
+Order of documents: ascending doc_id, null last; rows that share a doc_id but not the text by a digest of the text.
+A document is its doc_id and, where rows of one doc_id differ in their text, 120 bits of the text's MD5; such doc_ids are found out first,
+and elsewhere nothing but the doc_id travels. Rows that are equal in doc_id and text are one document and get equal
+results. A null or empty text has no words. Texts with fewer words than a window lose nothing. Empty tables give empty
+results. Other columns are kept as they are, also those named like what is added.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Texts, mix64, run_hashes, word_hashes, word_spans
+from tidemark.llm.common import Texts, mix64, run_hashes, word_hashes, word_spans, written
 
 #: Words of a window and of the runs that are its minimisers.
 WINDOW, MINIMISER = 20, 3
@@ -39,9 +43,18 @@ BUCKET_BYTES = 6 << 20
 #: Documents, about, in the sample for frequent runs, and the share of sampled windows that makes a run frequent.
 SAMPLE_DOCS, FREQUENT_SHARE = 4000, 1 / 2000
 
-_HEAD = np.dtype([("doc", "<i8"), ("null", "<i8"), ("key", "<i8"), ("start", "<i8"), ("words", "<i4"), ("bytes", "<i4")])
+#: Bytes of super-k-mers of one bucket that a task gathers before it reduces them to first copies.
+GATHERED_BYTES = 64 << 20
+#: Tasks, for each bucket, among which windows of frequent runs only are dealt first.
+SALTS = 64
+#: Ids whose rows differ in their text, up to which they are broadcast (16 bytes each); beyond, all documents carry a digest.
+AMBIGUOUS_IDS = 200_000
+
+_HEAD = np.dtype([("doc", "<i8"), ("null", "<i8"), ("hi", "<i8"), ("lo", "<i8"), ("start", "<i8"), ("words", "<i4"), ("bytes", "<i4")])
+#: What names a document: id (0 for null), whether it is null, and a digest in two halves (0 where the id is enough).
+_NAME = ["doc", "null", "hi", "lo"]
 #: How the heads of super-k-mers travel: field after field, documents as differences; `bytes` follows from the words.
-_TRAVEL = {"doc": "<i8", "null": "<i1", "key": "<i4", "start": "<i4", "words": "<u2"}
+_TRAVEL = {"doc": "<i8", "null": "<i1", "hi": "<i8", "lo": "<i8", "start": "<i4", "words": "<u2"}
 
 
 def normal(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -79,7 +92,7 @@ class Windows:
     """All windows of words within a list of stretches (documents or super-k-mers), in the documents' order.
 
     `buffer` holds the words, each followed by a space; stretch s has the words first[s] to first[s+1], and its first
-    word is word `start[s]` of the document (doc, null, key)[s].
+    word is word `start[s]` of the document that heads[s] names.
     """
 
     def __init__(self, buffer: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray, heads: np.ndarray) -> None:
@@ -113,7 +126,9 @@ class Windows:
             again = np.arange(n)
         heads = self.heads
         a, b = self.stretch[again], self.stretch[first]
-        same = (self.start[again] == self.start[first]) & (heads["doc"][a] == heads["doc"][b]) & (heads["key"][a] == heads["key"][b]) & (heads["null"][a] == heads["null"][b])
+        same = self.start[again] == self.start[first]
+        for k in _NAME:
+            same &= heads[k][a] == heads[k][b]
         later[again[~same]] = True
         return later
 
@@ -141,34 +156,61 @@ class Windows:
         head = np.flatnonzero(cut)
         last = np.concatenate([head[1:], [len(p)]]) - 1
         heads = self.heads[s[head]]
-        return _rows(heads["doc"], heads["null"], heads["key"], self.start[p[head]], self.start[p[last]] + WINDOW)
+        return _rows(heads, self.start[p[head]], self.start[p[last]] + WINDOW)
 
+    def stretches(self, p: np.ndarray, place: np.ndarray | None = None) -> tuple[np.ndarray, list[int], list[int], np.ndarray]:
+        """The windows p as super-k-mers: runs of windows that follow each other (and share the place of their minimiser).
+
+        Returns heads, where each one's bytes begin and end in the buffer, and its first window's number in p.
+        """
+        s = self.stretch[p]
+        new = (np.diff(p) != 1) | (np.diff(s) != 0)
+        if place is not None:
+            new |= np.diff(place) != 0
+        head = np.flatnonzero(np.concatenate([[True], new])) if len(p) else np.zeros(0, np.int64)
+        last = np.concatenate([head[1:], [len(p)]]).astype(np.int64)[: len(head)] - 1
+        heads = self.heads[s[head]].copy()
+        heads["start"] = self.start[p[head]]
+        heads["words"] = last - head + WINDOW
+        begin, end = self.begin[self.at[p[head]]], self.end[self.at[p[last]] + WINDOW - 1] + 1
+        heads["bytes"] = end - begin
+        return heads, begin, end, head
 
-_SCHEMA = pa.schema([("bucket", pa.int64()), ("pack", pa.binary()), ("doc", pa.int64()), ("null", pa.int64()), ("key", pa.int64()), ("since", pa.int64()), ("until", pa.int64())])
-_DDL = "bucket long, pack binary, doc long, null long, key long, since long, until long"
 
+_SPAN = [*_NAME, "since", "until"]
+_SCHEMA = pa.schema([("bucket", pa.int64()), ("salt", pa.int64()), ("pack", pa.binary()), *((c, pa.int64()) for c in _SPAN)])
+_DDL = "bucket long, salt long, pack binary, " + ", ".join(f"{c} long" for c in _SPAN)
 
-def _rows(doc, null, key, since, until) -> pa.RecordBatch:
+
+def _rows(heads: np.ndarray, since: np.ndarray, until: np.ndarray) -> pa.RecordBatch:
     """Spans as rows of the map stage: dealt by the document, with no pack."""
-    n = len(doc)
+    n = len(heads)
     with np.errstate(over="ignore"):
-        bucket = pa.array(-1 - (mix64(key.astype(np.uint64) + mix64(doc.astype(np.uint64))) >> np.uint64(1)).astype(np.int64))
-    cols = [bucket, pa.nulls(n, pa.binary()), *(pa.array(np.ascontiguousarray(x), pa.int64()) for x in (doc, null, key, since, until))]
+        bucket = pa.array(-1 - (mix64(heads["hi"].astype(np.uint64) + mix64(heads["doc"].astype(np.uint64))) >> np.uint64(1)).astype(np.int64))
+    cols = [bucket, pa.array(np.zeros(n, np.int64)), pa.nulls(n, pa.binary()), *(pa.array(np.ascontiguousarray(x), pa.int64()) for x in (*(heads[k] for k in _NAME), since, until))]
+    return pa.RecordBatch.from_arrays(cols, schema=_SCHEMA)
+
+
+def _packs(names: list[tuple[int, int]], packs: list[bytes]) -> pa.RecordBatch:
+    """Packs as rows, by bucket and salt."""
+    n = len(names)
+    cols = [pa.array([k for k, _ in names], pa.int64()), pa.array([s for _, s in names], pa.int64()), pa.array(packs, pa.binary()), *(pa.nulls(n, pa.int64()) for _ in _SPAN)]
     return pa.RecordBatch.from_arrays(cols, schema=_SCHEMA)
 
 
 def _documents(b: pa.RecordBatch, most: int):
-    """Pieces of a batch (doc, null, key, text), sorted: Windows over whole documents."""
-    texts = Texts(b.column(3))
-    doc, null, key = (np.asarray(b.column(i)) for i in range(3))
+    """Pieces of a batch (doc, null, hi, lo, text), sorted: Windows over whole documents."""
+    texts = Texts(b.column(4))
+    names = {k: np.asarray(b.column(i)) for i, k in enumerate(_NAME)}
     for i, j in texts.pieces(most):
-        order = i + np.lexsort((key[i:j], doc[i:j], null[i:j]))
+        order = i + np.lexsort([names[k][i:j] for k in ("lo", "hi", "doc", "null")])
         raw = [texts.row(r).tobytes() for r in order]
         size = np.array([len(x) + 1 for x in raw])
         buffer, begin, end, at = normal(b" ".join(raw) + b" ")
         first = np.searchsorted(at, np.concatenate([[0], np.cumsum(size)]))
         heads = np.zeros(len(order), _HEAD)
-        heads["doc"], heads["null"], heads["key"] = doc[order], null[order], key[order]
+        for k in _NAME:
+            heads[k] = names[k][order]
         yield Windows(buffer, begin, end, first, heads)
 
 
@@ -182,12 +224,16 @@ def _minimisers(w: Windows, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return place, value[place]
 
 
+def _raw_pack(heads: np.ndarray, words: bytes) -> bytes:
+    fields = [np.diff(heads[k], prepend=0) if k == "doc" else heads[k] for k in _TRAVEL]
+    parts = [x.astype(t).tobytes() for x, t in zip(fields, _TRAVEL.values(), strict=True)]
+    return b"".join([struct.pack("<q", len(heads)), *parts, words])
+
+
 def _packed(heads: np.ndarray, words: bytes) -> bytes:
     import zstandard
 
-    fields = [np.diff(heads[k], prepend=0) if k == "doc" else heads[k] for k in _TRAVEL]
-    parts = [x.astype(t).tobytes() for x, t in zip(fields, _TRAVEL.values(), strict=True)]
-    return zstandard.ZstdCompressor(level=4).compress(b"".join([struct.pack("<q", len(heads)), *parts, words]))
+    return zstandard.ZstdCompressor(level=4).compress(_raw_pack(heads, words))
 
 
 def _unpacked(pack: bytes) -> tuple[np.ndarray, bytes]:
@@ -204,43 +250,93 @@ def _unpacked(pack: bytes) -> tuple[np.ndarray, bytes]:
     return heads, words
 
 
-def frequent_runs(rows: DataFrame) -> np.ndarray:
-    """Hashes of the runs that are the minimiser of at least FREQUENT_SHARE of a sample's windows: at most 1 / FREQUENT_SHARE."""
-    n = rows.count()
-    sampled = rows.where(F.pmod(F.col("key"), F.lit(max(1, n // SAMPLE_DOCS))) == 0)
-    bare = np.zeros(0, np.uint64)
-
-    def count(batches):
-        for b in batches:
-            for w in _documents(b, PIECE_BYTES):
-                if len(w.at):
-                    place, _ = _minimisers(w, bare)
-                    v, c = np.unique(run_hashes(w.words, MINIMISER, 1)[place], return_counts=True)
-                    many = c >= max(2, FREQUENT_SHARE * len(place) / 4)
-                    yield pa.record_batch({"run": pa.array(v[many].astype(np.int64)), "n": pa.array(c[many]), "all": pa.array(np.where(np.arange(int(many.sum())) == 0, len(place), 0))})
+def named_documents(rows: DataFrame, text, own) -> DataFrame:
+    """The rows with doc, null, hi and lo: what names each one's document.
 
-    counted = sampled.mapInArrow(count, "run long, n long, all long")
-    found = counted.groupBy("run").agg(F.sum("n").alias("n"), F.sum("all").alias("all")).orderBy(F.desc("n"), "run").limit(int(1 / FREQUENT_SHARE)).collect()
-    total = sum(r["all"] for r in found)
-    return np.sort(np.array([r["run"] for r in found if r["n"] >= FREQUENT_SHARE * total], np.int64).astype(np.uint64))
+    hi and lo hold a digest of the text only for ids under which different texts stand. These ids are counted first; few are broadcast, and
+    of many it's simpler that every row carries its digest.
+    """
+    digest = F.md5(text)
+    half = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast("long")
+    ids = {"doc": F.coalesce(own.cast("long"), F.lit(0)), "null": own.isNull().cast("long")}
+    seen = rows.select(*[c.alias(k) for k, c in ids.items()], half(1).alias("hi"), half(17).alias("lo")).groupBy("doc", "null")
+    seen = seen.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("hi", "lo") for f in (F.min, F.max)])
+    shared = written(seen.where("min_hi <> max_hi OR min_lo <> max_lo").select("doc", "null"), "shared-ids")
+    n = shared.limit(AMBIGUOUS_IDS + 1).count()
+    rows = rows.withColumns(ids)
+    if not n:
+        return rows.withColumns({"hi": F.lit(0).cast("long"), "lo": F.lit(0).cast("long")})
+    if n > AMBIGUOUS_IDS:
+        return rows.withColumns({"hi": half(1), "lo": half(17)})
+    marked = rows.join(F.broadcast(shared.withColumn("_shared", F.lit(True))), ["doc", "null"], "left")
+    return marked.withColumns({k: F.when(F.col("_shared"), half(at)).otherwise(F.lit(0)) for k, at in (("hi", 1), ("lo", 17))}).drop("_shared")
+
+
+def frequent_runs(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs that are the minimiser of at least FREQUENT_SHARE of a sample's windows, at most 1 / FREQUENT_SHARE; and of those
+    that still are when the former come last."""
+    n = rows.count()
+    sampled = rows.where(F.pmod(F.xxhash64("doc", "hi"), F.lit(max(1, n // SAMPLE_DOCS))) == 0)
+
+    def counted(last: np.ndarray) -> np.ndarray:
+        def count(batches):
+            for b in batches:
+                for w in _documents(b, PIECE_BYTES):
+                    if len(w.at):
+                        place, _ = _minimisers(w, last)
+                        v, c = np.unique(run_hashes(w.words, MINIMISER, 1)[place], return_counts=True)
+                        many = c >= max(2, FREQUENT_SHARE * len(place) / 4)
+                        yield pa.record_batch({"run": pa.array(v[many].astype(np.int64)), "n": pa.array(c[many]), "all": pa.array(np.where(np.arange(int(many.sum())) == 0, len(place), 0))})
+
+        found = sampled.mapInArrow(count, "run long, n long, all long").groupBy("run").agg(F.sum("n").alias("n"), F.sum("all").alias("all"))
+        found = found.orderBy(F.desc("n"), "run").limit(int(1 / FREQUENT_SHARE)).collect()
+        total = sum(r["all"] for r in found)
+        return np.sort(np.array([r["run"] for r in found if r["n"] >= FREQUENT_SHARE * total], np.int64).astype(np.uint64))
+
+    frequent = counted(np.zeros(0, np.uint64))
+    return frequent, counted(frequent) if len(frequent) else frequent
+
+
+def _counted(packs: list, again: bool) -> tuple[pa.RecordBatch | None, bytes | None]:
+    """The spans of later copies among some packs of a bucket, and again: what is left, in one pack."""
+    heads, words = [], []
+    for x in packs:
+        head, text = _unpacked(x)
+        heads.append(head)
+        words.append(text)
+    heads, text = np.concatenate(heads), b"".join(words)
+    from_ = np.cumsum(heads["bytes"], dtype=np.int64) - heads["bytes"]
+    order = np.lexsort([heads[k] for k in ("start", "lo", "hi", "doc", "null")])
+    heads = heads[order]
+    buffer = np.frombuffer(b"".join([text[a : a + n] for a, n in zip(from_[order].tolist(), heads["bytes"].tolist(), strict=True)]), np.uint8)
+    end = np.flatnonzero(buffer == 0x20)
+    begin = np.concatenate([[0], end[:-1] + 1])
+    first = np.concatenate([[0], np.cumsum(heads["words"], dtype=np.int64)])
+    w = Windows(buffer, begin, end, first, heads)
+    later = w.later_copies()
+    if not again:
+        return w.spans(later), None
+    heads, begin, end, _ = w.stretches(np.flatnonzero(~later))
+    text = buffer.tobytes()
+    return w.spans(later), _raw_pack(heads, b"".join([text[x:y] for x, y in zip(begin.tolist(), end.tolist(), strict=True)]))
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
-    """Spans of words (doc, null, key, since, until) that windows with an earlier copy cover; rows: doc, null, key, text."""
-    frequent = frequent_runs(rows)
+    """Spans of words (doc, null, hi, lo, since, until) that windows with an earlier copy cover; rows: doc, null, hi, lo, text."""
+    frequent, crowded = frequent_runs(rows)
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     buckets = max(16, min(1 << 24, 6 * size // BUCKET_BYTES))
+    gathered_most = GATHERED_BYTES
 
     def pack(batches):
-        held: dict[int, list] = {}
+        held: dict[tuple[int, int], list] = {}
         weight = 0
 
         def sent():
             names = sorted(held)
             packs = [_packed(np.concatenate([h for h, _ in held[k]]), b"".join(x for _, x in held[k])) for k in names]
-            n = len(names)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(packs, pa.binary()), *(pa.nulls(n, pa.int64()) for _ in range(5))], schema=_SCHEMA)
+            return _packs(names, packs)
 
         for b in batches:
             for w in _documents(b, PIECE_BYTES):
@@ -252,21 +348,18 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
                     yield found
                 p = np.flatnonzero(~later)
                 place, value = _minimisers(w, frequent)
-                place, s = place[p], w.stretch[p]
-                head = np.flatnonzero(np.concatenate([[True], (np.diff(p) != 1) | (np.diff(s) != 0) | (np.diff(place) != 0)]))
-                last = np.concatenate([head[1:], [len(p)]]) - 1
+                place = place[p]
+                heads, begin, end, head = w.stretches(p, place)
                 bucket = (mix64(value[p[head]]) % np.uint64(buckets)).astype(np.int64)
-                heads = w.heads[s[head]].copy()
-                heads["start"] = w.start[p[head]]
-                heads["words"] = last - head + WINDOW
-                begin, end = w.begin[w.at[p[head]]], w.end[w.at[p[last]] + WINDOW - 1] + 1
-                heads["bytes"] = end - begin
-                order = np.argsort(bucket, kind="stable")
+                hot = np.isin(run_hashes(w.words, MINIMISER, 1)[place[head]], crowded)
+                salt = np.where(hot, 1 + (mix64(heads["doc"].astype(np.uint64) ^ heads["hi"].astype(np.uint64)) % np.uint64(SALTS)).astype(np.int64), 0)
+                order = np.lexsort((salt, bucket))
                 text = w.buffer.tobytes()
-                begin, end, edge = begin[order].tolist(), end[order].tolist(), np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0])).tolist()
-                heads, names = heads[order], bucket[order]
+                names = np.stack([bucket, salt], 1)[order]
+                edge = np.flatnonzero(np.concatenate([[True], (np.diff(names, axis=0) != 0).any(axis=1)])).tolist()
+                begin, end, heads = begin[order].tolist(), end[order].tolist(), heads[order]
                 for i, j in zip(edge, [*edge[1:], len(names)], strict=True):
-                    held.setdefault(int(names[i]), []).append((heads[i:j], b"".join([text[x:y] for x, y in zip(begin[i:j], end[i:j], strict=True)])))
+                    held.setdefault((int(names[i, 0]), int(names[i, 1])), []).append((heads[i:j], b"".join([text[x:y] for x, y in zip(begin[i:j], end[i:j], strict=True)])))
                 weight += int(heads["bytes"].sum()) + heads.nbytes
                 if weight >= HELD_BYTES:
                     yield sent()
@@ -278,61 +371,57 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
         import zstandard
 
         z = zstandard.ZstdDecompressor()
-
-        def counted(packs):
-            heads, words = [], []
-            for x in packs:
-                head, text = _unpacked(z.decompress(x))
-                heads.append(head)
-                words.append(text)
-            heads, text = np.concatenate(heads), b"".join(words)
-            from_ = np.cumsum(heads["bytes"], dtype=np.int64) - heads["bytes"]
-            order = np.lexsort((heads["start"], heads["key"], heads["doc"], heads["null"]))
-            heads = heads[order]
-            buffer = np.frombuffer(b"".join([text[a : a + n] for a, n in zip(from_[order].tolist(), heads["bytes"].tolist(), strict=True)]), np.uint8)
-            end = np.flatnonzero(buffer == 0x20)
-            begin = np.concatenate([[0], end[:-1] + 1])
-            first = np.concatenate([[0], np.cumsum(heads["words"], dtype=np.int64)])
-            w = Windows(buffer, begin, end, first, heads)
-            return w.spans(w.later_copies())
-
-        now, packs = None, []
+        now, packs, weight, most = None, [], 0, gathered_most
         for b in batches:
-            own = b.column(1).is_valid()
+            own = b.column(2).is_valid()
             spans = b.filter(pc.invert(own))
             if spans.num_rows:
-                yield spans.select(["doc", "null", "key", "since", "until"])
+                yield spans
             sent = b.filter(own)
-            for k, x in zip(sent.column(0).to_pylist(), sent.column(1), strict=True):
-                if k != now and packs:
-                    found = counted(packs)
-                    packs = []
+            for k, salt, x in zip(sent.column(0).to_pylist(), sent.column(1).to_pylist(), sent.column(2), strict=True):
+                if (k, salt) != now and packs:
+                    yield from done(now, packs)
+                    packs, weight, most = [], 0, gathered_most
+                now = k, salt
+                packs.append(z.decompress(x.as_buffer()))
+                weight += len(packs[-1])
+                if weight > most and len(packs) > 1:
+                    found, left = _counted(packs, True)
+                    packs = [left]
+                    weight, most = len(left), max(most, 2 * len(left))
                     if found is not None:
-                        yield found.select(["doc", "null", "key", "since", "until"])
-                now = k
-                packs.append(x.as_buffer())
+                        yield found
         if packs:
-            found = counted(packs)
-            if found is not None:
-                yield found.select(["doc", "null", "key", "since", "until"])
+            yield from done(now, packs)
+
+    def done(name, packs):
+        import zstandard
+
+        found, left = _counted(packs, name[1] > 0)
+        if found is not None:
+            yield found
+        if left is not None:
+            yield _packs([(name[0], 0)], [zstandard.ZstdCompressor(level=4).compress(left)])
 
-    dealt = rows.mapInArrow(pack, _DDL).repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(count, "doc long, null long, key long, since long, until long")
+    spans = rows.mapInArrow(pack, _DDL).repartition("bucket", "salt").sortWithinPartitions("bucket", "salt").mapInArrow(count, _DDL)
+    if len(crowded):  # what was dealt by salt meets again, and there is one place for each bucket
+        spans = spans.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, _DDL)
+    return spans.select(*_SPAN)
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with whole texts cut: all its columns, then kept_text, n_words and n_removed."""
+    """`docs` with whole texts cut: all its columns, then kept_text, n_words and n_removed (also where a column has one of these names)."""
     n = len(docs.columns)
     inner = [f"_{i}" for i in range(n)]
     named = docs.toDF(*inner)
     text, own = (F.col(inner[docs.columns.index(c)]) for c in (text_col, id_col))
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    keyed = [F.coalesce(own.cast("long"), F.lit(0)).alias("doc"), own.isNull().cast("long").alias("null"), F.shiftright(F.xxhash64(text), 32).alias("key")]
-    spans = repeated_spans(named.select(*keyed, text.alias("text")))
-    by_doc = spans.groupBy("doc", "null", "key").agg(F.collect_list(F.struct("since", "until")).alias("spans"))
-    joined = named.select(*inner, *keyed).join(by_doc, ["doc", "null", "key"], "left").select(*inner, "spans")
+    named = named_documents(named, F.coalesce(text.cast("string"), F.lit("")), own)
+    spans = repeated_spans(named.select(*_NAME, F.coalesce(text.cast("string"), F.lit("")).alias("text")))
+    by_doc = spans.groupBy(*_NAME).agg(F.collect_set(F.struct("since", "until")).alias("spans"))
+    joined = named.join(by_doc, _NAME, "left").select(*inner, "spans")
     at = docs.columns.index(text_col)
-    schema = T.StructType([*[T.StructField(c, f.dataType) for c, f in zip(inner, docs.schema.fields, strict=True)], T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    added = [T.StructField("_kept_text", T.StringType()), T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType())]
+    schema = T.StructType([*[T.StructField(c, f.dataType) for c, f in zip(inner, docs.schema.fields, strict=True)], *added])
 
     def cut(batches):
         for b in batches:
