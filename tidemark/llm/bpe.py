@@ -2,9 +2,11 @@
 
 The merge list alone fixes a *sufficient lookahead* L: tokens that end L bytes before the end of what has
 been read cannot change, whatever follows. (Berglund and van der Merwe, "Formalizing BPE Tokenization",
-2023, define the constant; `MergeList.lookahead` computes a bound from chains of merges.) So an encoder
-needs no more than a window of some L bytes of a pre-token of any length, and no more than a few
-characters beyond a pre-token's end: memory is constant however long the text is.
+2023, define the constant; `MergeList.lookahead` computes a bound from chains of merges.) No merge crosses the end of a
+pre-token, so there the tokens stand as soon as a few characters show that it has ended. So an encoder emits what is
+certain with each piece that it is fed, and holds no more than a window of some L bytes of an open pre-token, however
+long that is: memory is constant however long the text is, and a piece of any size gives the same ids. Ids of
+pre-tokens up to L characters are remembered, which changes speed only.
 
 Nulls: a null text counts as empty and gives no ids. A null doc_id is passed through. Repeated rows give
 repeated results. Empty tables give empty results. Other columns are ignored.
@@ -31,9 +33,7 @@ from tidemark.llm.common import WHITE_SPACE, id_and_text, is_latin1
 #: Words whose ids a worker remembers; beyond it the memory is emptied. It changes speed, never results.
 CACHED_WORDS = 250_000
 #: Characters that are handed to an encoder at once.
-FEED_CHARS = 1 << 20
-#: Characters of a pre-token from which it is encoded through the sliding window.
-LONG_PRETOKEN = 2048
+FEED_CHARS = 1 << 14
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -178,7 +178,7 @@ class BytesTransducer:
 
     def __init__(self, merges: MergeList) -> None:
         self.merges, self.held = merges, b""
-        self.window = 4 * merges.lookahead + 4096
+        self.window = max(64, 4 * merges.lookahead)
 
     def feed(self, data: bytes) -> Iterator[int]:
         # a window at a time, so that the buffer never holds more than a window and its lookahead
@@ -208,7 +208,7 @@ class _Words(dict):
         self.merges = merges
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(word) > LONG_PRETOKEN:
+        if len(word) > self.merges.lookahead:
             whole = BytesTransducer(self.merges)
             data = word.encode()
             return (*whole.feed(data), *whole.finish())
@@ -223,8 +223,8 @@ class _Words(dict):
 class StreamingEncoder:
     """Text in pieces in, ids out: `feed` returns the ids that are certain, `finish` the rest.
 
-    Held between calls: less than a special token's length, the characters since the last place where white space
-    follows a sign, and for a pre-token beyond LONG_PRETOKEN characters only its transducer's window.
+    Held between calls: less than a special token's length, and of the pre-token that may go on a lookahead's characters, or if it
+    is longer its transducer's window.
     """
 
     def __init__(self, merges: MergeList, words: _Words | None = None) -> None:
@@ -234,6 +234,12 @@ class StreamingEncoder:
         self.tail = ""  # may be the start of a special token
         self.open = ""  # plain text whose pre-tokens aren't certain
         self.run: tuple[BytesTransducer, re.Pattern, bool] | None = None  # a long pre-token that goes on
+        self.long = max(8, merges.lookahead)
+
+    @property
+    def held(self) -> int:
+        """Characters, or bytes of a long pre-token, that wait for what follows."""
+        return len(self.tail) + len(self.open) + (len(self.run[0].held) if self.run else 0)
 
     def feed(self, text: str) -> list[int]:
         if self.special is None:
@@ -279,12 +285,11 @@ class StreamingEncoder:
             out += transducer.finish()
             self.run, text = None, text[end:]
         self.open += text
-        if len(self.open) > FEED_CHARS // 16:
-            cut = self._last_cut()
-            out += self._ids(self.open[:cut])
-            self.open = self.open[cut:]
-            if len(self.open) > LONG_PRETOKEN:
-                out += self._long()
+        cut = self._last_cut()
+        out += self._ids(self.open[:cut])
+        self.open = self.open[cut:]
+        if len(self.open) > self.long:
+            out += self._long()
         return out
 
     def _last_cut(self) -> int:
@@ -307,7 +312,7 @@ class StreamingEncoder:
             out += self.words[m[0]]
             at = m.end()
         self.open = text[at:]
-        if len(self.open) > LONG_PRETOKEN:
+        if len(self.open) > self.long:
             letter, number = _classes(0x10FFFF)
             body = self.open[1:] if self.open[0] == " " and not _SPACE.match(self.open[1]) else self.open
             major = unicodedata.category(body[0])[0]
@@ -315,7 +320,7 @@ class StreamingEncoder:
             kind = f"[{WHITE_SPACE}]*" if spaces else f"[{letter}]*" if major == "L" else f"[{number}]*" if major == "N" else f"[^{WHITE_SPACE}{letter}{number}]*"
             more = re.compile(kind)
             end = len(self.open) - len(body) + more.match(body).end()
-            if end >= len(self.open) - 3 and end > LONG_PRETOKEN:
+            if end >= len(self.open) - 3 and end > self.long:
                 end -= 3  # a few characters stay, for they may yet belong to the next pre-token
                 transducer = BytesTransducer(self.merges)
                 self.run = (transducer, more, spaces)
