@@ -35,18 +35,21 @@ def brute(rows, langs):
             for i in range(n):
                 s[i] += p[i]
         overall = [a + b for a, b in zip(overall, p, strict=True)]
-    base = [(v + 1) / (sum(overall) + n) for v in overall]
     smooth = lambda c, p: [(c[i] + 5 * p[i]) / (sum(c) + 5) for i in range(n)]
-    likely = lambda c: [(c[i] + 1) / (overall[i] + 1) for i in range(n)]
     out = []
     for declared, host, said in rows:
         if said is None:
             out.append((None, 0.0))
             continue
         suffix, domain = parts(host)
-        prior = smooth(sums["host"][host], smooth(sums["domain"][domain], base))
-        a, b = likely(sums["suffix"][suffix]), likely(sums["declared"][declared])
-        post = norm([said[i] + math.log(prior[i]) + math.log(a[i]) + math.log(b[i]) for i in range(n)])
+        own = norm(said)  # the row itself is left out of all sums
+        rest = lambda kind, key, own=own: [max(0.0, v - o) for v, o in zip(sums[kind][key], own, strict=True)]
+        others = [max(0.0, v - o) for v, o in zip(overall, own, strict=True)]
+        prior = [(v + 1) / (sum(others) + n) for v in others]
+        for kind, key in (("suffix", suffix), ("domain", domain), ("host", host)):
+            prior = smooth(rest(kind, key), prior)
+        says = [(v + 1) / (o + 1) for v, o in zip(rest("declared", declared), others, strict=True)]
+        post = norm([said[i] + math.log(prior[i]) + math.log(says[i]) for i in range(n)])
         best = max(post)
         out.append((langs[post.index(best)] if best >= 0.5 else None, best))
     return out
@@ -118,3 +121,28 @@ def test_hosts(spark):
     assert [r[0] for r in df.select(g.host_of(F.col("url"))).collect()] == ["www.a.co.uk", None, None, "h"]
     s, d = g.host_parts(F.col("url"))
     assert [tuple(r) for r in spark.createDataFrame([("a.b.c",), ("solo",), (None,)], "url string").select(s, d).collect()] == [("c", "b.c"), (None, "solo"), (None, None)]
+
+
+def test_without_a_model_the_declaration_counts(docs_of):
+    rows = [(1, "some words", "en", "s"), (2, "other words", None, "s"), (3, "12 !", "en", "s"), (4, None, "en", "s")]
+    got = {r.doc_id: (r.lang, r.accepted) for r in g.documents_identified(docs_of(rows)).collect()}
+    assert got == {1: ("en", True), 2: (None, True), 3: (None, False), 4: (None, False)}
+    assert sorted(r.doc_id for r in g.accepted_documents(docs_of(rows)).collect()) == [1, 2]
+
+
+def test_a_rare_language_is_modelled(spark, sf):
+    """Ten rows among thousands are counted exactly and all are in the sample."""
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text", "lang", "source")
+    word = ["saluton", "kiel", "vi", "fartas", "hodiaŭ", "mi", "estas", "bone", "dankon", "ĉiuj"]
+    rare = spark.createDataFrame([(-1 - i, " ".join(word[i * k % 10] for k in range(1, 60)), "eo", "s") for i in range(1, 12)], docs.schema)
+    got = {r.doc_id: r.lang for r in g.documents_identified(docs.unionByName(rare)).where("doc_id < 0").collect()}
+    assert len(got) == 11 and set(got.values()) == {"eo"}
+
+
+def test_columns_of_any_type_are_kept(spark, sf):
+    """Maps, repeated names of inner columns, and rows that are equal in everything."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("own", F.create_map(F.lit("a"), F.col("doc_id"))).withColumn("said", F.lit("x")).withColumn("declared", F.lit("y"))
+    got = g.accepted_documents(docs.unionByName(docs))
+    assert got.columns == docs.columns and got.schema["own"].dataType == docs.schema["own"].dataType
+    plain = g.accepted_documents(docs.drop("own", "said", "declared"))
+    assert got.count() >= 2 * plain.count() - 4 and got.where("own['a'] <> doc_id or said <> 'x' or declared <> 'y'").count() == 0

@@ -2,19 +2,22 @@
 
 * the text: likelihoods of byte n-grams under a model for each language, tempered by the text's length because
   neighbouring n-grams are not independent;
-* the language that the markup declares, by how often each language's pages declare it;
-* the suffix of the address, likewise;
-* the host: a prior that is smoothed along the host's labels, from all pages up to the suffix, the domain and the host.
+* the host: a prior that is smoothed along the host's labels, from all pages to those of the address's suffix, then of the domain, then of the host;
+* the suffix of the address, as the first of these levels;
+* the language that the markup declares, by how often each language's pages declare it.
 
 What the last three say is learned from all rows by grouped aggregation of what the texts alone say, so no label is
-trusted by itself: counts are pre-aggregated in each task, and a host with a third of all rows is one row for
-each task. The text model is fitted on a bounded sample of rows with a declared language (SAMPLE_ROWS); rows of the
-sample that a first fit contradicts are left out of a second one.
-
-A row is rejected (`accepted` false, lang null) if its text has no letters, or if no language reaches LEAST_POSTERIOR.
-Nulls: a null or empty text has no letters; a null declaration, host or suffix is a value of its own that says what
-such rows say. Empty tables give empty results. Repeated rows give repeated results. Extra columns are ignored, or kept by
-`identified`.
+trusted by itself. Each row's own text is left out of what its host, suffix and declaration say about it, so it counts once.
+Counts are pre-aggregated in each task, and a host with a third of all rows is one row for each task.
+
+The languages are those that LEAST_ROWS rows of the whole table declare, counted exactly, the MOST_LANGS most frequent at most. The text model is
+fitted on a bounded sample of rows of each (SAMPLE_ROWS together); rows of the sample that a first fit contradicts are left out of a second one.
+
+A row is rejected (`accepted` false, lang null) if its text has no letters, or if no language reaches LEAST_POSTERIOR. If no language is
+declared often enough to be modelled, every row with letters is accepted with the language that it declares and confidence 0.
+Of languages with equal posteriors the first by name counts. Nulls: a null or empty text has no letters; a null declaration, host or suffix is
+a value of its own that says what such rows say. Empty tables give empty results. Repeated rows give repeated results. Extra
+columns, of any type and name, are ignored, or kept by `accepted_documents`.
 """
 
 from __future__ import annotations
@@ -25,13 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import Texts, written
 
-#: Rows, about, on which the text model is fitted.
+#: Rows, about, on which the text model is fitted, dealt evenly to the languages.
 SAMPLE_ROWS = 6000
-#: Bins of hashed runs of three bytes, and rows of a language from which it is modelled.
-BINS, LEAST_ROWS = 1 << 15, 8
+#: Bins of hashed runs of three bytes, rows of a language from which it is modelled, and languages at most.
+BINS, LEAST_ROWS, MOST_LANGS = 1 << 15, 8, 200
 #: Text evidence counts as if every so many n-grams were independent; beyond MOST_EVIDENCE nats it says no more.
 GRAMS_A_SAMPLE, MOST_EVIDENCE = 8.0, 30.0
 #: Rows that a level of a host counts against its own; pseudo-counts of declarations and suffixes.
@@ -84,12 +88,17 @@ class TextModel:
 
 
 def fit_text_model(rows: DataFrame, seed_cols: list[str]) -> TextModel | None:
-    """A model of every language that LEAST_ROWS sampled rows declare; rows: text, declared and the columns that seed the sample.
+    """A model of the languages that LEAST_ROWS rows declare; rows: text, declared and the columns that seed the sample.
 
     Tasks count the n-grams of the sampled rows' whole texts; the driver gets what bins a text fills, and how often.
     """
-    step = max(1, rows.count() // SAMPLE_ROWS)
-    picked = rows.where((F.pmod(F.xxhash64(*seed_cols), F.lit(step)) == 0) & F.col("declared").isNotNull())
+    counted = rows.where("declared is not null").groupBy("declared").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS)
+    known = {r.declared: r.n for r in counted.orderBy(F.desc("n"), "declared").limit(MOST_LANGS).collect()}
+    if not known:
+        return None
+    each = max(LEAST_ROWS, SAMPLE_ROWS // len(known))
+    steps = F.create_map(*[F.lit(x) for k, n in sorted(known.items()) for x in (k, max(1, n // each))])
+    picked = rows.where(F.pmod(F.xxhash64(*seed_cols), steps[F.col("declared")]) == 0)
 
     def run(batches):
         for b in batches:
@@ -98,13 +107,12 @@ def fit_text_model(rows: DataFrame, seed_cols: list[str]) -> TextModel | None:
                 bins, counts = np.unique(gram_bins(texts.row(i)), return_counts=True)
                 yield pa.record_batch({"declared": b.column(0).slice(i, 1), "bins": pa.array([bins.astype("<u2").tobytes()], pa.binary()), "counts": pa.array([counts.astype("<u4").tobytes()], pa.binary())})
 
-    sample = picked.select("declared", "text").mapInArrow(run, "declared string, bins binary, counts binary").limit(2 * SAMPLE_ROWS).collect()
+    sample = picked.select("declared", "text").mapInArrow(run, "declared string, bins binary, counts binary").limit(4 * SAMPLE_ROWS).collect()
     grams = []
     for r in sorted(sample, key=lambda r: (r.declared, r.bins, r.counts)):
         bins, counts = np.frombuffer(r.bins, "<u2").astype(np.int64), np.frombuffer(r.counts, "<u4")
         grams.append((r.declared, bins[bins > 0], counts[bins > 0].astype(np.float32)))
-    declared = [d for d, _, _ in grams]
-    langs = sorted(x for x in set(declared) if declared.count(x) >= LEAST_ROWS)
+    langs = sorted({d for d, _, _ in grams})
     if not langs:
         return None
     model = None
@@ -156,55 +164,84 @@ def _normal(x):
     return F.transform(weights, lambda v: v / F.aggregate(weights, F.lit(0.0), lambda a, w: a + w))
 
 
-def _total(x):
-    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
-
-
 def _sums(df: DataFrame, keys: list[str], counts, n: int) -> DataFrame:
     """Sums of an array column of n numbers by key, as `sums`; pre-aggregated in each task."""
     sums = df.groupBy(*keys).agg(*[F.sum(counts[i]).alias(f"_{i}") for i in range(n)])
     return sums.select(*keys, F.array(*[f"_{i}" for i in range(n)]).alias("sums"))
 
 
-def fused(said: DataFrame, langs: list[str]) -> DataFrame:
-    """Rows with `declared`, `host` and `said`; adds lang, confidence, accepted.
+class Priors:
+    """What hosts and declarations say, as sums of what texts say; `said`: declared, host, said (null without letters)."""
 
-    What is learned by host, domain, suffix and declaration is joined back by key: Spark broadcasts what it finds small,
-    and its skew join splits hosts with very many rows.
-    """
-    n, each = len(langs), F.sequence(F.lit(0), F.lit(len(langs) - 1))
-    suffix, domain = host_parts(F.col("host"))
-    rows = said.withColumns({"suffix": suffix, "domain": domain})
-    heard = rows.where(F.col("said").isNotNull()).withColumn("by_text", _normal(F.col("said")))
-    by_host = written(_sums(heard, ["host", "domain", "suffix"], F.col("by_text"), n), "hosts")  # coarser sums are sums of these
-    overall = by_host.agg(*[F.coalesce(F.sum(F.col("sums")[i]), F.lit(0.0)).alias(f"_{i}") for i in range(n)]).first()
-    base = F.array(*[F.lit((v + 1.0) / (sum(overall) + n)) for v in overall])
-    mass = F.array(*[F.lit(v + COUNT_WEIGHT) for v in overall])
-    smoothed = lambda counts, prior: F.transform(each, lambda i: (counts[i] + HOST_WEIGHT * prior[i]) / (_total(counts) + HOST_WEIGHT))
-    likely = lambda counts: F.transform(each, lambda i: (counts[i] + COUNT_WEIGHT) / mass[i])  # noqa: E731  P(value | language), up to a common factor
-
-    domains = _sums(by_host, ["domain"], F.col("sums"), n).select(F.col("domain").alias("of_domain"), smoothed(F.col("sums"), base).alias("p_domain"))
-    suffixes = _sums(by_host, ["suffix"], F.col("sums"), n).select(F.col("suffix").alias("of_suffix"), likely(F.col("sums")).alias("p_suffix"))
-    hosts = by_host.join(domains, F.col("domain").eqNullSafe(F.col("of_domain"))).join(suffixes, F.col("suffix").eqNullSafe(F.col("of_suffix")))
-    hosts = hosts.select(F.col("host").alias("of_host"), smoothed(F.col("sums"), F.col("p_domain")).alias("p_host"), "p_suffix")
-    declared = _sums(heard, ["declared"], F.col("by_text"), n).select(F.col("declared").alias("of_declared"), likely(F.col("sums")).alias("p_declared"))
-
-    joined = rows.join(hosts, F.col("host").eqNullSafe(F.col("of_host")), "left").join(declared, F.col("declared").eqNullSafe(F.col("of_declared")), "left")
-    one = F.array(*[F.lit(1.0)] * n)
-    prior, by_suffix, by_declared = F.coalesce("p_host", base), F.coalesce("p_suffix", one), F.coalesce("p_declared", one)
-    posterior = _normal(F.transform(each, lambda i: F.col("said")[i] + F.log(prior[i]) + F.log(by_suffix[i]) + F.log(by_declared[i])))
-    out = joined.withColumn("posterior", F.when(F.col("said").isNotNull(), posterior))
-    best = F.array_max("posterior")
-    ok = F.coalesce(best >= LEAST_POSTERIOR, F.lit(False))
-    named = F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position("posterior", best).cast("int"))
-    kept = [c for c in said.columns if c != "said"]
-    return out.select(*kept, F.when(ok, named).alias("lang"), F.coalesce(best, F.lit(0.0)).alias("confidence"), ok.alias("accepted"))
+    def __init__(self, said: DataFrame, langs: list[str]) -> None:
+        n = len(langs)
+        self.langs = langs
+        suffix, domain = host_parts(F.col("host"))
+        heard = said.where(F.col("said").isNotNull()).withColumns({"suffix": suffix, "domain": domain, "by_text": _normal(F.col("said"))})
+        by_host = written(_sums(heard, ["host", "domain", "suffix"], F.col("by_text"), n), "hosts")  # coarser sums are sums of these
+        self.overall = list(by_host.agg(*[F.coalesce(F.sum(F.col("sums")[i]), F.lit(0.0)).alias(f"_{i}") for i in range(n)]).first())
+        domains = _sums(by_host, ["domain"], F.col("sums"), n).select(F.col("domain").alias("of_domain"), F.col("sums").alias("in_domain"))
+        suffixes = _sums(by_host, ["suffix"], F.col("sums"), n).select(F.col("suffix").alias("of_suffix"), F.col("sums").alias("in_suffix"))
+        hosts = by_host.join(domains, F.col("domain").eqNullSafe(F.col("of_domain"))).join(suffixes, F.col("suffix").eqNullSafe(F.col("of_suffix")))
+        self.hosts = hosts.select(F.col("host").alias("of_host"), F.col("sums").alias("in_host"), "in_domain", "in_suffix")
+        self.declared = _sums(heard, ["declared"], F.col("by_text"), n).select(F.col("declared").alias("of_declared"), F.col("sums").alias("in_declared"))
+
+    def applied(self, rows: DataFrame) -> DataFrame:
+        """Rows with `declared`, `host` and `said`, whatever else; adds lang, confidence, accepted, in the place of `said`.
+
+        What is learned is joined back by host and declaration: Spark broadcasts what it finds small, and its skew join splits
+        hosts with very many rows.
+        """
+        langs, overall = self.langs, np.array(self.overall)
+        joined = rows.join(self.hosts, F.col("host").eqNullSafe(F.col("of_host")), "left").join(self.declared, F.col("declared").eqNullSafe(F.col("of_declared")), "left")
+        kept, sums = [c for c in rows.columns if c != "said"], ["said", "in_host", "in_domain", "in_suffix", "in_declared"]
+        schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
+
+        def run(batches):
+            for b in batches:
+                said = b.column(len(kept))
+                heard = np.asarray(said.is_valid())
+                numbers = [np.asarray(b.column(len(kept) + k).filter(said.is_valid()).flatten(), float).reshape(-1, len(langs)) for k in range(len(sums))]
+                posterior = posteriors(*numbers, overall)
+                best = posterior.argmax(axis=1) if len(posterior) else np.zeros(0, np.int64)
+                confidence, lang = np.zeros(b.num_rows), np.full(b.num_rows, None, object)
+                confidence[heard] = posterior[np.arange(len(best)), best]
+                accepted = heard & (confidence >= LEAST_POSTERIOR)
+                lang[heard] = np.array(langs, object)[best]
+                lang[~accepted] = None
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(lang.tolist(), pa.string()), pa.array(confidence), pa.array(accepted)], names=[*kept, "lang", "confidence", "accepted"])
+
+        return joined.select(*kept, *sums).mapInArrow(run, schema)
+
+
+def posteriors(said: np.ndarray, host: np.ndarray, domain: np.ndarray, suffix: np.ndarray, declared: np.ndarray, overall: np.ndarray) -> np.ndarray:
+    """P(language | all evidence) of each row; the sums that it is in, and those of all rows, without what the row itself has added."""
+
+    def normal(x):
+        weights = np.exp(x - x.max(axis=1, keepdims=True)) if len(x) else x
+        return weights / weights.sum(axis=1, keepdims=True)
+
+    own = normal(said)
+    others = np.maximum(overall - own, 0)
+    prior = (others + 1) / (others.sum(axis=1, keepdims=True) + said.shape[1])
+    for sums in (suffix, domain, host):
+        rest = np.maximum(sums - own, 0)
+        prior = (rest + HOST_WEIGHT * prior) / (rest.sum(axis=1, keepdims=True) + HOST_WEIGHT)
+    declares = (np.maximum(declared - own, 0) + COUNT_WEIGHT) / (others + COUNT_WEIGHT)  # P(declaration | language), up to a common factor
+    return normal(said + np.log(prior) + np.log(declares))
+
+
+def fused(said: DataFrame, langs: list[str]) -> DataFrame:
+    """Rows with `declared`, `host` and `said`; adds lang, confidence, accepted."""
+    return Priors(said, langs).applied(said)
 
 
 def identify(rows: DataFrame, model: TextModel | None) -> DataFrame:
     """rows: key columns, text, declared, host. Returns the keys, declared, host, lang, confidence, accepted."""
     if model is None:
-        return rows.drop("text").withColumns({"lang": F.lit(None).cast("string"), "confidence": F.lit(0.0), "accepted": F.lit(False)})
+        letters = F.col("text").rlike(r"\p{L}")
+        kept = [c for c in rows.columns if c != "text"]
+        return rows.select(*kept, F.when(letters, F.col("declared")).alias("lang"), F.lit(0.0).alias("confidence"), letters.alias("accepted"))
     return fused(written(evidence(rows, model), "said"), model.langs)
 
 
@@ -234,12 +271,20 @@ def pages_identified(pages: DataFrame) -> DataFrame:
 
 
 def accepted_documents(docs: DataFrame) -> DataFrame:
-    """The documents that are accepted, all their columns as they were but `lang`, which is now what was identified."""
+    """The documents that are accepted, all their columns as they were but `lang`, which is now what was identified.
+
+    Rows carry their columns through the fusion, so none is found again by a key; a second pass over the texts takes less than it would
+    take to send them through a shuffle. Nulls, empty and very long texts, repeated rows and empty tables are as the module says.
+    """
     names = docs.columns
     inner = docs.toDF(*[f"_{i}" for i in range(len(names))])
-    at = {c: f"_{i}" for i, c in enumerate(names)}
-    keyed = inner.withColumn("key", F.xxhash64(*[F.col(c) for c in inner.columns]))
-    plain = keyed.select(F.col("key"), F.col(at["text"]).alias("text"), F.col(at["lang"]).alias("lang"), F.col(at["source"]).alias("source"))
-    rows = document_rows(plain, {"key": F.col("key")})
-    found = identify(rows, fit_text_model(rows, ["key"])).where("accepted").select("key", F.col("lang").alias("found")).dropDuplicates(["key"])
-    return keyed.join(found, "key").select(*[F.col("found" if c == "lang" else at[c]).alias(c) for c in names])
+    at = {c: F.col(f"_{names.index(c)}") for c in ("doc_id", "text", "lang", "source")}
+    general = document_rows(inner.select(*[c.alias(k) for k, c in at.items()]), {"doc_id": F.col("doc_id").cast("long")})
+    model = fit_text_model(general, ["doc_id"])
+    plain = document_rows(inner.withColumns(at), {c: F.col(c) for c in inner.columns})
+    if model is None:
+        found = identify(plain, None)
+    else:
+        found = Priors(written(evidence(general.drop("doc_id"), model), "said"), model.langs).applied(evidence(plain, model))
+    own = {c: F.col(f"_{i}") for i, c in enumerate(names)} | {"lang": F.col("lang")}
+    return found.where("accepted").select(*[own[c].alias(c) for c in names])
