@@ -42,4 +42,24 @@ def test_shards_are_tar_files_and_headers_are_range_reads(spark, docs_of, tmp_pa
     at = media.places(rows)
     assert at.count() == 7
     heads = {bytes(r.digest): (r.width, r.height, r.bits) for r in media.media_headers(at, path).collect()}
-    assert heads == {bytes(r.digest): (r.width, r.height, 8) for r in media.media_features(at, path).collect()}
+    assert heads == {bytes(r.digest): (576, r.payload_bytes // 576, 8) for r in media.media_features(at, path).collect()}
+
+
+def test_the_stored_form_by_another_reader(spark, docs_of, tmp_path, monkeypatch):
+    """Rows lead to the bytes; a second reader of the format, without the module, gets each text back and each column from it."""
+    monkeypatch.setattr(media, "fresh_path", lambda *_: f"file://{tmp_path}/m")
+    rows = [(1, "one \n two" * 200), (2, None), (3, "é" * 300), (4, "one \n two" * 200)]
+    for r in media.media_report(spark, docs_of(rows)).collect():
+        data = (tmp_path / "m" / r.shard).read_bytes()[r.offset : r.offset + r.length]
+        assert (len(data), hashlib.sha256(data).hexdigest()) == (r.media_bytes, r.media_sha256)
+        width, height, depth, colour = int.from_bytes(data[16:20]), int.from_bytes(data[20:24]), data[24], data[25]
+        assert (width, height, depth, colour, r.width, r.height, r.bits) == (576, height, 8, 0, 576, height, 8)
+        n = int.from_bytes(data[33:37])
+        raw = zlib.decompress(data[41 : 41 + n])
+        lines = [raw[k * 577 : (k + 1) * 577] for k in range(height)]
+        assert data[37:41] == b"IDAT" and all(x[0] == 0 for x in lines)
+        payload, text = b"".join(x[1:] for x in lines), (dict(rows)[r.doc_id] or "").encode()
+        assert payload[: r.n_bytes] == text and r.n_bytes == len(text) and set(payload[r.n_bytes :]) <= {255}
+        assert hashlib.sha256(payload).hexdigest() == r.payload_sha256 == r.digest
+        bands = [[v for line in lines for v in line[1 + 24 * k : 25 + 24 * k]] for k in range(24)]
+        assert r.feature == bytes(sum(x) // len(x) for x in bands).hex()

@@ -26,6 +26,8 @@ from tidemark.llm.common import Texts, filesystem, fresh_path, id_and_text, writ
 
 SAMPLES_A_ROW = 576
 FILL = 255
+#: Bytes of stored payloads that one task reads back, about, and such tasks at most.
+PART_BYTES, MOST_READERS = 8 << 20, 50_000
 #: Bytes before the first chunk of samples: the signature and the header chunk.
 HEADER_BYTES = 33
 #: Fixed value: the signature of a PNG file.
@@ -154,8 +156,8 @@ def _open(system, folder: str, shard: str, files: dict):
 
 
 def media_features(places: DataFrame, path: str) -> DataFrame:
-    """Everything that is known from the stored bytes of each digest: header columns, sizes, digests and the feature."""
-    schema = "digest binary, width long, height long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    """What takes the whole stored bytes of each digest: sizes, digests and the feature."""
+    schema = "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches):
         system, folder = filesystem(path)
@@ -163,23 +165,27 @@ def media_features(places: DataFrame, path: str) -> DataFrame:
         for b in batches:
             rows = []
             for shard, offset, length in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                f = _open(system, folder, shard, files)
-                width, height, _ = png_header(f.read_at(HEADER_BYTES, offset))
-                png = f.read_at(length, offset)
+                png = _open(system, folder, shard, files).read_at(length, offset)
                 payload = samples_of(png)
-                rows.append((width, height, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(png), hashlib.sha256(png).hexdigest(), feature_of(payload)))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 8
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["width", "height", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(png), hashlib.sha256(png).hexdigest(), feature_of(payload)))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             yield pa.record_batch({"digest": b.column(0)} | {n: pa.array(c, k) for n, c, k in zip(names, cols, kinds, strict=True)})
 
     return places.select("digest", "shard", "offset", "length").mapInArrow(run, schema)
 
 
 def media_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Store all documents, read every stored payload once, and give each row what its payload holds."""
+    """Store all documents, fill metadata columns from the stored headers, read every stored payload once, and give each row where its payload
+    lies (digest, shard, offset, length) and what it holds.
+
+    Places are dealt in the shards' order, so many to a task that each reads about PART_BYTES.
+    """
     path = fresh_path(spark, "media")
     rows = store_media(docs, path)
-    # places are sorted, so that a task reads on in the shards it opens
-    found = media_features(places(rows).sortWithinPartitions("shard", "offset"), path)
-    return rows.select("doc_id", "n_bytes", "digest").join(found, "digest").drop("digest")
+    at = written(places(rows), "places")
+    size = at.agg(F.sum("length")).first()[0] or 0
+    at = at.repartitionByRange(max(1, min(MOST_READERS, size // PART_BYTES + 1)), "shard", "offset").sortWithinPartitions("shard", "offset")
+    found = at.join(media_headers(at, path), "digest").join(media_features(at, path), "digest")
+    return rows.select("doc_id", "n_bytes", "digest").join(found, "digest").withColumn("digest", F.lower(F.hex("digest")))
