@@ -34,6 +34,23 @@ def test_plain_text():
     assert warc.plain_text("a<script>never closed") == "a"
 
 
+def test_pages_out_of_order():
+    """Quoted signs, unclosed elements, tags in tags; and time that grows with the length."""
+    import time
+
+    p = warc.Page('<html lang="de-AT"><head><title>A &lt; B</title><a href=x></head><p title="x>y">z</p><A HREF=\'/q?a>b\'>l</A><a name=href>n</a><a href="">e</a>')
+    assert (warc.plain_text(p), p.title, p.lang, p.links) == ("z\nlne", "A &lt; B", "de-AT", ["x", "/q?a>b", ""])
+    assert warc.plain_text("a<!-- b") == "a" and warc.plain_text("a <b c") == "a" and warc.plain_text("x<head>y") == "x y" and warc.plain_text("<a title='>'>k") == "k"
+    assert warc.plain_text("<title>t</title>u <title>v</title>") == "tu v" and warc.plain_text("<p class=a\"b>c") == "c"
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        for part in ("<head>", "<div ", "<title>", "<script", "<!--", "<a href=\"", "<a =\"'", "</", "<td>&"):
+            warc.plain_text(part * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
 def test_report(spark, sf):
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     got = queries.op4_warc(spark, sf).collect()

@@ -31,19 +31,85 @@ from tidemark.llm.common import filesystem, fresh_path, written
 VERSION = b"WARC/1.1"
 #: The date that records carry when a page has none; a parameter, so that runs are repeatable.
 DATE = "2024-01-01T00:00:00Z"
-#: Elements whose content is no text, and elements that end a line of text.
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|head|noscript|template)\b.*?</\1\s*>|<!--.*\Z|<(?:script|style|noscript|template)\b.*\Z", re.S | re.I)
-_BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tr|ul)\b[^>]*>", re.I)
-_CELL = re.compile(r"</?t[dh]\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[a-z][^>]*>|<[!?][^>]*>", re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-
-
-def plain_text(page: str) -> str:
+#: Bytes of derivatives that one task reads back, about, and such tasks at most.
+PART_BYTES, MOST_READERS = 8 << 20, 50_000
+#: Elements whose content is no text and holds no elements, one whose content is no text, those that end a line of text, and cells.
+_RAW, _UNSEEN = {"script", "style", "noscript", "template"}, "head"
+_BREAKS = set("address article aside blockquote br dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tr ul".split())
+_CELLS = {"td", "th"}
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+#: Attributes up to the tag's end; a quoted value may hold any sign. No way is tried twice, so it takes time in proportion to the tag.
+_REST = re.compile(r"(?>[^>=]++|=\s*+(?>\"[^\"]*+\"|'[^']*+'|))*+>")
+_VALUE = r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"
+_LANG, _HREF = (re.compile(rf"(?:^|[\s\"'/]){name}{_VALUE}", re.I) for name in ("lang", "href"))
+_LANG_CODE = re.compile(r"[A-Za-z-]+")
+
+
+class Page:
+    """What a page holds, in one pass over its tags: text, title, declared language, addresses of its links.
+
+    Each tag, comment and raw element is passed once, and an element that isn't closed is looked for once, so time grows with
+    the page's length whatever it holds. What follows an unclosed comment, raw element or tag is no text.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.title: str | None = None
+        self.lang: str | None = None
+        self.links: list[str] = []
+        text, at, seen, unclosed = [], 0, 0, set()  # text before `seen` is in the head
+        while (m := _OPEN.search(page, at)) is not None:
+            if m.start() > seen:
+                text.append(page[max(at, seen) : m.start()])
+            if m[1]:
+                end = page.find("-->", m.end())
+                text.append(" ")
+                at = end + 3 if end >= 0 else len(page)
+                continue
+            if m[2]:
+                end = page.find(">", m.end())
+                at = end + 1 if end >= 0 else len(page)
+                continue
+            rest = _REST.match(page, m.end())
+            if rest is None:
+                at = len(page)
+                break
+            name, closing, at = m[4].lower(), bool(m[3]), rest.end()
+            if not closing and name in _RAW:
+                at = self._close(page, name, at, unclosed) or len(page)
+                text.append(" ")
+            elif not closing and name == _UNSEEN:
+                seen = max(seen, self._close(page, name, at, unclosed) or 0)
+                text.append(" ")
+            elif not closing and name == "title" and self.title is None:
+                end = self._close(page, name, at, unclosed)
+                if end is not None:
+                    inner = page[at:end]
+                    self.title = inner[: inner.rindex("<")]
+            elif at > seen:
+                text.append("\n" if name in _BREAKS else " " if name in _CELLS else "")
+            if not closing and name == "a" and (found := _HREF.search(page, m.end(), at)):
+                self.links.append(next(g for g in found.groups() if g is not None))
+            elif not closing and name == "html" and self.lang is None and (found := _LANG.search(page, m.end(), at)):
+                code = _LANG_CODE.match(next(g for g in found.groups() if g is not None))
+                self.lang = code[0] if code else None
+        text.append(page[max(at, seen) :])
+        self.text = "".join(text)
+
+    @staticmethod
+    def _close(page: str, name: str, at: int, unclosed: set[str]) -> int | None:
+        """The place after the element's end tag; None if there is none, which is found out once."""
+        if name in unclosed:
+            return None
+        end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+        if end is None:
+            unclosed.add(name)
+            return None
+        return end.end()
+
+
+def plain_text(page: str | Page) -> str:
     """The visible text: one line for each block, entities resolved, white space run together, empty lines left out."""
-    text = _TAG.sub("", _CELL.sub(" ", _BREAK.sub("\n", _HIDDEN.sub(" ", page))))
+    text = (page if isinstance(page, Page) else Page(page)).text
     lines = (" ".join(x.split()) for x in html.unescape(text).split("\n"))
     return "\n".join(x for x in lines if x)
 
@@ -120,16 +186,15 @@ def response(page_id: int | None, url: str | None, page: str | None) -> bytes:
 def derive(headers: dict[str, str], block: bytes) -> tuple[bytes, bytes]:
     """The conversion and the metadata record of a response."""
     http, _, body = block.partition(b"\r\n\r\n")
-    page = body.decode("utf-8", "replace")
+    page = Page(body.decode("utf-8", "replace"))
     text = plain_text(page).encode()
     own, url = headers["warc-record-id"], headers.get("warc-target-uri")
     linked = [("WARC-Date", headers["warc-date"]), ("WARC-Target-URI", url), ("WARC-Refers-To", own), ("WARC-Refers-To-Target-URI", url), ("WARC-Refers-To-Date", headers["warc-date"]),
               ("WARC-Source-Payload-Digest", headers.get("warc-payload-digest")), ("WARC-Source-Block-Digest", headers.get("warc-block-digest")), ("WARC-Page-ID", headers.get("warc-page-id"))]
     conversion_id, metadata_id = record_id(b"conversion", own.encode()), record_id(b"metadata", own.encode())
-    title, lang = _TITLE.search(page), _LANG.search(page)
-    links = [html.unescape(next(g for g in m if g is not None)) for m in ((a or None, b or None, c or "") for a, b, c in _LINK.findall(page))]
-    fields = [("status", http.split(b"\r\n", 1)[0].decode()), *(("source-header", x.decode()) for x in http.split(b"\r\n")[1:]), ("title", " ".join(html.unescape(title[1]).split()) if title else None),
-              ("declared-language", lang[1].lower() if lang else None), ("n-links", str(len(links))), *(("outlink", x) for x in links), ("text-bytes", str(len(text))), ("text-lines", str(text.count(b"\n") + bool(text)))]
+    title, links = page.title, [html.unescape(x) for x in page.links]
+    fields = [("status", http.split(b"\r\n", 1)[0].decode()), *(("source-header", x.decode()) for x in http.split(b"\r\n")[1:]), ("title", None if title is None else " ".join(html.unescape(title).split())),
+              ("declared-language", page.lang.lower() if page.lang else None), ("n-links", str(len(links))), *(("outlink", x) for x in links), ("text-bytes", str(len(text))), ("text-lines", str(text.count(b"\n") + bool(text)))]
     facts = b"".join(f"{k}: {_clean(v)}\r\n".encode() for k, v in fields if v is not None)
     return (
         record([("WARC-Type", "conversion"), ("WARC-Record-ID", conversion_id), *linked, ("WARC-Block-Digest", digest(text)), ("Content-Type", "text/plain")], text),
@@ -208,7 +273,12 @@ def build_derivatives(files: DataFrame, source: str, path: str) -> DataFrame:
 
 
 def read_derivatives(index: DataFrame, path: str) -> DataFrame:
-    """What the two records of each response hold, read from their files by offset, with all links checked."""
+    """What the two records of each response hold, read from their files by offset, with all links checked.
+
+    Records are dealt in the files' order, so many to a task that each reads about PART_BYTES.
+    """
+    size = index.agg(F.sum(F.col("conversion_length") + F.col("metadata_length"))).first()[0] or 0
+    index = index.repartitionByRange(max(1, min(MOST_READERS, size // PART_BYTES + 1)), "file", "conversion_offset").sortWithinPartitions("file", "conversion_offset")
     schema = "page_id long, url string, response_id string, conversion_id string, metadata_id string, refers_to string, source_payload_digest string, text_digest string, metadata_digest string, n_links long, title string, declared_language string, text string"
     kinds = [pa.int64(), *[pa.string()] * 8, pa.int64(), *[pa.string()] * 3]
     names = [x.split()[0] for x in schema.split(", ")]
