@@ -36,6 +36,8 @@ SAMPLED, MOST_TABLES = 5, 24
 WINDOW_SHARE = 0.75
 #: Bytes of item index that are broadcast together.
 BLOCK_BYTES = 32 << 20
+#: Blocks of items that filter rows one after another in one pass.
+CHAINED = 4
 #: Bytes of text that a task looks at together.
 PIECE_BYTES = 2 << 20
 _BITMAP = 1 << 20
@@ -175,7 +177,7 @@ def tables_for(items: list[np.ndarray], size: int, max_edit: float, target: floa
         recall, k = found.reshape(len(kinds), each).mean(axis=1).min(), k + 1
         if recall >= target:
             return k
-    raise ValueError(f"windows of {size} words reach a recall of {recall[-1]:.3f} with {len(recall)} tables, {target} is sought")
+    raise ValueError(f"windows of {size} words reach a recall of {recall:.3f} with {k} tables, {target} is sought")
 
 
 class Index:
@@ -250,6 +252,34 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, max_edit: float, targe
         yield made()
 
 
+def _places(index: Index, column: pa.Array):
+    """For pieces of a text column: {(row, item): (distance, word after)} of the items that lie in them, each at its best place."""
+    texts = Texts(column)
+    for i, j in texts.pieces(PIECE_BYTES):
+        raw = [texts.row(r).tobytes() for r in range(i, j)]
+        raw = [x.lower() if x.isascii() else x.decode().lower().encode() for x in raw]
+        data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+        begin, end = _spans(data)
+        words = word_hashes(data, begin, end)
+        first = np.searchsorted(begin, np.cumsum([0, *(len(x) + 1 for x in raw)]))
+        row = np.repeat(np.arange(j - i), np.diff(first))
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        done: set[tuple[int, int, int]] = set()
+        for start, item, offset in index.candidates(words, row).tolist():
+            r, pattern, most = int(row[start]), index.words[item], index.most[item]
+            place = (start - offset) // (most + 1)  # candidates of one place are looked at once
+            if (r, item, place) in done or best.get((i + r, item), (1, 0))[0] == 0:
+                continue
+            done.add((r, item, place))
+            since = max(int(first[r]), place * (most + 1) - most)
+            until = min(int(first[r + 1]), (place + 1) * (most + 1) + len(pattern) + most)
+            distance, after = edit_places(pattern, words[since:until])
+            if distance <= most and distance < best.get((i + r, item), (most + 1, 0))[0]:
+                best[i + r, item] = distance, since + after - int(first[r])
+        if best:
+            yield best
+
+
 def contaminated(docs: DataFrame, items: DataFrame, max_edit: float = MAX_EDIT, target_recall: float = TARGET_RECALL, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Rows (doc_id, item_id, edit_distance, item_words, end_word): each item that lies in a document, at its best place."""
     spark = docs.sparkSession
@@ -260,32 +290,9 @@ def contaminated(docs: DataFrame, items: DataFrame, max_edit: float = MAX_EDIT,
         def run(batches):
             index: Index = shared.value
             for b in batches:
-                texts, ids = Texts(b.column(1)), b.column(0)
-                for i, j in texts.pieces(PIECE_BYTES):
-                    raw = [texts.row(r).tobytes() for r in range(i, j)]
-                    raw = [x.lower() if x.isascii() else x.decode().lower().encode() for x in raw]
-                    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-                    begin, end = _spans(data)
-                    words = word_hashes(data, begin, end)
-                    first = np.searchsorted(begin, np.cumsum([0, *(len(x) + 1 for x in raw)]))
-                    row = np.repeat(np.arange(j - i), np.diff(first))
-                    met = index.candidates(words, row)
-                    best: dict[tuple[int, int], tuple[int, int]] = {}
-                    done: set[tuple[int, int, int]] = set()
-                    for start, item, offset in met.tolist():
-                        r, pattern, most = int(row[start]), index.words[item], index.most[item]
-                        place = (start - offset) // (most + 1)  # candidates of one place are looked at once
-                        if (r, item, place) in done or best.get((r, item), (1, 0))[0] == 0:
-                            continue
-                        done.add((r, item, place))
-                        since = max(int(first[r]), place * (most + 1) - most)
-                        until = min(int(first[r + 1]), (place + 1) * (most + 1) + len(pattern) + most)
-                        distance, after = edit_places(pattern, words[since:until])
-                        if distance <= most and distance < best.get((r, item), (most + 1, 0))[0]:
-                            best[r, item] = distance, since + after - int(first[r])
-                    if best:
-                        keys = sorted(best)
-                        yield pa.record_batch({"doc_id": ids.take(pa.array([i + r for r, _ in keys])), "item_id": pa.array([index.ids[k] for _, k in keys], pa.int64()), "edit_distance": pa.array([best[k][0] for k in keys], pa.int64()), "item_words": pa.array([len(index.words[k]) for _, k in keys], pa.int64()), "end_word": pa.array([best[k][1] for k in keys], pa.int64())})
+                for best in _places(index, b.column(1)):
+                    keys = sorted(best)
+                    yield pa.record_batch({"doc_id": b.column(0).take(pa.array([r for r, _ in keys])), "item_id": pa.array([index.ids[k] for _, k in keys], pa.int64()), "edit_distance": pa.array([best[k][0] for k in keys], pa.int64()), "item_words": pa.array([len(index.words[k]) for _, k in keys], pa.int64()), "end_word": pa.array([best[k][1] for k in keys], pa.int64())})
 
         return run
 
@@ -295,10 +302,30 @@ def contaminated(docs: DataFrame, items: DataFrame, max_edit: float = MAX_EDIT,
     return spark.createDataFrame([], schema) if found is None else found
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """The documents in which no item lies, with all their columns; rows without id are judged by their text."""
-    n = len(docs.columns)
-    inner = docs.toDF(*[f"_{i}" for i in range(n)])
-    key, text = F.xxhash64(F.coalesce(F.col(f"_{docs.columns.index('text')}"), F.lit(""))), F.col(f"_{docs.columns.index('text')}")
-    hits = written(contaminated(inner.select(key.alias("doc_id"), text.alias("text")), items, **how).select(F.col("doc_id").alias("hit")).distinct(), "hits")
-    return inner.withColumn("hit", key).join(hits, "hit", "left_anti").drop("hit").toDF(*docs.columns)
+def decontaminated(docs: DataFrame, items: DataFrame, max_edit: float = MAX_EDIT, target_recall: float = TARGET_RECALL, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents in which no item lies, with all their columns.
+
+    Each block of items filters the rows as they pass, so no row is found again by a key; after CHAINED blocks what is left is written.
+    Rows without id, repeated rows, null, empty and very long texts and extra columns of any name are judged by their text alone.
+    """
+    names, spark = docs.columns, docs.sparkSession
+    at = names.index("text")
+    rows = docs.toDF(*[f"_{i}" for i in range(len(names))])
+
+    def keep(shared):
+        def run(batches):
+            for b in batches:
+                text = b.column(at)
+                text = text.fill_null("") if text.null_count else text
+                hit = np.zeros(b.num_rows, bool)
+                for best in _places(shared.value, text):
+                    hit[[r for r, _ in best]] = True
+                yield b.filter(pa.array(~hit)) if hit.any() else b
+
+        return run
+
+    for k, index in enumerate(_blocks(items, item_id, item_text, max_edit, target_recall)):
+        if k and k % CHAINED == 0:
+            rows = written(rows, "rows")
+        rows = rows.mapInArrow(keep(spark.sparkContext.broadcast(index)), rows.schema)
+    return rows.toDF(*names)
