@@ -84,7 +84,7 @@ def test_gram_pairs_against_all_pairs(spark):
 
 
 def test_cosine_blocks_and_ties(spark, monkeypatch):
-    monkeypatch.setattr(near, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(near, "BLOCK_BYTES", 40)
     p = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [2.0, 0.0]), (4, [0.0, 0.0])], "id long, vector array<double>")
     c = spark.createDataFrame([(10, [3.0, 0.1]), (11, [0.0, 0.0])], "id long, vector array<double>")
     got = {r.id: (r.match_id, r.cosine) for r in near.cosine_top1(c, p).collect()}
@@ -216,14 +216,16 @@ def test_variants(spark):
 @pytest.mark.parametrize(
     "kind,output,value",
     [
-        ("mc", "**Odpowiedź:** b) coś", "B"), ("mc", "Myślę, że to C.\nPoprawna odpowiedź to A. Odpowiedź: C", "C"), ("mc", "druga", "B"), ("mc", "długi tekst " * 20, None),
-        ("multi", "AC", "A,C"), ("multi", "A oraz D", "A,D"), ("tf", "prawda, fałsz, prawda", "P,F,P"), ("tf", "FPP", "F,P,P"), ("match", "1-A 2: C", "1-A,2-C"), ("match", "1-A", None),
-        ("numeric", "wynik to 1 200,5 zł", "1200.5"), ("numeric", "brak", None), ("short", "Kraków\nbo tak", "Kraków"), ("short", "", None),
+        ("mc", "**Odpowiedź:** c) bo tak", "C"), ("mc", "Waham się.\nPrawidłowa odpowiedź to D. Odpowiedź: A", "A"), ("mc", "czwarta", "D"), ("mc", "wiele słów " * 20, None),
+        ("mc", "Odpowiedź:\n(B)", "B"), ("mc", "x\n" * 50 + "D) bo\n", "D"), ("mc", "Odpowiedź: nie wiem. " * 9, None),
+        ("multi", "DB", "B,D"), ("multi", "B oraz C", "B,C"), ("multi", "żadna", None), ("tf", "fałsz, fałsz, prawda", "F,F,P"), ("tf", "PPF", "P,P,F"), ("tf", "P", None),
+        ("match", "2-D 1: A", "1-A,2-D"), ("match", "2-D", None), ("match", "1 → B, 2 → B", "1-B,2-B"),
+        ("numeric", "razem 3 400,25 kg", "3400.25"), ("numeric", "nic", None), ("numeric", "było 7, " + "a" * 90 + " jest −8", "-8.0"), ("short", "Gniezno\nzapewne", "Gniezno"), ("short", "", None),
     ],
 )
 def test_parse_lenient(kind, output, value):
     options = {"A": "pierwsza", "B": "druga", "C": "trzecia", "D": "czwarta"}
-    assert grading.Lenient(kind, list("ABCD"), {"tf": 3, "match": 2}.get(kind, 0), options).read(output) == value
+    assert grading.Free(list("ABCD"), {"tf": 3, "match": 2}.get(kind, 0), options).read(kind, output) == value
 
 
 def test_points(spark):
@@ -261,12 +263,17 @@ def test_text(spark):
     assert one(spark, text.utf16_length(F.lit("a😀"))) == 3 and one(spark, text.char_grams(F.lit("abc"))) == []
     assert one(spark, text.cut_at_line(F.lit("abcdefgh\nij"), 10)) == "abcdefgh" and one(spark, text.cut_at_line(F.lit("a\nbcdefghijk"), 10)) == "a\nbcdefghi"
     assert one(spark, validate.loops(F.lit("abcd " * 7))) is True and one(spark, validate.loops(F.lit("xyz\n" * 4))) is True and one(spark, validate.loops(F.lit("one two"))) is False
+    phrase = "a phrase of seventy characters that goes on and on without a real end "
+    assert one(spark, validate.loops(F.lit(phrase * 6))) is True and one(spark, validate.loops(F.lit("word\n  word word word\tword   word"))) is True
+    assert one(spark, validate.loops(F.lit("ab cd " * 50_000))) is True and one(spark, validate.loops(F.lit(phrase * 5))) is False
 
 
 def test_cleaning(spark):
     assert cleaning.without_sections("a\n== Drop ==\nb\n=== Sub ===\nc\n== Keep ==\nd", frozenset({"drop"})) == "a\n\n## Keep\n\nd"
     assert one(spark, cleaning.clean_article(F.col("t"), ["Drop"], False), t="x\n== Drop ==\ny") == "x"
-    assert cleaning.collapsed("spam spam spam spam spam end") == "spam end"
+    assert cleaning.collapsed("eggs eggs eggs eggs eggs eggs end") == "eggs end"
+    assert cleaning.collapsed("one line\none line\nother\none line\n\n\nx") == "one line\nother\none line\n\n\nx"
+    assert one(spark, cleaning.clean_description(F.lit("<think>a</think># T\n```md\n**b** \n```\n\n\n\nc<think>d"))) == "T\n\nb\n\nc"
     assert one(spark, cleaning.join_enumerators(F.lit("a)\nfirst\n2.\nsecond"))) == "a) first\n2. second"
     assert one(spark, cleaning.drop_lines(F.lit("a\n.....\nb"), r"[.]+")) == "a\nb"
     assert one(spark, cleaning.window_around(F.lit("aaa bbb ccc MARK ddd eee fff"), F.lit("MARK"), 6)) == "ccc MARK ddd"

@@ -44,29 +44,56 @@ def containing(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """(id, item_id) where a text (id, text) holds a needle (item_id, needle) verbatim, each pair once.
 
     Needles of five words or more are met by an equi-join: their second to fourth word, with what stands between them, against all
-    runs of three words of the text; the first word may be a part of a longer one. Needles without such an anchor are
-    searched for one block after another, each block at most BROADCAST_BYTES.
+    runs of three words of the text; the first word may be a part of a longer one. Only ids and runs are joined, and the texts of the few
+    that meet are fetched afterwards. Needles without such an anchor are looked for all at once, by an automaton over them that reads each text
+    once; they are broadcast in blocks of at most BROADCAST_BYTES.
     """
     run = r"[^ \n]+[ \n][^ \n]+[ \n][^ \n]+"
     keyed = needles.withColumn("_run", F.nullif(F.regexp_extract("needle", rf"^[^ \n]*[ \n]({run})[ \n]", 1), F.lit("")))
     anchored = keyed.where(F.col("_run").isNotNull()).select("item_id", "needle", "_run")
     runs = F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(?<![^ \n])(?=({run}))[^ \n]+"), F.lit(1)))
-    # the text stays beside its runs only until the join, which keeps few of them
-    met = texts.select("id", "text", F.explode(runs).alias("_run")).join(anchored, "_run")
-    found = met.where(F.contains("text", "needle")).select("id", "item_id")
-    block, weight, blocks = [], 0, []
+    met = texts.select("id", F.explode(runs).alias("_run")).join(anchored.select("item_id", "_run"), "_run").select("id", "item_id").distinct()
+    found = met.join(texts.select("id", "text"), "id").join(anchored.select("item_id", "needle"), "item_id").where(F.contains("text", "needle")).select("id", "item_id")
+    block, weight = [], 0
     for r in keyed.where(F.col("_run").isNull() & (F.length("needle") > 0)).select("item_id", "needle").toLocalIterator():
-        block.append(r)
+        block.append((r.item_id, r.needle))
         weight += len(r.needle.encode())
         if weight >= BROADCAST_BYTES:
-            blocks.append(block)
-            block, weight = [], 0
-    for part in [*blocks, block] if block else blocks:
-        short = F.broadcast(texts.sparkSession.createDataFrame(part, needles.select("item_id", "needle").schema))
-        found = found.unionByName(texts.join(short, F.contains(F.col("text"), F.col("needle"))).select("id", "item_id"))
+            found, block, weight = found.unionByName(_with_any(texts, block, found.schema)), [], 0
+    if block:
+        found = found.unionByName(_with_any(texts, block, found.schema))
     return found.distinct()
 
 
+def _with_any(texts: DataFrame, needles: list[tuple], schema) -> DataFrame:
+    """(id, item_id) of the needles of one block that a text holds."""
+    shared = texts.sparkSession.sparkContext.broadcast(needles)
+
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        owners: dict[str, list] = {}
+        for item, needle in shared.value:
+            owners.setdefault(needle, []).append(item)
+        automaton = ahocorasick.Automaton()
+        for needle, items in owners.items():
+            automaton.add_word(needle, items)
+        automaton.make_automaton()
+        for b in batches:
+            hits = [(i, item) for i, text in enumerate(b.column(1).to_pylist()) if text for item in {x for _, items in automaton.iter(text) for x in items}]
+            ids = b.column(0).take(pa.array([i for i, _ in hits], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([item for _, item in hits], _arrow(schema["item_id"].dataType))], names=["id", "item_id"])
+
+    return texts.select("id", "text").mapInArrow(run, schema)
+
+
+def _arrow(kind):
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(kind)
+
+
 def leaks_by_key(candidates: DataFrame, protected: DataFrame, key: str) -> DataFrame:
     """Candidates whose key is among the protected ones."""
     return candidates.join(protected.select(key).distinct(), key, "left_semi")

@@ -26,8 +26,8 @@ def largest_remainder(weights: DataFrame, key: str, weight: str, n: int | Column
     return floors.withColumns({"_left": left, "_rank": rank}).select(key, (F.col("_floor") + (F.col("_rank") <= F.col("_left")).cast("long")).alias("quota"))
 
 
-def select_fraction(df: DataFrame, id_col: str, fraction: float, seed: str) -> DataFrame:
-    """Exactly round(fraction * n) ids, half to even: those with the lowest hashes.
+def _lowest(df: DataFrame, id_col: str, seed: str, wanted) -> DataFrame:
+    """Ids of the rows with the lowest hashes, as many as wanted(number of rows) says.
 
     The cut is found on hashes alone, by a ranked window over their first hexadecimal digits' counts, so no task sorts all rows.
     """
@@ -37,12 +37,17 @@ def select_fraction(df: DataFrame, id_col: str, fraction: float, seed: str) -> D
     before = counts.withColumns({"_before": F.coalesce(F.sum("_c").over(w), F.lit(0)), "_n": F.sum("_c").over(Window.partitionBy())})
     ranked = h.withColumn("_bin", F.substring("_h", 1, 3)).join(F.broadcast(before), "_bin")
     k = F.row_number().over(Window.partitionBy("_bin").orderBy("_h", id_col)) + F.col("_before")
-    return ranked.withColumn("_k", k).where(F.col("_k") <= F.bround(F.lit(fraction) * F.col("_n"))).select(id_col)
+    return ranked.withColumn("_k", k).where(F.col("_k") <= wanted(F.col("_n")))
+
+
+def select_fraction(df: DataFrame, id_col: str, fraction: float, seed: str) -> DataFrame:
+    """Exactly round(fraction * n) ids, half to even: those with the lowest hashes."""
+    return _lowest(df, id_col, seed, lambda n: F.bround(F.lit(fraction) * n)).select(id_col)
 
 
 def sample_n(df: DataFrame, id_col: str, n: int, seed: str) -> DataFrame:
-    """The n rows with the lowest hashes."""
-    return df.withColumn("_h", hash_order(seed, F.col(id_col))).orderBy("_h", id_col).limit(n).drop("_h")
+    """The n rows with the lowest hashes; ids are unique."""
+    return df.join(_lowest(df, id_col, seed, lambda _: F.lit(n)).select(id_col), id_col, "left_semi")
 
 
 def weighted_choice(df: DataFrame, id_col: str, weights: list[tuple[str, float]], seed: str) -> DataFrame:

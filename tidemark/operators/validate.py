@@ -78,8 +78,9 @@ def last_user_text(messages: Column) -> Column:
 
 
 def loops(text: Column) -> Column:
-    """Whether a phrase repeats six times in a row, or a line of three characters or more four times at all."""
-    lines = F.array_sort(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: F.length(x) >= 3))
+    """Whether a phrase of 4 to 80 characters repeats six times in a row, with or without white space between, or a line of three characters
+    or more stands four times at all."""
+    lines = F.array_sort(F.filter(F.transform(F.split(text, r"\R"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: F.length(x) >= 3))
     # equal lines are neighbours now: the longest run of them, in one pass
     start = F.struct(F.lit("").alias("line"), F.lit(0).alias("run"), F.lit(0).alias("most"))
 
@@ -88,7 +89,7 @@ def loops(text: Column) -> Column:
         return F.struct(x.alias("line"), run.alias("run"), F.greatest(s["most"], run).alias("most"))
 
     most = F.aggregate(lines, start, step, lambda s: s["most"])
-    return F.coalesce(text.rlike(r"(?s)(.{4,60}?)\1{5,}") | (most >= 4), F.lit(False))
+    return F.coalesce(text.rlike(r"(?s)(.{4,80}?)(?:\s*\1){5}") | (most >= 4), F.lit(False))
 
 
 def table_like(text: Column, least: float = 0.5) -> Column:

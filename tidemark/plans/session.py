@@ -31,16 +31,29 @@ def table(spark: SparkSession, sf_dir: str, name: str):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of this machine only where the session names none."""
+    """The folder that driver and executors share, from `spark.checkpoint.dir`; set only where unset, and then only on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def for_this_run(spark: SparkSession, path: str, make: bool = False) -> str:
+    """The path, of which whatever stands there goes when the application ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if make:
+        system.mkdirs(p)
+    system.deleteOnExit(p)
+    return path
+
+
 def written(df, name: str):
     """`df` written as Parquet in the shared folder and read back."""
     path = f"{shared_dir(df.sparkSession)}/tidemark-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    for_this_run(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -49,25 +49,19 @@ def clipped(t):
     return t.documents.select("doc_id", x.clip(F.col("text"), 60).alias("clip"), x.cut_at_word(F.col("text"), 80).alias("cut"))
 
 
-@query("SELECT doc_id, lang, CASE WHEN length(replace(text, ' ', '')) >= 4 THEN len(list_distinct(list_transform(range(1, length(replace(text, ' ', '')) - 2), lambda i: substr(replace(text, ' ', ''), i, 4)))) ELSE 0 END AS grams FROM documents WHERE n_chars < 2000")
-def gram_counts(t):
-    """Distinct character n-grams of the shorter documents (the length rule is the operator's)."""
-    return t.documents.where("n_chars < 2000").select("doc_id", "lang", F.size(x.char_grams(F.col("text"))).cast("long").alias("grams"))
-
-
 @query("SELECT doc_id, lang, CASE WHEN length(replace(text, ' ', '')) >= 4 THEN len(list_distinct(list_transform(range(1, length(replace(text, ' ', '')) - 2), lambda i: substr(replace(text, ' ', ''), i, 4)))) ELSE 0 END AS grams FROM documents")
-def gram_counts_all(t):
+def gram_counts(t):
     """Distinct character n-grams of every document."""
     return t.documents.select("doc_id", "lang", F.size(x.char_grams(F.col("text"))).cast("long").alias("grams"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity % 2 = 0 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) ELSE replace(CAST(l_quantity + 0.5 AS VARCHAR), '.', ',') END AS shown, printf('%+.2f', l_tax - l_discount) AS signed, round(100.0 * l_discount / nullif(l_tax, 0), 2) AS pct, l_quantity + 0.25 AS parsed FROM lineitem WHERE l_tax > 0")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity % 2 = 0 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) ELSE replace(CAST(l_quantity + 0.5 AS VARCHAR), '.', ',') END AS shown, printf('%+.2f', l_tax - l_discount) AS signed, coalesce(round(100.0 * l_discount / nullif(l_tax, 0), 2), 0.0) AS pct, l_quantity + 0.25 AS parsed FROM lineitem")
 def number_formats(t):
     """Numbers as text and back."""
     q = F.col("l_quantity")
     shown = m.format_number(F.when(q % 2 == 0, q).otherwise(q + 0.5))
     text = F.concat(F.lit(" "), F.replace((q + 0.25).cast("string"), F.lit("."), F.lit(",")))
-    return t.lineitem.where("l_tax > 0").select("l_orderkey", "l_linenumber", shown.alias("shown"), m.signed(F.col("l_tax") - F.col("l_discount")).alias("signed"), m.percent(F.col("l_discount"), F.col("l_tax")).alias("pct"), m.to_number(text).alias("parsed"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", shown.alias("shown"), m.signed(F.col("l_tax") - F.col("l_discount")).alias("signed"), m.percent(F.col("l_discount"), F.col("l_tax")).alias("pct"), m.to_number(text).alias("parsed"))
 
 
 @query()
