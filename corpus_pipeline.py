@@ -34,10 +34,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that stand earlier; texts that lose nothing stay as they were, letter for letter."""
     ship_package(spark)
-    cut = dedup_substrings(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    changed = {"text": text} | ({"n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("n_chars")).cast("long")} if "n_chars" in docs.columns else {})
-    return cut.withColumns(changed).select(*docs.columns)
+    names = docs.columns
+    cut = dedup_substrings(docs).toDF(*[f"_{i}" for i in range(len(names))], "kept", "words", "removed")
+    changed = F.col("removed") > 0
+
+    def column(i: int, name: str):
+        own = F.col(f"_{i}")
+        if name == "text":
+            own = F.when(changed, F.col("kept")).otherwise(own)
+        elif name == "n_chars":
+            own = F.when(changed, F.length("kept")).otherwise(own).cast("long")
+        return own.alias(name)
+
+    return cut.select(*[column(i, name) for i, name in enumerate(names)])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
