@@ -30,13 +30,12 @@ def test_encoder_matches_the_library():
 
 
 @pytest.mark.parametrize("size", [1, 7])
-def test_small_feeds_and_windows(monkeypatch, size):
+def test_small_feeds_and_windows(size):
     merges = bpe.load_merges(BYTE)[0]
-    monkeypatch.setattr(bpe, "FEED_CHARS", 64)
-    monkeypatch.setattr(bpe, "LONG_PRETOKEN", 5)
     t = Tokenizer.from_file(BYTE)
     for x in [y[:3000] for y in odd_texts(60)]:
         e, out = bpe.StreamingEncoder(merges), []
+        e.long = 5
         for i in range(0, len(x), size):
             out += e.feed(x[i : i + size])
         assert out + e.finish() == t.encode(x, add_special_tokens=False).ids
@@ -59,6 +58,22 @@ def test_lookahead_is_sufficient():
             assert whole[: len(stable)] == stable
 
 
+@pytest.mark.parametrize("kind", ["words", "no spaces", "one pre-token", "blanks"])
+def test_tokens_come_out_when_they_are_certain(kind):
+    """Of a text of 50,000 characters, fed a thousand at a time, all but a window has come out after each feed."""
+    r = random.Random(3)
+    merges, t = bpe.load_merges(BYTE)[0], Tokenizer.from_file(BYTE)
+    word = lambda: "".join(r.choice("etaoinshr") for _ in range(r.randint(1, 9)))
+    text = {"words": " ".join(word() for _ in range(12_000)), "no spaces": "".join(word() + r.choice(",.1漢") for _ in range(12_000)), "one pre-token": "".join(word() for _ in range(12_000)), "blanks": " " * 50_000}[kind][:50_000]
+    e, out, done = bpe.StreamingEncoder(merges), [], 0
+    for i in range(0, len(text), 1000):
+        new = e.feed(text[i : i + 1000])
+        out += new
+        done += sum(len(merges.token_bytes[k]) for k in new)
+        assert e.held <= 4 * merges.lookahead + 1000 and done >= len(text[: i + 1000].encode()) - 3 * (4 * merges.lookahead + 1000)
+    assert out + e.finish() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_bytes_transducer_holds_a_window():
     merges = bpe.load_merges(BYTE)[0]
     s, most, out = bpe.BytesTransducer(merges), 0, []

@@ -7,7 +7,7 @@ A store is a folder with one `dictionary` and shard files. A shard file is
 where a frame holds ids as little-endian unsigned 32-bit integers and an index entry is doc_id (int64), has_id (int64),
 offset, length and number of ids (uint64 each), 40 bytes, so one document costs three short range reads.
 
-Order: ascending doc_id, null first; rows that share a doc_id by their text. Nulls: a null text is empty and holds
+Order: ascending doc_id, null first; rows that share a doc_id by how their text begins, and within a shard by the text. Nulls: a null text is empty and holds
 the end id alone. Empty tables give an empty store. Repeated rows are stored again. Other columns are ignored.
 """
 
@@ -22,8 +22,6 @@ import uuid
 import zlib
 from collections.abc import Iterable
 from functools import lru_cache
-from itertools import compress, repeat
-from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +38,8 @@ ENTRY = np.dtype([("doc_id", "<i8"), ("has_id", "<i8"), ("offset", "<u8"), ("len
 DICTIONARY_DOCS, DICTIONARY_BYTES = 2000, 64 << 10
 #: Ids of one document that train the dictionary at most; documents count whole in everything else.
 DICTIONARY_IDS = 16_384
+#: Bytes of a shard that one task reads back, about, and such tasks at most.
+PART_BYTES, MOST_READERS = 8 << 20, 50_000
 #: Words whose ids a worker remembers, in each of two generations. It changes speed, never results.
 CACHED_WORDS = 650_000
 
@@ -49,6 +49,27 @@ PLAIN_BEFORE = "\u0250"
 _WORD = re.compile(f"[^{WHITE_SPACE}]+")
 
 
+class _Known(dict):
+    """Ids by piece, in two generations; pieces that neither has are noted in `new` and stand for nothing meanwhile."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            self.new.append(word)
+            return b""
+        self[word] = ids
+        return ids
+
+    def age(self) -> None:
+        self.older = dict(self)
+        self.clear()
+
+
 class WordIds:
     """Ids of texts by the tokenizers library, which sees each distinct piece of text once.
 
@@ -65,8 +86,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = _Known()
         tokens, suffix = self.tokenizer.get_vocab(with_added_tokens=True), json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
         self.ends = np.zeros(1 + max(tokens.values()), bool)
         self.ends[[i for t, i in tokens.items() if t.endswith(suffix)]] = True
@@ -80,25 +100,25 @@ class WordIds:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.known) > CACHED_WORDS:
-            self.known, self.older = {}, self.known
-        split = [self.split(t) for t in texts]
-        found = [list(map(self.known.get, words)) for words in split]
-        holes = [k for k, ids in enumerate(found) if None in ids]
-        new = set()
-        for k in holes:
-            new.update(compress(split[k], map(is_, found[k], repeat(None))))
-        again = new.intersection(self.older)
-        self.known.update((w, self.older[w]) for w in again)
-        new -= again
-        odd = [w for w in new if "<|" in w]
-        self.known.update((w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in odd)
-        new = list(new.difference(odd))
-        for at in range(0, len(new), 16_384):
-            self.known.update(self._encoded(new[at : at + 16_384]))
-        for k in holes:
-            found[k] = [self.known[w] if x is None else x for w, x in zip(split[k], found[k], strict=True)]
-        return list(map(b"".join, found))
+        known = self.known
+        if len(known) > CACHED_WORDS:
+            known.age()
+        get, new, out, holes = known.__getitem__, known.new, [], []
+        for text in texts:
+            words, before = self.split(text), len(new)
+            out.append(b"".join(map(get, words)))
+            if len(new) > before:
+                holes.append((len(out) - 1, words))
+        fresh = set(new)
+        new.clear()
+        odd = [w for w in fresh if "<|" in w]
+        known.update((w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in odd)
+        plain = list(fresh.difference(odd))
+        for at in range(0, len(plain), 16_384):
+            known.update(self._encoded(plain[at : at + 16_384]))
+        for k, words in holes:
+            out[k] = b"".join(map(get, words))
+        return out
 
     def _encoded(self, words: list[str]):
         """Each word's ids: all words as one text, cut where a token says that its piece ends there."""
@@ -154,9 +174,9 @@ def _dictionary(data: bytes):
 
 
 def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> DataFrame:
-    """Write the store at `path`; returns its shards: shard, first, has_first, n_docs, n_tokens.
+    """Write the store at `path`; returns its shards: shard, number (their order), first, has_first, n_docs, n_tokens, n_bytes.
 
-    Rows are dealt by ranges of doc_id, so each task writes one contiguous stretch. A file gets its final name only
+    Rows are dealt by ranges of doc_id and text, so each task writes one contiguous stretch, also of rows that share an id or have none. A file gets its final name only
     when it is whole, under a name of its own for every attempt; the returned table names those that count.
     """
     rows = id_and_text(docs)
@@ -191,10 +211,12 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> Data
             out.write(struct.pack("<QQ", len(index), at) + MAGIC)
             out.close()
             system.move(f"{folder}/_{name}", f"{folder}/{name}")
-            yield pa.record_batch({"shard": [name], "first": pa.array([entries[0][0]], pa.int64()), "has_first": [bool(entries[0][1])], "n_docs": pa.array([len(entries)], pa.int64()), "n_tokens": pa.array([n_tokens], pa.int64())})
+            yield pa.record_batch({"shard": [name], "number": pa.array([TaskContext.get().partitionId()], pa.int64()), "first": pa.array([entries[0][0]], pa.int64()), "has_first": [bool(entries[0][1])], "n_docs": pa.array([len(entries)], pa.int64()), "n_tokens": pa.array([n_tokens], pa.int64()), "n_bytes": pa.array([at], pa.int64())})
 
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(dealt.mapInArrow(run, "shard string, first long, has_first boolean, n_docs long, n_tokens long"), "shards")
+    # rows that share an id are dealt by how their text begins, and equal ones by where they were
+    keyed = rows.withColumns({"begin": F.substring("text", 1, 64), "origin": F.spark_partition_id()})
+    dealt = keyed.repartitionByRange("doc_id", "begin", "origin").sortWithinPartitions("doc_id", "text").select("doc_id", "text")
+    return written(dealt.mapInArrow(run, "shard string, number long, first long, has_first boolean, n_docs long, n_tokens long, n_bytes long"), "shards")
 
 
 class Shard:
@@ -219,40 +241,51 @@ class Shard:
         entry = self.index[k]
         return self.decompressor.decompress(self.file.read_at(int(entry["length"]), int(entry["offset"])))
 
-    def __iter__(self):
-        """doc_id, ids of every document in order, read some MB at a time."""
-        k, n = 0, len(self.index)
+    def between(self, since: int, until: int):
+        """doc_id, ids of the documents since to until (exclusive) in order, read some MB at a time."""
+        k, n = since, min(until, len(self.index))
         ends = self.index["offset"] + self.index["length"]
         while k < n:
             begin = int(self.index["offset"][k])
-            stop = max(k + 1, int(np.searchsorted(ends, begin + (4 << 20), "right")))
+            stop = min(n, max(k + 1, int(np.searchsorted(ends, begin + (4 << 20), "right"))))
             data = self.file.read_at(int(ends[stop - 1]) - begin, begin)
             for e in self.index[k:stop]:
                 at = int(e["offset"]) - begin
                 yield (int(e["doc_id"]) if e["has_id"] else None), self.decompressor.decompress(data[at : at + int(e["length"])])
             k = stop
 
+    def __iter__(self):
+        return self.between(0, len(self.index))
+
 
 def read_store(shards: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, on wish, ids, from the files.
 
-    One row for each shard goes through a single task to sum up where shards begin.
+    One row for each shard goes through a single task to sum up where shards begin. Shards are read in parts of about PART_BYTES, each
+    a task's, so that tasks are as many as the files' bytes ask for.
     """
-    before = F.sum("n_tokens").over(Window.orderBy("has_first", "first", "shard").rowsBetween(Window.unboundedPreceding, -1))
-    begun = written(shards.select("shard", F.coalesce(before, F.lit(0)).alias("start")).repartition("shard"), "starts")
+    before = F.sum("n_tokens").over(Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1))
+    begun = shards.select("shard", "n_docs", F.coalesce(before, F.lit(0)).alias("start"), F.ceil(F.col("n_bytes") / PART_BYTES).cast("long").alias("parts"))
+    begun = written(begun.select("shard", "n_docs", "start", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), "starts")
+    begun = begun.repartitionByRange(max(1, min(begun.count(), MOST_READERS)), "shard", "part")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
 
     def run(batches):
         for b in batches:
-            for shard, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = []
+            for shard, _, start, parts, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rows, file = [], Shard(path, shard)
+                # documents by where they begin
+                size = int(file.index["length"].sum()) / parts
+                since, until = np.searchsorted(file.index["offset"] - 40, [part * size, (part + 1) * size]).tolist()
+                until = until if part < parts - 1 else len(file.index)
+                start += int(file.index["n"][:since].sum())
 
                 def batch(rows):
                     cols = list(zip(*rows, strict=True))
                     made = {"doc_id": pa.array(cols[0], pa.int64()), "start": pa.array(cols[1], pa.int64()), "n_tokens": pa.array(cols[2], pa.int64()), "ids_crc32": pa.array(cols[3], pa.int64())}
                     return pa.record_batch(made | ({"ids": pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in cols[4]], pa.list_(pa.int64()))} if with_ids else {}))
 
-                for doc_id, x in Shard(path, shard):
+                for doc_id, x in file.between(since, until):
                     rows.append((doc_id, start, len(x) // 4, zlib.crc32(x), x if with_ids else None))
                     start += len(x) // 4
                     if len(rows) >= 2000:
