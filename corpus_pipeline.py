@@ -2,6 +2,9 @@
 
 Every stage is a function (spark, docs, sf_dir) -> DataFrame; all but the last return the columns of `documents`. Between stages the
 table is written as Parquet and read again, so that no stage repeats another's work and lost executors cost one stage at most.
+
+In all stages: a null doc_id stays null and is an id like any other, a null text counts as empty, other columns of any name and type
+are kept as they are, texts of any length are read whole, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,19 +23,31 @@ from tidemark.plans.session import ship_package
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; `lang` becomes what was identified."""
+    """Documents in a known language; `lang` becomes what was identified.
+
+    Null and empty texts and texts without letters go, for they are in no language. Of languages that are equally likely the first by name
+    counts. Rows that are equal are judged alike and all stay.
+    """
     ship_package(spark)
     return accepted_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: the one of the least id, null last, and of equal ids that of the least hash of its text.
+
+    Documents without words (null, empty, white space) are linked with nothing and stay, each row of them. Of rows that are equal in id and
+    text one stays.
+    """
     ship_package(spark)
     return one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that stand earlier; texts that lose nothing stay as they were, letter for letter."""
+    """Texts without passages that stand earlier; texts that lose nothing stay as they were, letter for letter.
+
+    Null and empty texts and texts shorter than a window lose nothing; a text may lose all its words and is empty then, but its row stays.
+    Rows that are equal in id and text are one document and are cut alike. `n_chars` follows where there is such a column.
+    """
     ship_package(spark)
     names = docs.columns
     cut = dedup_substrings(docs).toDF(*[f"_{i}" for i in range(len(names))], "kept", "words", "removed")
@@ -50,13 +65,20 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item lies."""
+    """Documents in which no benchmark item lies, near copies of items included.
+
+    Rows are judged by their text alone, so equal texts go or stay together. Null and empty texts hold nothing and stay; items that are null
+    or have no word lie nowhere; with an empty benchmark all documents stay.
+    """
     ship_package(spark)
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with digests of the ids and of the text they decode to."""
+    """Token ids of every text, with digests of the ids and of the text they decode to: doc_id, n_tokens, ids_sha256, decoded_sha256, ids.
+
+    A null or empty text has no ids. Rows that are equal give equal rows, one for each.
+    """
     ship_package(spark)
     return bpe_round_trip(docs, llm.tokenizer_path("byte_bpe_50k.json"), with_ids=True)
 
