@@ -15,17 +15,6 @@ def test_clean_dataset(spark):
     assert sum(counts.values()) == 7
 
 
-def test_vector_hits(spark):
-    near = [math.cos(0.3), math.sin(0.3)]  # cosine 0.955
-    far = [math.cos(0.7), math.sin(0.7)]  # 0.765
-    c = spark.createDataFrame([(1, near, near), (2, far, near), (3, far, far)], "id long, q array<double>, qa array<double>")
-    e = [1.0, 0.0]
-    p = spark.createDataFrame([(10, "b", 1, e, None), (11, "a", 0, [0.0, -1.0], e)], "id long, set_name string, set_rank int, q array<double>, qa array<double>")
-    got = {r.id: (r.set_name, r.methods, r.match_id) for r in build.vector_hits(c, p).collect()}
-    assert got == {1: ("a", ["qa"], 11), 2: ("a", ["qa"], 11)}
-    assert build.vector_hits(c, p.where("set_rank = 1")).collect()[0].methods == ["q"]
-
-
 def test_processed(spark):
     items = spark.range(400).select("id", (F.col("id") % 3).cast("string").alias("subject"), (F.col("id") % 40).cast("string").alias("grp"))
     out = build.processed(items, spark.range(1000), fraction=0.1, ratio=0.25, seed="42", variants=[("a", 0.7), ("b", 0.3)])

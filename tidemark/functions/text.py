@@ -44,6 +44,12 @@ def ascii_key(s: pd.Series) -> pd.Series:
 _ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
+@F.pandas_udf(T.StringType())
+def normal_text(s: pd.Series) -> pd.Series:
+    """NFC, white space run together, trimmed; null is empty."""
+    return s.map(lambda x: " ".join(unicodedata.normalize("NFC", x or "").split()))
+
+
 def native_key(text: Column) -> Column:
     """Lower case, white space run together, trimmed: equal to `canonical_key` for ASCII text."""
     return F.lower(F.trim(F.regexp_replace(text, SPACES, " ")))

@@ -9,8 +9,6 @@ from tidemark.functions.text import native_key
 from tidemark.operators import joins, near, split, windows
 from tidemark.plans.session import written
 
-#: Fixed values of the duplicate rules: cosine of question and answer, of the question alone, and within the dataset.
-QA, QUESTION, WITHIN = 0.80, 0.90, 0.95
 
 
 def protected_hits(candidates: DataFrame, protected: DataFrame, key: str = "key") -> DataFrame:
@@ -19,26 +17,6 @@ def protected_hits(candidates: DataFrame, protected: DataFrame, key: str = "key"
     return candidates.join(first, key).select("id", F.col("_s.set_name").alias("set_name"))
 
 
-def vector_hits(candidates: DataFrame, protected: DataFrame) -> DataFrame:
-    """id, set_name, methods, match_id of candidates that a protected set is too near to, attributed to the first set that fires.
-
-    candidates: id, q (question vector), qa (question and answer); protected: id, set_name, set_rank, q, qa (null without an answer).
-    A set fires by `qa` where the protected row has an answer, or by `q`; methods lists all that fired in that set.
-    """
-    out = None
-    for r in protected.select("set_rank", "set_name").distinct().orderBy("set_rank").collect():  # a handful of sets
-        own = protected.where(F.col("set_rank") == r.set_rank)
-        q = near.cosine_top1(candidates.select("id", F.col("q").alias("vector")), own.select("id", F.col("q").alias("vector"))).select("id", F.col("match_id").alias("by_q"), F.col("cosine").alias("q"))
-        qa = near.cosine_top1(candidates.select("id", F.col("qa").alias("vector")), own.where(F.col("qa").isNotNull()).select("id", F.col("qa").alias("vector"))).select("id", F.col("match_id").alias("by_qa"), F.col("cosine").alias("qa"))
-        methods = F.array_compact(F.array(F.when(F.col("qa") >= QA, "qa"), F.when(F.col("q") >= QUESTION, "q")))
-        hit = q.join(qa, "id").select("id", F.lit(r.set_rank).alias("set_rank"), F.lit(r.set_name).alias("set_name"), methods.alias("methods"), F.when(F.col("qa") >= QA, F.col("by_qa")).otherwise(F.col("by_q")).alias("match_id"))
-        hit = hit.where(F.size("methods") > 0)
-        out = hit if out is None else out.unionByName(hit)
-    if out is None:
-        return candidates.select("id", F.lit("").alias("set_name"), F.array().cast("array<string>").alias("methods"), F.col("id").alias("match_id")).limit(0)
-    return joins.first_per(out, ["id"], ["set_rank"]).drop("set_rank")
-
-
 def clean_dataset(items: DataFrame, answers: DataFrame, protected: DataFrame, blocked: DataFrame) -> DataFrame:
     """Items (id, pos, text, ...) with `reason`: keep, or the first stage that drops an item.
 
@@ -144,6 +122,6 @@ def history_dataset(rows: DataFrame, marked_class: str = "[ąćęłńóśźżĄ
     marked = full.withColumn("split", split_).join(broken, "paper", "left").join(copies, "paper", "left")
     early = F.when(F.col("_broken"), "broken_encoding").when(F.col("_copy"), "copied_paper").when(F.coalesce(F.trim("question"), F.lit("")) == "", "empty_question")
     staged = marked.withColumn("reason", early).drop("_broken", "_copy")
-    seen = windows.first_seen(staged.where("reason is null"), "print", [F.when(F.col("split") == "dev", 0).otherwise(1), F.desc("year"), "id"], "split").select("id", "verdict")
+    seen = windows.first_seen(staged.where("reason is null"), "print", [F.when(F.col("split") == "dev", 0).otherwise(1), F.coalesce(-F.col("year"), F.lit(1 << 30)), "id"], "split").select("id", "verdict")
     late = F.when(F.col("verdict") != "keep", F.col("verdict")).when(F.coalesce(F.trim("answer_key"), F.lit("")) == "", "no_key").when(F.size(missing_source(F.col("question"), F.col("source"))) > 0, "missing_source").otherwise("keep")
     return staged.join(seen, "id", "left").withColumn("reason", F.coalesce("reason", late)).drop("verdict", "print")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,34 +32,60 @@ class Index:
     def __init__(self, passages: DataFrame, stop: list[str] = (), suffixes: list[str] = ()) -> None:
         """passages: pid, title, section, text; the title's words count TITLE_WEIGHT times."""
         self.stop, self.suffixes = list(stop), list(suffixes)
+        self._count(*self._tables(passages))
+
+    def _tables(self, passages: DataFrame) -> tuple[DataFrame, DataFrame]:
+        stop, suffixes = self.stop, self.suffixes
         words = F.concat(*[tokens(F.col("title"), stop, suffixes)] * TITLE_WEIGHT, tokens(F.col("section"), stop, suffixes), tokens(F.col("text"), stop, suffixes))
         split = passages.select("pid", "title", words.alias("words"))
-        self.passages = split.select("pid", "title", F.size("words").alias("dl"))
-        self.postings = split.select("pid", F.explode("words").alias("term")).groupBy("term", "pid").agg(F.least(F.count("*"), F.lit(65_535)).alias("tf"))
+        postings = split.select("pid", F.explode("words").alias("term")).groupBy("term", "pid").agg(F.least(F.count("*"), F.lit(65_535)).alias("tf"))
+        return split.select("pid", "title", F.size("words").alias("dl")), postings
+
+    def _count(self, passages: DataFrame, postings: DataFrame) -> None:
+        self.passages, self.postings = passages, postings
         totals = self.passages.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
         df = self.postings.groupBy("term").agg(F.count("*").alias("df"))
         self.terms = df.crossJoin(F.broadcast(totals)).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # totals: one row
         norm = F.lit(K1) * (1 - B + B * F.col("dl") / F.col("avgdl"))
         self.norms = self.passages.crossJoin(F.broadcast(totals)).select("pid", "title", norm.alias("norm"))
 
+    def save(self, path: str) -> Index:
+        """Write the index, postings by term, and return it as it is read from there; queries then count nothing anew."""
+        spark = self.passages.sparkSession
+        self.postings.repartitionByRange("term").sortWithinPartitions("term", "pid").write.parquet(f"{path}/postings")
+        self.passages.write.parquet(f"{path}/passages")
+        spark.createDataFrame([(FORMAT, STEM, self.stop, self.suffixes)], "format int, stem int, stop array<string>, suffixes array<string>").write.parquet(f"{path}/meta")
+        return load_index(spark, path)
+
+    def retrieve(self, queries: DataFrame, texts: DataFrame, k: int = 5, max_per_title: int = 2, min_score: float = 0.0, title_boost: float = 0.0) -> DataFrame:
+        """What `search` finds, with `kept`: hits below min_score are not used, but stay as rows for the log."""
+        return self.search(queries, texts, k, max_per_title, title_boost).withColumn("kept", F.col("score") >= F.lit(min_score))
+
     def query_terms(self, queries: DataFrame) -> DataFrame:
         """qid, term, weight = 1 + ln(count); queries: qid, query."""
         t = queries.select("qid", F.explode(tokens(F.col("query"), self.stop, self.suffixes)).alias("term"))
         return t.groupBy("qid", "term").agg((1 + F.log(F.count("*"))).alias("weight"))
 
-    def scores(self, queries: DataFrame, min_idf: float = MIN_IDF) -> DataFrame:
-        """qid, pid, title, score of all passages that share a term with the query whose idf is high enough."""
+    def scores(self, queries: DataFrame, min_idf: float = MIN_IDF, title_boost: float = 0.0) -> DataFrame:
+        """qid, pid, title, score of all passages that share a term with the query whose idf is high enough.
+
+        With a title boost a score counts 1 + boost * coverage times, by how much of its title's weight the query holds.
+        """
         q = self.query_terms(queries).join(self.terms, "term").where(F.col("idf") >= min_idf)
         hit = q.join(self.postings, "term").join(self.norms, "pid")
         part = F.col("idf") * F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + F.col("norm"))
-        return hit.groupBy("qid", "pid", "title").agg(F.sum(part).alias("score"))
+        out = hit.groupBy("qid", "pid", "title").agg(F.sum(part).alias("score"))
+        if not title_boost:
+            return out
+        covered = self.title_coverage(queries, self.passages.select("title").distinct())
+        return out.join(covered, ["qid", "title"], "left").select("qid", "pid", "title", (F.col("score") * (1 + F.lit(title_boost) * F.coalesce("coverage", F.lit(0.0)))).alias("score"))
 
-    def search(self, queries: DataFrame, texts: DataFrame, k: int = 5, max_per_title: int = 2) -> DataFrame:
+    def search(self, queries: DataFrame, texts: DataFrame, k: int = 5, max_per_title: int = 2, title_boost: float = 0.0) -> DataFrame:
         """qid, rank, pid, title, score: the best k within a pool of max(10 k, 50), no text twice, max_per_title of a title.
 
         texts: pid, text, fetched for the pool only.
         """
-        s = self.scores(queries).withColumn("score", F.round("score", 6))
+        s = self.scores(queries, title_boost=title_boost).withColumn("score", F.round("score", 6))
         order = [F.desc("score"), "pid"]
         rank = lambda *by: F.row_number().over(Window.partitionBy("qid", *by).orderBy(*order))
         pool = s.withColumn("_p", rank()).where(F.col("_p") <= max(10 * k, 50)).drop("_p").join(texts.select("pid", F.xxhash64("text").alias("_t")), "pid")
@@ -78,6 +104,21 @@ class Index:
         return hit.join(mass, "title").select("qid", "title", (F.col("_hit") / F.col("_all") * F.least(F.lit(1.0), F.col("_hit") / TITLE_FULL)).alias("coverage"))
 
 
+#: The format of a saved index.
+FORMAT = 1
+
+
+def load_index(spark: SparkSession, path: str) -> Index:
+    """An index that `Index.save` has written."""
+    meta = spark.read.parquet(f"{path}/meta").first()
+    if (meta["format"], meta["stem"]) != (FORMAT, STEM):
+        raise ValueError(f"the index at {path} has another format; build it again")
+    index = Index.__new__(Index)
+    index.stop, index.suffixes = list(meta["stop"]), list(meta["suffixes"])
+    index._count(spark.read.parquet(f"{path}/passages"), spark.read.parquet(f"{path}/postings"))
+    return index
+
+
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 
 

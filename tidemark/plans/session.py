@@ -51,6 +51,11 @@ def for_this_run(spark: SparkSession, path: str, make: bool = False) -> str:
     return path
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one, for this run."""
+    return for_this_run(spark, f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex[:12]}", make=True)
+
+
 def written(df, name: str):
     """`df` written as Parquet in the shared folder and read back."""
     path = f"{shared_dir(df.sparkSession)}/tidemark-{name}-{uuid.uuid4().hex[:12]}"

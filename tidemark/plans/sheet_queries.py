@@ -124,3 +124,35 @@ def paper_codes(t):
     year = F.when(F.col("p_size") >= 40, 2024).when(F.col("p_size") >= 20, 2019).otherwise(2010)
     pid = exam.paper_id(name)
     return t.part.select("p_partkey", pid.alias("paper"), exam.paper_formula(pid, year).alias("formula"))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_partkey % 4 = 2 THEN 'Dokończ zdanie.' WHEN p_partkey % 4 = 3 THEN p_name || ' czy ' || p_type || ' s1 s2' ELSE p_name || ' czy ' || p_type END AS stem FROM part"""
+)
+def stems_made(t):
+    """What is compared of questions: without instructions, without options in their line, with statements."""
+    from tidemark.operators import dedup
+
+    k, bare = F.col("p_partkey") % 4, F.concat(F.col("p_name"), F.lit("  czy\n"), F.col("p_type"))
+    question = F.when(k == 0, F.concat(F.lit("Wybierz poprawną odpowiedź. "), bare)).when(k == 1, F.concat(bare, F.lit(": A. raz B. dwa"))).when(k == 2, "Dokończ zdanie.").otherwise(F.concat(bare, F.lit(" Oceń prawdziwość podanych zdań i zaznacz. Zaznacz P albo F.")))
+    kind = F.when(k == 3, "tf").when(k == 1, F.lit(None)).otherwise("mc")
+    return t.part.select("p_partkey", dedup.stem_text(kind, F.when(k != 1, "x"), question, F.when(k == 3, F.array(F.lit("s1"), F.lit("s2"))), F.lit(None).cast("array<string>")).alias("stem"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN p_size % 4 = 1 WHEN 1 THEN false WHEN 2 THEN p_size % 3 = 0 WHEN 3 THEN p_size % 2 = 0 WHEN 4 THEN true WHEN 5 THEN false WHEN 6 THEN p_size % 5 = 1 ELSE true END AS agrees FROM part")
+def solver_agreement(t):
+    """Whether payloads agree with keys: in the right form, in a loose one, with a second candidate, or wrong."""
+    from tidemark.operators import agreement, grading
+
+    k, size, arr = F.col("p_partkey") % 8, F.col("p_size"), F.array().cast("array<string>")
+    kind = F.when(k <= 1, "mc").when(k == 2, "tf").when(k == 3, "numeric").when(k <= 5, "short").when(k == 6, "multi").otherwise("match")
+    letter = F.char(65 + size % 4)
+    payload = (
+        F.when(k == 0, letter).when(k == 1, "B albo C").when(k == 2, F.concat(F.lit("**PF"), F.when(size % 3 == 0, "P").otherwise("F"), F.lit("**")))
+        .when(k == 3, F.concat(F.lit("Odpowiedź: około "), (3 + size % 2).cast("string"))).when(k == 4, "książę Mieszko I").when(k == 5, "Mieszko I albo Bolesław")
+        .when(k == 6, F.concat(F.lit("A"), F.char(66 + size % 5))).otherwise("1: B; 2 - A")
+    )
+    key = F.when(k <= 1, "B").when(k == 2, "P,F,P").when(k == 3, "3.0").when(k <= 5, "Mieszko I").when(k == 6, "A,C").otherwise("1-B,2-A")
+    item = grading.item_struct(type=kind, letters=F.array(*[F.lit(x) for x in "ABCDEFG"]), n=F.when(k == 2, 3).when(k == 7, 2).otherwise(0))
+    options = F.create_map(*[F.lit(x) for v in "ABCD" for x in (v, f"option {v.lower()}")])
+    return t.part.select("p_partkey", agreement.solver_agrees(item, payload, key, options, F.when(kind == "short", F.array(F.lit("Mieszko I"))).otherwise(arr)).alias("agrees"))
