@@ -110,7 +110,7 @@ def history_dataset(rows: DataFrame, marked_class: str = "[ąćęłńóśźżĄ
     papers = base.groupBy("paper").agg(F.min("year").alias("year"), F.sum(count_class(text, r"\p{L}")).alias("letters"), F.sum(count_class(text, marked_class)).alias("marked"), F.count_if(F.coalesce(F.trim("answer_key"), F.lit("")) != "").alias("keyed"))
     broken = papers.where((F.col("letters") >= LEAST_LETTERS) & (F.col("marked") / F.col("letters") < LEAST_MARKED)).select("paper", F.lit(True).alias("_broken"))
     tasks = base.where(F.coalesce(F.trim("question"), F.lit("")) != "").select(F.col("paper").alias("grp"), "year", "print").distinct()
-    clusters = near.components(near.overlap_pairs(tasks, COPIED).select("a", "b")).withColumnsRenamed({"node": "paper", "root": "cluster"})
+    clusters = near.components(near.copy_links(tasks, COPIED)).withColumnsRenamed({"node": "paper", "root": "cluster"})
     coded = F.col("paper").rlike(r"^[A-Z]{3,4}-R\d-\d{3}")
     best = near.canonical_members(papers.join(clusters, "paper"), "cluster", [F.desc(coded), F.desc("keyed"), F.length("paper"), "paper"])
     copies = clusters.join(best.select("paper"), "paper", "left_anti").select("paper", F.lit(True).alias("_copy"))

@@ -36,7 +36,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from tidemark.plans import aggregate_queries, grade_queries, join_queries, near_queries, order_queries, sheet_queries, text_queries  # noqa: F401
+    from tidemark.plans import aggregate_queries, grade_queries, item_queries, join_queries, near_queries, order_queries, sheet_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
