@@ -28,11 +28,12 @@ def leak_exact_key(t):
     return j.leaks_by_key(docs, t.benchmark.select(native_key(F.col("text")).alias("key")).unionByName(again), "key").select("doc_id")
 
 
-@query()
+@query(f"SELECT doc_id FROM documents WHERE {_KEY.format('text')} IN (SELECT {_KEY.format('text')} FROM documents WHERE doc_id % 3 = 0)")
 def leak_canonical_key(t):
-    """The same for items under the canonical key (compatibility form, case folded), by its hash."""
-    key = F.sha2(canonical_key(F.col("text")), 256).alias("key")
-    return j.leaks_by_key(t.documents.select("doc_id", key), t.benchmark.select(key), "key").select("doc_id")
+    """Texts in capitals, with other white space, against a third of them as they are, under the canonical key (compatibility form, case folded)."""
+    key = lambda c: F.sha2(canonical_key(c), 256).alias("key")
+    other = F.concat(F.lit(" \n"), F.replace(F.upper("text"), F.lit(" "), F.lit("  ")))
+    return j.leaks_by_key(t.documents.select("doc_id", key(other)), t.documents.where("doc_id % 3 = 0").select(key(F.col("text"))), "key").select("doc_id")
 
 
 @query(f"SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY {_KEY.format('text')}")
@@ -228,7 +229,11 @@ def scope_gaps(t):
     return gaps(pairs.where("l_quantity > 48"), pairs.where("l_linestatus = 'O'"), ["subject", "kind"])
 
 
-@query()
+@query(
+    """WITH c AS (SELECT conv_id, count(*) AS n, max(CASE WHEN k = 1 THEN role END) AS r1, max(CASE WHEN k = 2 THEN role END) AS r2, max(CASE WHEN k = 1 THEN text END) AS u, max(CASE WHEN k = 2 THEN text END) AS a FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM conversations) GROUP BY 1),
+    o AS (SELECT lower(trim(regexp_replace(u, '\\s+', ' ', 'g'))) AS key, min(conv_id) AS id FROM c WHERE n = 2 AND r1 = 'user' AND r2 = 'assistant' AND trim(u) <> '' AND length(u) <= 2000 AND length(a) BETWEEN 20 AND 2500 AND NOT regexp_matches(a, '(?i)as an ai language model') GROUP BY 1)
+    SELECT id FROM (SELECT id, row_number() OVER (ORDER BY sha256('42:' || id), id) AS k FROM o) WHERE k <= 200"""
+)
 def general_pool(t):
     """A seeded sample of 200 conversations that pass the filter, without held-out prompts (the sample is the operator)."""
     c = v.conversations(t.conversations).where(v.pair_ok(F.col("messages"))).select(F.col("conv_id").alias("id"), native_key(v.last_user_text(F.col("messages"))).alias("key"))

@@ -70,9 +70,12 @@ def degenerate_texts(t):
     return t.documents.select("doc_id", v.loops(F.col("text")).alias("loops"), v.table_like(F.col("text")).alias("table_like"))
 
 
-@query()
+_PLAIN = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^\s{0,3}#{1,6}\s+', '', 'g'), '(?m)^\s*[-*+]\s+', '', 'g'), '[*_`]{1,3}', '', 'g'), '(?m)[ \t]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'))"
+
+
+@query(f"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace({_PLAIN}, '(?s)<think>.*?</think>', '', 'g'), '(?s)^.*</think>', '', 'g'), '(?s)<think>.*$', '', 'g')) AS text FROM conversations")
 def markdown_and_thinking(t):
-    """Conversation texts without marks (no SQL: look-ahead)."""
+    """Conversation texts without marks."""
     return t.conversations.select("conv_id", "turn", x.strip_thinking(x.strip_markdown(F.col("text"))).alias("text"))
 
 
