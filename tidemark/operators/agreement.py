@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,11 +72,16 @@ def loosely_agrees(kind: pd.Series, text: pd.Series, letters: pd.Series, n: pd.S
     return pd.Series([one(*r) for r in zip(kind, text, letters, n, unit, key, options, accepted, strict=True)], dtype=bool)
 
 
-def solver_agrees(item: Column, payload: Column, key: Column, options: Column, accepted: Column) -> Column:
-    """item: `grading.item_struct`; payload: text; key: the canonical value; accepted: forms of a short answer (else empty)."""
+def solver_agrees(rows: DataFrame) -> DataFrame:
+    """Adds `agrees`. rows: item (`grading.item_struct`), payload (text), key (the canonical value), options (letter to text), accepted (forms
+    of a short answer, else empty), and what else; the payload is read in projections of their own, as each is used many times."""
+    read = rows.withColumn("_text", spread(F.col("item.type"), bare_payload(F.col("payload"))))
+    read = read.withColumn("_strict", grading.parse_strict(F.col("item"), F.col("_text"), "payload_only"))
+    return read.withColumn("agrees", _agrees(F.col("item"), F.col("_text"), F.col("_strict"), F.col("key"), F.col("options"), F.col("accepted"))).drop("_text", "_strict")
+
+
+def _agrees(item: Column, text: Column, strict: Column, key: Column, options: Column, accepted: Column) -> Column:
     kind, none = item["type"], F.array().cast("array<struct<min_correct:int,points:int>>")
-    text = spread(kind, bare_payload(payload))
-    strict = grading.parse_strict(item, text, "payload_only")
     full = grading.points(item, strict["value"], key, F.lit(1), none, F.lit(None).cast("double")) >= 1
     right = strict["ok"] & F.when(kind == "short", grading.short_match(strict["value"], accepted, F.lit(False))).otherwise(full)
     loose = loosely_agrees(kind, text, item["letters"], item["n"], item["unit"], key, options, accepted)

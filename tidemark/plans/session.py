@@ -10,10 +10,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: The setting for rows in an Arrow batch, Spark's own value, and what is set in its place.
+ARROW_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Add this package to the session's Python files, once for each application."""
+    """Add this package to the session's Python files, once for each application; and while the session has Spark's own number of rows in an
+    Arrow batch, take fewer: rows hold whole texts, and every Python worker and its JVM side hold a few batches each."""
+    if spark.conf.get(ARROW_ROWS[0]) == ARROW_ROWS[1]:
+        spark.conf.set(ARROW_ROWS[0], ARROW_ROWS[2])
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

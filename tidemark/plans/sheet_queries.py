@@ -155,4 +155,5 @@ def solver_agreement(t):
     key = F.when(k <= 1, "B").when(k == 2, "P,F,P").when(k == 3, "3.0").when(k <= 5, "Mieszko I").when(k == 6, "A,C").otherwise("1-B,2-A")
     item = grading.item_struct(type=kind, letters=F.array(*[F.lit(x) for x in "ABCDEFG"]), n=F.when(k == 2, 3).when(k == 7, 2).otherwise(0))
     options = F.create_map(*[F.lit(x) for v in "ABCD" for x in (v, f"option {v.lower()}")])
-    return t.part.select("p_partkey", agreement.solver_agrees(item, payload, key, options, F.when(kind == "short", F.array(F.lit("Mieszko I"))).otherwise(arr)).alias("agrees"))
+    rows = t.part.select("p_partkey", item.alias("item"), payload.alias("payload"), key.alias("key"), options.alias("options"), F.when(kind == "short", F.array(F.lit("Mieszko I"))).otherwise(arr).alias("accepted"))
+    return agreement.solver_agrees(rows).select("p_partkey", "agrees")
