@@ -13,10 +13,8 @@ give records of equal ids, one set for each row. Empty tables give no files. Oth
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html
-import io
 import re
 import uuid
 import zlib
@@ -33,13 +31,15 @@ VERSION = b"WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 #: Bytes of derivatives that one task reads back, about, and such tasks at most.
 PART_BYTES, MOST_READERS = 8 << 20, 50_000
-#: Elements whose content is no text and holds no elements, one whose content is no text, those that end a line of text, and cells.
+#: Elements whose content is no text and holds no elements, one whose content is no text, and those that end a line of text; cells put a blank.
 _RAW, _UNSEEN = {"script", "style", "noscript", "template"}, "head"
 _BREAKS = set("address article aside blockquote br dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tr ul".split())
-_CELLS = {"td", "th"}
-_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
-#: Attributes up to the tag's end; a quoted value may hold any sign. No way is tried twice, so it takes time in proportion to the tag.
-_REST = re.compile(r"(?>[^>=]++|=\s*+(?>\"[^\"]*+\"|'[^']*+'|))*+>")
+_SPACED = dict.fromkeys(_BREAKS, "\n") | dict.fromkeys(("td", "th"), " ")
+#: Elements whose beginning says more than where text is.
+_SPECIAL = _RAW | {_UNSEEN, "title", "a", "html"}
+#: A comment's or declaration's beginning, or a whole tag: its attributes go on to the tag's end or the page's, and a quoted value may hold any
+#: sign. No way is tried twice, so it takes time in proportion to the tag.
+_TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*)((?>[^>=]++|=\s*+(?>\"[^\"]*+\"|'[^']*+'|))*+)(>|\Z))")
 _VALUE = r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"
 _LANG, _HREF = (re.compile(rf"(?:^|[\s\"'/]){name}{_VALUE}", re.I) for name in ("lang", "href"))
 _LANG_CODE = re.compile(r"[A-Za-z-]+")
@@ -57,39 +57,38 @@ class Page:
         self.lang: str | None = None
         self.links: list[str] = []
         text, at, seen, unclosed = [], 0, 0, set()  # text before `seen` is in the head
-        while (m := _OPEN.search(page, at)) is not None:
-            if m.start() > seen:
-                text.append(page[max(at, seen) : m.start()])
-            if m[1]:
-                end = page.find("-->", m.end())
-                text.append(" ")
-                at = end + 3 if end >= 0 else len(page)
-                continue
-            if m[2]:
-                end = page.find(">", m.end())
-                at = end + 1 if end >= 0 else len(page)
+        search = _TAG.search
+        while (m := search(page, at)) is not None:
+            begin, end = m.span()
+            if begin > seen:
+                text.append(page[max(at, seen) : begin])
+            comment, declared, closing, name, attributes, stop = m.groups()
+            if name is None:
+                end = page.find("-->" if comment else ">", end)
+                text.append(" " if comment else "")
+                at = len(page) if end < 0 else end + 3 if comment else end + 1
                 continue
-            rest = _REST.match(page, m.end())
-            if rest is None:
-                at = len(page)
+            at, name = end, name.lower()
+            if not stop:  # the page ends within a tag
                 break
-            name, closing, at = m[4].lower(), bool(m[3]), rest.end()
-            if not closing and name in _RAW:
+            if closing or name not in _SPECIAL:
+                if at > seen and name in _SPACED:
+                    text.append(_SPACED[name])
+                continue
+            if name in _RAW:
                 at = self._close(page, name, at, unclosed) or len(page)
                 text.append(" ")
-            elif not closing and name == _UNSEEN:
+            elif name == _UNSEEN:
                 seen = max(seen, self._close(page, name, at, unclosed) or 0)
                 text.append(" ")
-            elif not closing and name == "title" and self.title is None:
+            elif name == "title" and self.title is None:
                 end = self._close(page, name, at, unclosed)
                 if end is not None:
                     inner = page[at:end]
                     self.title = inner[: inner.rindex("<")]
-            elif at > seen:
-                text.append("\n" if name in _BREAKS else " " if name in _CELLS else "")
-            if not closing and name == "a" and (found := _HREF.search(page, m.end(), at)):
+            elif name == "a" and (found := _HREF.search(attributes)):
                 self.links.append(next(g for g in found.groups() if g is not None))
-            elif not closing and name == "html" and self.lang is None and (found := _LANG.search(page, m.end(), at)):
+            elif name == "html" and self.lang is None and (found := _LANG.search(attributes)):
                 code = _LANG_CODE.match(next(g for g in found.groups() if g is not None))
                 self.lang = code[0] if code else None
         text.append(page[max(at, seen) :])
@@ -134,10 +133,8 @@ def record(headers: list[tuple[str, str | None]], block: bytes) -> bytes:
     """One record as a gzip member of its own; headers without value are left out."""
     lines = [f"{k}: {_clean(v)}".encode() for k, v in headers if v is not None]
     head = b"\r\n".join([VERSION, *lines, b"Content-Length: %d" % len(block)])
-    out = io.BytesIO()
-    with gzip.GzipFile(fileobj=out, mode="wb", compresslevel=4, mtime=0) as z:
-        z.write(head + b"\r\n\r\n" + block + b"\r\n\r\n")
-    return out.getvalue()
+    z = zlib.compressobj(4, zlib.DEFLATED, 31)
+    return z.compress(head + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
@@ -284,7 +281,7 @@ def read_derivatives(index: DataFrame, path: str) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def one(f, offset: int, length: int) -> tuple[dict[str, str], bytes]:
-        headers, block = parse(gzip.decompress(f.read_at(length, offset)))
+        headers, block = parse(zlib.decompress(f.read_at(length, offset), 31))
         if digest(block) != headers["warc-block-digest"]:
             raise ValueError(f"damaged record {headers['warc-record-id']}")
         return headers, block
