@@ -50,6 +50,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trimmed(batches):
+    """The batches; at their end the memory that the worker has freed goes back to the system, as workers live on."""
+    try:
+        yield from batches
+    finally:
+        import ctypes
+        import gc
+
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+
 def filesystem(uri: str):
     """pyarrow file system and path of a URI, on the driver or an executor."""
     from pyarrow import fs

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Texts, id_and_text, mix64, word_hashes, written
+from tidemark.llm.common import Texts, id_and_text, mix64, trimmed, word_hashes, written
 
 #: Words of an item that may differ, as a share; recall that simulated copies at this distance must reach.
 MAX_EDIT, TARGET_RECALL = 0.2, 0.95
@@ -327,5 +327,5 @@ def decontaminated(docs: DataFrame, items: DataFrame, max_edit: float = MAX_EDIT
     for k, index in enumerate(_blocks(items, item_id, item_text, max_edit, target_recall)):
         if k and k % CHAINED == 0:
             rows = written(rows, "rows")
-        rows = rows.mapInArrow(keep(spark.sparkContext.broadcast(index)), rows.schema)
+        rows = rows.mapInArrow(lambda batches, f=keep(spark.sparkContext.broadcast(index)): trimmed(f(batches)), rows.schema)
     return rows.toDF(*names)

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Texts, lower_ascii, mix64, run_hashes, word_hashes, word_spans, written
+from tidemark.llm.common import Texts, lower_ascii, mix64, run_hashes, trimmed, word_hashes, word_spans, written
 from tidemark.llm.components import components
 
 #: Words of a shingle, and the similarity as a fraction.
@@ -58,7 +58,7 @@ BLOCK_BYTES = 1 << 18
 #: Sets in the sample by which each band's allocation is chosen, and the cost of comparing a pair in index entries.
 SAMPLE_SETS, PAIR_COST = 300, 40
 #: Bytes of text that a map task looks at together, and index bytes it holds back before it sends them on.
-PIECE_BYTES, HELD_BYTES = 2 << 20, 24 << 20
+PIECE_BYTES, HELD_BYTES = 1 << 20, 20 << 20
 #: Buckets of index hashes at least, and index bytes that a bucket is meant to hold.
 LEAST_BUCKETS, BUCKET_BYTES = 256, 8 << 20
 #: Bytes of an index hash beside its bucket, and of a set's code. What meets by chance is found out by the comparison, and sets
@@ -393,7 +393,7 @@ def indexed(rows: DataFrame, bands: Bands, buckets: int, turn: int, shingle: int
         if held:
             yield sent()
 
-    return rows.select("text", *(["joined"] if turn > 1 else [])).mapInArrow(run, "bucket long, pack binary")
+    return rows.select("text", *(["joined"] if turn > 1 else [])).mapInArrow(lambda batches: trimmed(run(batches)), "bucket long, pack binary")
 
 
 def _unpacked(packs, rooted: bool):
@@ -620,8 +620,8 @@ def meetings(index: DataFrame, turn: int, parts: int, sketched=None) -> DataFram
             yield from merged()
 
     key = [c for c in index.columns if c != "pack"]
-    packed = index.repartition(*key).sortWithinPartitions(*key).mapInArrow(find, "part long, pack binary")
-    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "a long, b long, band long, spare long, hot long, members array<long>")
+    packed = index.repartition(*key).sortWithinPartitions(*key).mapInArrow(lambda batches: trimmed(find(batches)), "part long, pack binary")
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(lambda batches: trimmed(merge(batches)), "a long, b long, band long, spare long, hot long, members array<long>")
 
 
 def _of_codes(pairs: DataFrame, some: DataFrame, bands: Bands) -> DataFrame:
@@ -677,7 +677,7 @@ def _compared(docs: DataFrame, some: DataFrame, pairs: DataFrame, bands: Bands,
                         yield pa.RecordBatch.from_arrays([part.field(0), part.field(1), part.field(2), ids.take(pa.array(row[i:j])), pa.array([data[r] for r in row[i:j].tolist()], pa.binary())], names=["a", "salt", "turn", "b", "elements"])
                 r0 += len(sizes)
 
-    sent = _fetched(docs, wanted).select("set_id", "text", "to").mapInArrow(sets, "a binary, salt int, turn int, b binary, elements binary")
+    sent = _fetched(docs, wanted).select("set_id", "text", "to").mapInArrow(lambda batches: trimmed(sets(batches)), "a binary, salt int, turn int, b binary, elements binary")
 
     def compare(batches):
         center, one = None, None
@@ -840,7 +840,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     labels = written(labelled(inner.select(own.alias("doc_id"), text.alias("text"))), "labelled")
     some = labels.where("n_shingles > 0")
     chosen = some.groupBy("root").agg(F.min(F.struct("null", "doc", "key")).alias("at")).select("at.*")
-    kept = keyed.join(chosen.unionByName(labels.where("n_shingles = 0").select("null", "doc", "key").distinct()), ["doc", "null", "key"], "left_semi")
+    gone = written(some.select("null", "doc", "key").distinct().join(chosen, ["null", "doc", "key"], "left_anti"), "gone")
+    # what goes is less than what stays: while its bytes are few it's broadcast, and texts pass without a shuffle
+    kept = keyed.join(F.broadcast(gone) if 60 * gone.count() <= BROADCAST_BYTES else gone, ["doc", "null", "key"], "left_anti")
     if some.groupBy("doc", "null", "key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         wordless = ~text.rlike(r"[^\x20\x09-\x0D]") | text.isNull()
         kept = kept.where(wordless).unionByName(kept.where(~wordless).dropDuplicates(["doc", "null", "key"]))

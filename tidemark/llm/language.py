@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Texts, written
+from tidemark.llm.common import Texts, trimmed, written
 
 #: Rows, about, on which the text model is fitted, dealt evenly to the languages.
 SAMPLE_ROWS = 6000
@@ -142,7 +142,7 @@ def evidence(rows: DataFrame, text_model: TextModel) -> DataFrame:
             said = [text_model.evidence(texts.row(i)) for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n) if i != at), pa.array(said, pa.list_(pa.float64()))], names=[*others, "said"])
 
-    return rows.mapInArrow(run, ddl)
+    return rows.mapInArrow(lambda batches: trimmed(run(batches)), ddl)
 
 
 def host_parts(host):
@@ -183,25 +183,33 @@ class Priors:
         domains = _sums(by_host, ["domain"], F.col("sums"), n).select(F.col("domain").alias("of_domain"), F.col("sums").alias("in_domain"))
         suffixes = _sums(by_host, ["suffix"], F.col("sums"), n).select(F.col("suffix").alias("of_suffix"), F.col("sums").alias("in_suffix"))
         hosts = by_host.join(domains, F.col("domain").eqNullSafe(F.col("of_domain"))).join(suffixes, F.col("suffix").eqNullSafe(F.col("of_suffix")))
-        self.hosts = hosts.select(F.col("host").alias("of_host"), F.col("sums").alias("in_host"), "in_domain", "in_suffix")
-        self.declared = _sums(heard, ["declared"], F.col("by_text"), n).select(F.col("declared").alias("of_declared"), F.col("sums").alias("in_declared"))
+        # tables of known size: Spark broadcasts them while they are small, and whole texts then pass the joins without a shuffle
+        self.hosts = written(hosts.select(F.col("host").alias("of_host"), F.col("sums").alias("in_host"), "in_domain", "in_suffix"), "hosts")
+        self.declared = written(_sums(heard, ["declared"], F.col("by_text"), n).select(F.col("declared").alias("of_declared"), F.col("sums").alias("in_declared")), "declared")
 
-    def applied(self, rows: DataFrame) -> DataFrame:
+    def applied(self, rows: DataFrame, model: TextModel | None = None) -> DataFrame:
         """Rows with `declared`, `host` and `said`, whatever else; adds lang, confidence, accepted, in the place of `said`.
 
+        With a model, rows have `text` in the place of `said`, and it is heard and judged in one Python worker: another one for each task
+        would hold another share of an executor's memory.
+
         What is learned is joined back by host and declaration: Spark broadcasts what it finds small, and its skew join splits
         hosts with very many rows.
         """
         langs, overall = self.langs, np.array(self.overall)
         joined = rows.join(self.hosts, F.col("host").eqNullSafe(F.col("of_host")), "left").join(self.declared, F.col("declared").eqNullSafe(F.col("of_declared")), "left")
-        kept, sums = [c for c in rows.columns if c != "said"], ["said", "in_host", "in_domain", "in_suffix", "in_declared"]
+        first = "said" if model is None else "text"
+        kept, sums = [c for c in rows.columns if c != first], [first, "in_host", "in_domain", "in_suffix", "in_declared"]
         schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
 
         def run(batches):
             for b in batches:
                 said = b.column(len(kept))
+                if model is not None:
+                    texts = Texts(said)
+                    said = pa.array([model.evidence(texts.row(i)) for i in range(b.num_rows)], pa.list_(pa.float64()))
                 heard = np.asarray(said.is_valid())
-                numbers = [np.asarray(b.column(len(kept) + k).filter(said.is_valid()).flatten(), float).reshape(-1, len(langs)) for k in range(len(sums))]
+                numbers = [np.asarray(c.filter(said.is_valid()).flatten(), float).reshape(-1, len(langs)) for c in (said, *b.columns[len(kept) + 1 :])]
                 posterior = posteriors(*numbers, overall)
                 best = posterior.argmax(axis=1) if len(posterior) else np.zeros(0, np.int64)
                 confidence, lang = np.zeros(b.num_rows), np.full(b.num_rows, None, object)
@@ -211,7 +219,7 @@ class Priors:
                 lang[~accepted] = None
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(lang.tolist(), pa.string()), pa.array(confidence), pa.array(accepted)], names=[*kept, "lang", "confidence", "accepted"])
 
-        return joined.select(*kept, *sums).mapInArrow(run, schema)
+        return joined.select(*kept, *sums).mapInArrow(lambda batches: trimmed(run(batches)), schema)
 
 
 def posteriors(said: np.ndarray, host: np.ndarray, domain: np.ndarray, suffix: np.ndarray, declared: np.ndarray, overall: np.ndarray) -> np.ndarray:
@@ -285,6 +293,6 @@ def accepted_documents(docs: DataFrame) -> DataFrame:
     if model is None:
         found = identify(plain, None)
     else:
-        found = Priors(written(evidence(general.drop("doc_id"), model), "said"), model.langs).applied(evidence(plain, model))
+        found = Priors(written(evidence(general.drop("doc_id"), model), "said"), model.langs).applied(plain, model)
     own = {c: F.col(f"_{i}") for i, c in enumerate(names)} | {"lang": F.col("lang")}
     return found.where("accepted").select(*[own[c].alias(c) for c in names])

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Texts, mix64, run_hashes, word_hashes, word_spans, written
+from tidemark.llm.common import Texts, mix64, run_hashes, trimmed, word_hashes, word_spans, written
 
 #: Words of a window and of the runs that are its minimisers.
 WINDOW, MINIMISER = 20, 3
@@ -403,9 +403,10 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
         if left is not None:
             yield _packs([(name[0], 0)], [zstandard.ZstdCompressor(level=4).compress(left)])
 
-    spans = rows.mapInArrow(pack, _DDL).repartition("bucket", "salt").sortWithinPartitions("bucket", "salt").mapInArrow(count, _DDL)
+    packed = rows.mapInArrow(lambda batches: trimmed(pack(batches)), _DDL)
+    spans = packed.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt").mapInArrow(lambda batches: trimmed(count(batches)), _DDL)
     if len(crowded):  # what was dealt by salt meets again, and there is one place for each bucket
-        spans = spans.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, _DDL)
+        spans = spans.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: trimmed(count(batches)), _DDL)
     return spans.select(*_SPAN)
 
 
