@@ -120,3 +120,19 @@ def test_whole_table(spark, sf):
     for (k, i), e in got.items():
         p = d.words_of(items[i]).tolist()
         assert levenshtein_within(p, d.words_of(docs[k]).tolist()) == e <= 0.2 * len(p)
+
+
+def test_windows_that_no_item_knows_are_let_go_and_no_other():
+    r = np.random.default_rng(5)
+    vocabulary = r.integers(0, 1 << 62, 300).astype(np.uint64)
+    items = [vocabulary[r.integers(0, 300, int(r.integers(20, 60)))] for _ in range(30)]
+    words = np.concatenate([*(vocabulary[r.integers(0, 300, 200)] for _ in range(20)), *(np.concatenate([w[: len(w) // 2], vocabulary[:1], w[len(w) // 2 :]]) for w in items)])
+    starts_all = left_all = 0
+    for walks, entries, _ in d.Index(list(enumerate(items)), 0.2, dict.fromkeys({d.window_size(len(w)) for w in items}, 4)).sizes:
+        starts = np.arange(len(words) - walks.size + 1)
+        for t, (hashes, _, _, sieves) in enumerate(entries):
+            left, h = walks.sieved(words, starts, t, sieves)
+            whole = walks.hashes(words, starts, t)
+            assert (h == whole[left]).all() and set(np.flatnonzero(np.isin(whole, hashes))) <= set(left)
+            starts_all, left_all = starts_all + len(starts), left_all + len(left)
+    assert 0 < left_all < starts_all / 2

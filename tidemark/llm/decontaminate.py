@@ -4,7 +4,8 @@ The CGK embedding (Chakraborty, Goldenberg and Koucky, 2016) walks over a sequen
 under the pointer, and a random bit of (j, word) says whether the pointer moves on. Walks over sequences at a
 small edit distance fall into step again, so their outputs differ in few places, and hashing a few sampled places brings
 them together. Each item is cut into windows near its own size, from every offset; each window of a document of the
-same size takes the same walks; windows that agree on all sampled places of a table are candidates. The
+same size takes the same walks; windows that agree on all sampled places of a table are candidates; one whose first sampled places no
+item's window shows is let go on its way. The
 number of tables is raised until simulated edits at the distance sought are found with the target recall. A candidate
 counts only if the exact edit distance (in words) between the whole item and its best place in the document is
 at most `max_edit` of the item's words.
@@ -41,6 +42,10 @@ CHAINED = 4
 #: Bytes of text that a task looks at together.
 PIECE_BYTES = 2 << 20
 _BITMAP = 1 << 20
+#: Sampled places, from the first, after which windows that no item knows are let go, and places of a bitmap for each hash in it.
+SIEVES, SIEVE_ROOM = 3, 4
+#: Windows that walk together; their pointers stay within a processor's cache.
+_AT_ONCE = 1 << 14
 
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
@@ -80,17 +85,57 @@ class Walks:
 
     def hashes(self, words: np.ndarray, starts: np.ndarray, table: int) -> np.ndarray:
         """One table's hash of the window at each start; beyond its end a window shows blanks."""
-        at, stop = starts.copy(), starts + self.size
-        out = np.full(len(starts), np.uint64(0x1234567 + table))
-        places, k = self.places[table], 0
+        return self.sieved(words, starts, table, ())[1]
+
+    def sieved(self, words: np.ndarray, starts: np.ndarray, table: int, sieves: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """The starts whose windows pass the sieves, and one table's hashes of these windows.
+
+        Sieve k knows the hashes that windows of items have after k + 1 of the sampled places; a window that it doesn't know ends in none of theirs.
+        """
+        parts = [self._walked(words, starts[i : i + _AT_ONCE], table, sieves) for i in range(0, len(starts), _AT_ONCE)]
+        if not parts:
+            return starts, np.zeros(0, np.uint64)
+        return np.concatenate([a for a, _ in parts]), np.concatenate([h for _, h in parts])
+
+    def _walked(self, words: np.ndarray, starts: np.ndarray, table: int, sieves: tuple) -> tuple[np.ndarray, np.ndarray]:
+        at, out = starts.copy(), np.full(len(starts), np.uint64(0x1234567 + table))
+        places, k, last = self.places[table], 0, len(words) - 1
         with np.errstate(over="ignore"):
             for j in range(int(places[-1]) + 1):
-                w = np.where(at < stop, words[np.minimum(at, len(words) - 1)], np.uint64(1))
+                if j < self.size:  # a window's end can't be reached in fewer steps than it has words
+                    w = words[at]
+                else:
+                    w = np.where(at < starts + self.size, words[np.minimum(at, last)], np.uint64(1))
                 if j == places[k]:
                     out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + w)
+                    if k < len(sieves):
+                        left = np.flatnonzero(sieves[k][sieve_place(out, sieves[k])])
+                        starts, at, out, w = starts[left], at[left], out[left], w[left]
+                        if not len(left):
+                            break
                     k += 1
-                at += ((w * self.bits[table, j]) >> np.uint64(63)).astype(np.int64)
-        return out
+                w = w * self.bits[table, j]
+                w >>= np.uint64(63)
+                at += w.view(np.int64)
+        return starts, out
+
+    def sieves(self, words: np.ndarray, starts: np.ndarray, table: int) -> tuple:
+        """What the windows at these starts pass: for each of the first sampled places a bitmap of their hashes so far."""
+        made: list[np.ndarray] = []
+        whole = self.places
+        for k in range(min(SIEVES, len(whole[table]))):
+            self.places = whole[:, : k + 1]
+            so_far = np.unique(self.hashes(words, starts, table))
+            sieve = np.zeros(1 << max(6, int(SIEVE_ROOM * len(so_far) - 1).bit_length()), bool)
+            sieve[sieve_place(so_far, sieve)] = True
+            made.append(sieve)
+        self.places = whole
+        return tuple(made)
+
+
+def sieve_place(hashes: np.ndarray, sieve: np.ndarray) -> np.ndarray:
+    """Where a hash stands in a sieve, whose size is a power of two."""
+    return (hashes & np.uint64(len(sieve) - 1)).view(np.int64)
 
 
 def edit_places(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -202,7 +247,7 @@ class Index:
             for t in range(walks.tables):
                 h = walks.hashes(words, starts, t)
                 order = np.argsort(h, kind="stable")
-                entries.append((h[order], owner[order].astype(np.int32), offset[order].astype(np.int32)))
+                entries.append((h[order], owner[order].astype(np.int32), offset[order].astype(np.int32), walks.sieves(words, starts, t)))
             self.sizes.append((walks, entries, max(self.most[k] for k in members)))
 
     def candidates(self, words: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -216,14 +261,14 @@ class Index:
             starts = np.flatnonzero(near_enough(before, n, most) & (row[n - 1 :] == row[: len(row) - n + 1]))
             if not len(starts):
                 continue
-            for t, (hashes, owner, offset) in enumerate(entries):
-                h = walks.hashes(words, starts, t)
+            for t, (hashes, owner, offset, sieves) in enumerate(entries):
+                begin, h = walks.sieved(words, starts, t, sieves)
                 lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
                 met = np.flatnonzero(hi > lo)
                 if len(met):
                     count = hi[met] - lo[met]
                     at = np.repeat(lo[met] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-                    out.append(np.stack([np.repeat(starts[met], count), owner[at], offset[at]], 1))
+                    out.append(np.stack([np.repeat(begin[met], count), owner[at], offset[at]], 1))
         return np.unique(np.concatenate(out), axis=0)
 
 
@@ -244,7 +289,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, max_edit: float, targe
         w = words_of(r.t)
         if len(w):
             part.append((r.i, w))
-            weight += 16 * max(MOST_TABLES, tables.get(window_size(len(w)), 0)) * len(w)
+            weight += 32 * max(MOST_TABLES, tables.get(window_size(len(w)), 0)) * len(w)
             if weight >= BLOCK_BYTES:
                 yield made()
                 part, weight = [], 0
