@@ -131,3 +131,22 @@ def test_one_document_by_the_index(spark, docs_of, tmp_path):
     (tmp_path / "store/dictionary").write_bytes(b"other")
     with pytest.raises(ValueError):
         token_store.Shard(path, s and shards[0].shard)
+
+
+def test_a_word_looks_up_its_pairs_once():
+    """Each merge looks at the pairs beside it only; every round over the whole word took some n * n / 2 looks."""
+    merges = bpe.MergeList(queries.tokenizer_path("byte_bpe_50k.json"))
+
+    class Counted(dict):
+        looks = 0
+
+        def get(self, *a):
+            Counted.looks += 1
+            return super().get(*a)
+
+    merges.rank = Counted(merges.rank)
+    merges.joined = Counted(getattr(merges, "joined", {}))
+    for word in (b" internationalizations", b"characteristically-understood", b"aaaaaaaaaaaaaaaaaaaaaaaa"):
+        Counted.looks = 0
+        assert merges.encode_bytes(word) == merges._encode_long([merges.byte_ids[x] for x in word])
+        assert Counted.looks - 3 * len(word) <= 3 * len(word)

@@ -28,7 +28,7 @@ from itertools import accumulate, chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import WHITE_SPACE, id_and_text, is_latin1
+from tidemark.llm.common import WHITE_SPACE, id_and_text, is_latin1, trimmed
 
 #: Words whose ids a worker remembers; beyond it the memory is emptied. It changes speed, never results.
 CACHED_WORDS = 250_000
@@ -93,6 +93,7 @@ class MergeList:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
         self.rank = {(a, b): (rank, ab) for rank, (a, b, ab) in enumerate(self.merges)}
+        self.joined = {a << 32 | b: rank << 32 | ab for (a, b), (rank, ab) in self.rank.items()}  # the same as plain numbers
         self.decimal = [str(i) for i in range(size)]
 
     @property
@@ -135,20 +136,19 @@ class MergeList:
         ids = [self.byte_ids[b] for b in data]
         if len(ids) > 48:
             return self._encode_long(ids)
-        rank = self.rank
-        while len(ids) > 1:
-            best, where = None, []
-            for i in range(len(ids) - 1):
-                found = rank.get((ids[i], ids[i + 1]))
-                if found is not None:
-                    if best is None or found[0] < best[0]:
-                        best, where = found, [i]
-                    elif found[0] == best[0] and where[-1] != i - 1:
-                        where.append(i)
-            if best is None:
+        get, none = self.joined.get, 1 << 64
+        ranks = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]  # noqa: B905
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            for i in reversed(where):
-                ids[i : i + 2] = [best[1]]
+            i = ranks.index(best)
+            ids[i] = best & 0xFFFFFFFF
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 32 | ids[i], none)
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << 32 | ids[i + 1], none)
         return ids
 
     def _encode_long(self, ids: list[int]) -> list[int]:
@@ -294,7 +294,7 @@ class StreamingEncoder:
 
     def _last_cut(self) -> int:
         """The end of the last sign that white space follows; looked for from the end, in growing pieces."""
-        size, n = 4096, len(self.open)
+        size, n = 64, len(self.open)
         while True:
             begin = max(0, n - size)
             found = [m.end() for m in _SAFE_CUT.finditer(self.open, begin)]
@@ -433,4 +433,4 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> D
                 made["ids"] = pa.ListArray.from_arrays(ends, pa.concat_arrays([pa.Array.from_buffers(pa.int32(), len(k), [None, pa.py_buffer(k)]) for k in kept] or [pa.array([], pa.int32())]))
             yield pa.record_batch(made)
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return id_and_text(docs).mapInArrow(lambda batches: trimmed(run(batches)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -58,7 +58,10 @@ def trimmed(batches):
         import ctypes
         import gc
 
+        import pyarrow as pa
+
         gc.collect()
+        pa.default_memory_pool().release_unused()  # Arrow's allocator keeps what was freed, too
         try:
             ctypes.CDLL(None).malloc_trim(0)
         except (AttributeError, OSError):  # another C library

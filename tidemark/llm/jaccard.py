@@ -271,7 +271,7 @@ def sifted(pairs: DataFrame, some: DataFrame, bands: Bands) -> DataFrame:
             table = SketchTable(bands, [(k, size, sketch) for k, (size, sketch) in enumerate(sets)])
             yield b.select(["a", "b"]).filter(pa.array(table.may_link(np.arange(n), np.arange(n, 2 * n)) if n else np.zeros(0, bool)))
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "s_a", "s_b", "n_a", "n_b").mapInArrow(run, "a binary, b binary")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "s_a", "s_b", "n_a", "n_b").mapInArrow(lambda batches: trimmed(run(batches)), "a binary, b binary")
 
 
 def unrelated(sets: list[np.ndarray]) -> list[np.ndarray]:
@@ -697,7 +697,7 @@ def _compared(docs: DataFrame, some: DataFrame, pairs: DataFrame, bands: Bands,
                     b.append(y)
             yield pa.record_batch({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return sent.repartition("a", "salt").sortWithinPartitions("a", "salt", "turn").mapInArrow(compare, "a binary, b binary")
+    return sent.repartition("a", "salt").sortWithinPartitions("a", "salt", "turn").mapInArrow(lambda batches: trimmed(compare(batches)), "a binary, b binary")
 
 
 def _code(column: str):
@@ -715,7 +715,7 @@ def _sifted_compared(docs: DataFrame, some: DataFrame, rest: DataFrame, links: D
             for b in batches:
                 yield b.select(["a", "b"]).filter(pa.array(table.value.may_link(np.asarray(b.column(2)), np.asarray(b.column(3)))))
 
-        rest = rest.select("a", "b", _code("a").alias("code_a"), _code("b").alias("code_b")).mapInArrow(sift, "a binary, b binary")
+        rest = rest.select("a", "b", _code("a").alias("code_a"), _code("b").alias("code_b")).mapInArrow(lambda batches: trimmed(sift(batches)), "a binary, b binary")
     else:
         rest = sifted(rest.select("a", "b"), some, bands)
     rest = written(rest, "rest")
@@ -782,7 +782,7 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
                 yield pa.RecordBatch.from_arrays([*(b.column(i).slice(r0, n) for i in range(3)), pa.array(sizes, pa.int64()), _ids(hi, lo), pa.array(_codes(hi)), pa.array(sketches(bands, sizes, elements), pa.binary())], names=["doc", "null", "key", "n_shingles", "set_id", "code", "sketch"])
                 r0 += n
 
-    sets = written(rows.mapInArrow(identify, "doc long, null long, key long, n_shingles long, set_id binary, code long, sketch binary"), "set-ids")
+    sets = written(rows.mapInArrow(lambda batches: trimmed(identify(batches)), "doc long, null long, key long, n_shingles long, set_id binary, code long, sketch binary"), "set-ids")
     some = sets.where("n_shingles > 0")
 
     parts = buckets // 4

@@ -288,7 +288,7 @@ def frequent_runs(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                         many = c >= max(2, FREQUENT_SHARE * len(place) / 4)
                         yield pa.record_batch({"run": pa.array(v[many].astype(np.int64)), "n": pa.array(c[many]), "all": pa.array(np.where(np.arange(int(many.sum())) == 0, len(place), 0))})
 
-        found = sampled.mapInArrow(count, "run long, n long, all long").groupBy("run").agg(F.sum("n").alias("n"), F.sum("all").alias("all"))
+        found = sampled.mapInArrow(lambda batches: trimmed(count(batches)), "run long, n long, all long").groupBy("run").agg(F.sum("n").alias("n"), F.sum("all").alias("all"))
         found = found.orderBy(F.desc("n"), "run").limit(int(1 / FREQUENT_SHARE)).collect()
         total = sum(r["all"] for r in found)
         return np.sort(np.array([r["run"] for r in found if r["n"] >= FREQUENT_SHARE * total], np.int64).astype(np.uint64))
@@ -448,4 +448,4 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 removed.append(len(begin) - len(left))
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(kept, pa.string()), pa.array(words, pa.int64()), pa.array(removed, pa.int64())], names=[f.name for f in schema])
 
-    return joined.mapInArrow(cut, schema).toDF(*docs.columns, "kept_text", "n_words", "n_removed")
+    return joined.mapInArrow(lambda batches: trimmed(cut(batches)), schema).toDF(*docs.columns, "kept_text", "n_words", "n_removed")
