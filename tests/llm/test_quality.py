@@ -95,6 +95,34 @@ def test_bradley_terry_recovers_an_order():
     assert abs((m.score(x) < q.CUT).mean() - (label == 0).mean()) < 0.01
 
 
+def test_all_pairs_teach():
+    """At the learned weights the loss over all pairs is flat, and the cut lies at its rank."""
+    r = np.random.default_rng(4)
+    x, label = r.normal(size=(900, 6)) * [1, 2, 3, 4, 5, 0], np.arange(900) % 3 % 2
+    x[:, 0] += label
+    x[:, 1] -= label / 2
+    m = q.fit_ranking(x, label)
+    z = np.clip((x - m.mean) / m.scale, -8, 8)
+    pairs = (z[label == 1][:, None] - z[label == 0][None]).reshape(-1, 6)
+    assert len(pairs) == 180_000 and np.abs(q.pair_loss(m.weights, pairs)[1]).max() < 1e-6
+    assert m.cut == pytest.approx(q.quantile_cut(z @ m.weights, 2 / 3), abs=1e-12)
+
+
+def test_every_labelled_row_teaches(spark, docs_of):
+    """More rows than any bound there was: the same as all of them learned in one place."""
+    word = lambda i, k: chr(97 + (i * 7 + k) % 26) * (1 + (i + k) % 5)
+    texts = [" ".join(word(i, k) for k in range(1 + i % 9)) + "!" * (i % 4 == 0) * (i % 3) for i in range(16_000)]
+    label = [int(i % 4 != 0 or i % 5 == 0) for i in range(16_000)]
+    docs = docs_of(list(enumerate(texts))).repartition(5)
+    labels = spark.createDataFrame([(i, y, 0) for i, y in enumerate(label)], "doc_id long, quality int, toxic int")
+    got = q.train(q.featured(docs), labels)
+    known = [i for i in range(16_000) if zlib.crc32(str(i).encode()) % 5]
+    want = q.fit_ranking(np.array([q.features(np.frombuffer(texts[i].encode(), np.uint8)) for i in known]), np.array([label[i] for i in known]))
+    assert len(known) > 12_000
+    assert got.mean == pytest.approx(want.mean) and got.weights == pytest.approx(want.weights, abs=1e-6)
+    assert got.cut == pytest.approx(want.cut, abs=1e-6) and got.spread == pytest.approx(want.spread)
+
+
 def test_quantile_cut():
     s = np.array([3.0, 1.0, 2.0, 4.0])
     assert [(s < q.quantile_cut(s, k)).sum() for k in (0, 0.25, 0.5, 1)] == [0, 1, 2, 4]
