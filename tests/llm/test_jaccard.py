@@ -172,3 +172,18 @@ def test_components(spark, monkeypatch, most):
 def test_whole_table(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted(map(tuple, queries.op8_ngram_jaccard(spark, sf).collect()), key=str) == brute(rows)
+
+
+def test_free_heap_goes_back_between_steps(spark, docs_of, monkeypatch):
+    """Executors must not keep what one step let go of while the next one's Python workers need the room: full collections run between steps."""
+    from tidemark.llm import common
+
+    def collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    docs = docs_of([(k, " ".join(f"w{k // 2 * 100 + j}" for j in range(40))) for k in range(20)])
+    monkeypatch.setattr(common, "RELEASE_BYTES", 0, raising=False)
+    before = collections()
+    assert {c for _, _, c in run(docs)} == set(range(0, 20, 2))
+    assert collections() >= before + 3

@@ -50,6 +50,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a table from which executors are asked to give their free heap back; smaller tables don't fill it.
+RELEASE_BYTES = 32 << 20
+
+
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of a table, as the planner knows them."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def released(df: DataFrame) -> DataFrame:
+    """`df`, after executors gave the free part of their heap back to the system, by a full collection in a task for each core.
+
+    The JVM keeps what a step let go of, up to its largest heap, and Python workers need the rest of an executor's memory. A call
+    between steps costs some tenths of a second, whatever the table's size. It is a request: what stays does no harm but takes room.
+    """
+    spark = df.sparkSession
+    if table_bytes(df) >= RELEASE_BYTES:
+        cores = max(1, spark.sparkContext.defaultParallelism)
+        spark.range(0, cores, 1, cores).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+    return df
+
+
 def trimmed(batches):
     """The batches; at their end the memory that the worker has freed goes back to the system, as workers live on."""
     try:

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Texts, lower_ascii, mix64, run_hashes, trimmed, word_hashes, word_spans, written
+from tidemark.llm.common import Texts, lower_ascii, mix64, released, run_hashes, table_bytes, trimmed, word_hashes, word_spans, written
 from tidemark.llm.components import components
 
 #: Words of a shingle, and the similarity as a fraction.
@@ -729,6 +729,7 @@ def _linked(docs: DataFrame, some: DataFrame, pairs: DataFrame, links: DataFrame
     components remain.
     """
     pairs = written(pairs, "pairs")
+    released(docs)
     star = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star")
     new = written(_compared(docs, some, star, bands, shingle), "links")
     links = new if links is None else links.unionByName(new)
@@ -736,6 +737,7 @@ def _linked(docs: DataFrame, some: DataFrame, pairs: DataFrame, links: DataFrame
     rest = pairs.join(star, ["a", "b"], "left_anti")
     rest = rest.join(roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b", "left")
     rest = written(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "rest")
+    released(docs)
     return _sifted_compared(docs, some, rest, links, bands, shingle)
 
 
@@ -770,8 +772,7 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     text, own = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col)
     rows = docs.select(F.coalesce(own.cast("long"), F.lit(0)).alias("doc"), own.isNull().cast("long").alias("null"), F.xxhash64(text).alias("key"), text.alias("text"))
     bands = chosen_bands(rows, similar, shingle)
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = max(LEAST_BUCKETS, min(1 << 24, 2 * size // BUCKET_BYTES))
+    buckets = max(LEAST_BUCKETS, min(1 << 24, 2 * table_bytes(rows) // BUCKET_BYTES))
 
     def identify(batches):
         for b in batches:
@@ -786,6 +787,7 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     some = sets.where("n_shingles > 0")
 
     parts = buckets // 4
+    released(rows)
     met = written(meetings(indexed(rows, bands, buckets, 1, shingle), 1, parts), "meetings")
     shared = some.groupBy("code").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select(F.col("code").alias("a"), F.col("code").alias("b"))
     pairs = _of_codes(met.where("b is not null").select("a", "b").unionByName(shared), some, bands)
@@ -802,6 +804,7 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         hard = _hard(met, some, roots)
         if not hard.limit(1).count():
             break
+        released(rows)
         index = indexed(_fetched(rows, hard.drop("code")), own, buckets, turn, shingle)
         table = None
         if turn == 3:
@@ -814,6 +817,7 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         links = _linked(rows, some, more, links, bands, shingle)
         roots = components(links, "a", "b")
 
+    released(rows)
     least = some.groupBy("set_id").agg(F.min(F.when(F.col("null") == 0, F.col("doc"))).alias("least"))
     named = least.join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "least", F.coalesce("root", "set_id").alias("root"))
     by_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
