@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
+
+from tidemark.functions.repeats import many_equal_lines, repeats
 
 #: The kinds of items.
 TYPES = ["mc", "multi", "tf", "match", "short", "numeric"]
@@ -77,19 +82,20 @@ def last_user_text(messages: Column) -> Column:
     return F.get(users, F.size(users) - 1)["text"]
 
 
+@F.arrow_udf(BooleanType())
+def _loops(text: pa.Array) -> pa.Array:
+    # back-references try every length at every place, so this is done in Python, by distances
+    found = np.zeros(len(text), bool)
+    plain = [(i, x.decode("utf-8", "replace")) for i, x in enumerate(text.to_pylist()) if x is not None]
+    for (i, x), again in zip(plain, repeats([x for _, x in plain]).tolist(), strict=True):
+        found[i] = again or many_equal_lines(x)
+    return pa.array(found, mask=text.is_null().to_numpy(zero_copy_only=False))
+
+
 def loops(text: Column) -> Column:
     """Whether a phrase of 4 to 80 characters repeats six times in a row, with or without white space between, or a line of three characters
     or more stands four times at all."""
-    lines = F.array_sort(F.filter(F.transform(F.split(text, r"\R"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: F.length(x) >= 3))
-    # equal lines are neighbours now: the longest run of them, in one pass
-    start = F.struct(F.lit("").alias("line"), F.lit(0).alias("run"), F.lit(0).alias("most"))
-
-    def step(s, x):
-        run = F.when(s["line"] == x, s["run"] + 1).otherwise(F.lit(1))
-        return F.struct(x.alias("line"), run.alias("run"), F.greatest(s["most"], run).alias("most"))
-
-    most = F.aggregate(lines, start, step, lambda s: s["most"])
-    return F.coalesce(text.rlike(r"(?s)(.{4,80}?)(?:\s*\1){5}") | (most >= 4), F.lit(False))
+    return F.coalesce(_loops(text.cast("binary")), F.lit(False))
 
 
 def table_like(text: Column, least: float = 0.5) -> Column:
